@@ -50,3 +50,23 @@ def global_rank(df: DataFrame, order: Column, bucket: Column, rank_col: str = "_
     j = d.join(offs, "_b")
     w = Window.partitionBy("_b").orderBy("_o")
     return j.withColumn(rank_col, (F.row_number().over(w) - 1 + F.col("_off")).cast("bigint")).drop("_o", "_b", "_off")
+
+
+def exclusive_cumsum(df: DataFrame, order_col: str, value_cols: list[str], bucket: Column,
+                     partition: list[str] | None = None, prefix: str = "cum_") -> DataFrame:
+    """Σ of ``value_cols`` over rows strictly before each row in ``order_col``
+    order (per ``partition``), without a one-task window.
+
+    ``bucket`` must be monotone in ``order_col``: bucket totals (a small table)
+    get their own prefix sums, rows add the running sum inside their bucket.
+    """
+    part = list(partition or [])
+    d = df.withColumn("_b", bucket)
+    tot = d.groupBy(*part, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    wb = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*part, "_b", *[F.coalesce(F.sum(f"_t_{v}").over(wb), F.lit(0)).alias(f"_o_{v}") for v in value_cols])
+    j = d.join(offs, [*part, "_b"])
+    w = Window.partitionBy(*part, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    for v in value_cols:
+        j = j.withColumn(f"{prefix}{v}", F.coalesce(F.sum(v).over(w), F.lit(0)) + F.col(f"_o_{v}"))
+    return j.drop("_b", *[f"_o_{v}" for v in value_cols])

@@ -141,3 +141,60 @@ aspect_pivot AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+BINARY_PRED = f"""pred AS (
+  SELECT l.doc_id AS id, l.quality AS y_true,
+         round(0.6 * {uniform('l.doc_id', 'prob')} + 0.4 * l.quality, 6) AS prob
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+
+CLASS_PRED = """x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+cent AS (SELECT label AS k, i, avg(v) AS c FROM x GROUP BY 1, 2),
+dist AS (SELECT x.vec_id, cent.k, sqrt(sum((CAST(x.v AS DOUBLE) - cent.c) * (CAST(x.v AS DOUBLE) - cent.c))) AS d
+         FROM x JOIN cent ON x.i = cent.i GROUP BY 1, 2),
+pr AS (SELECT vec_id, k, exp(-d) / sum(exp(-d)) OVER (PARTITION BY vec_id) AS p FROM dist),
+cpred AS (SELECT e.vec_id AS id, e.label AS y_true, list(pr.p ORDER BY pr.k) AS proba
+          FROM pr JOIN embeddings e ON pr.vec_id = e.vec_id GROUP BY e.vec_id, e.label),
+cp AS (SELECT *, CAST(list_position(proba, list_max(proba)) - 1 AS INTEGER) AS y_pred FROM cpred)"""
+
+
+def review_pred(reviews_cte: str = "reviews") -> str:
+    u = [uniform("review_id", f"cls{k}") for k in range(3)]
+    s = [f"({u[k]} + CASE WHEN y_true = {k} THEN 0.8 ELSE 0.0 END)" for k in range(3)]
+    return f"""rp0 AS (SELECT *, CASE WHEN label = 'negative' THEN 0 WHEN label = 'neutral' THEN 1 ELSE 2 END AS y_true FROM {reviews_cte}),
+rp1 AS (SELECT *, [{s[0]} / ({s[0]} + {s[1]} + {s[2]}), {s[1]} / ({s[0]} + {s[1]} + {s[2]}), {s[2]} / ({s[0]} + {s[1]} + {s[2]})] AS proba FROM rp0),
+rpred AS (SELECT *, CAST(list_position(proba, list_max(proba)) - 1 AS INTEGER) AS y_pred FROM rp1)"""
+
+
+CHURN_PRED = f"""churn_pred AS (
+  SELECT *, churned AS y_true, round(0.55 * {uniform('CustomerID', 'churn')} + 0.45 * churned, 6) AS prob
+  FROM features WHERE churned IS NOT NULL)"""
+
+
+def report_sql(pred: str, by: list[str] | None = None) -> str:
+    """DuckDB classification report (labels seen in either column)."""
+    by = by or []
+    b = "".join(f"{c}, " for c in by)
+    on = " AND ".join([f"t.{c} IS NOT DISTINCT FROM p.{c}" for c in by] + ["t.label = p.label"])
+    sel_by = "".join(f"coalesce(t.{c}, p.{c}) AS {c}, " for c in by)
+    return f"""(SELECT {sel_by}coalesce(t.label, p.label) AS label,
+       CASE WHEN coalesce(p.predicted, 0) > 0 THEN coalesce(t.tp, 0) / p.predicted ELSE 0.0 END AS precision,
+       CASE WHEN coalesce(t.support, 0) > 0 THEN coalesce(t.tp, 0) / t.support ELSE 0.0 END AS recall,
+       CAST(coalesce(t.support, 0) AS BIGINT) AS support
+  FROM (SELECT {b}y_true AS label, count(*) AS support, count(*) FILTER (WHERE y_true = y_pred) AS tp FROM {pred} GROUP BY ALL) t
+  FULL JOIN (SELECT {b}y_pred AS label, count(*) AS predicted FROM {pred} GROUP BY ALL) p ON {on})"""
+
+
+def report_f1_sql(pred: str, by: list[str] | None = None) -> str:
+    return f"""(SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
+  FROM {report_sql(pred, by)})"""
+
+
+def auc_sql(pred: str, by: list[str] | None = None, prob: str = "prob") -> str:
+    by = by or []
+    b = "".join(f"{c}, " for c in by)
+    part = f"PARTITION BY {', '.join(by)} " if by else ""
+    return f"""(SELECT {b}CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
+       CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) END AS auc
+  FROM (SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+        FROM (SELECT {b}{prob} AS s, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM {pred} GROUP BY ALL))
+  GROUP BY ALL)"""

@@ -146,3 +146,48 @@ def binary_predictions(t: Tables) -> DataFrame:
         F.col("quality").alias("y_true"),
         F.round(F.lit(0.6) * u + F.lit(0.4) * F.col("quality"), 6).alias("prob"),
     )
+
+
+def class_predictions(t: Tables) -> DataFrame:
+    """embeddings → (id, y_true, y_pred, proba): softmax of −distance to the
+    label centroids (nearest-centroid scorer).
+
+    Centroids are model parameters (K × d, fixed by the label set and the
+    embedding width, not by the row count); they are aggregated in Spark and
+    attached as a literal so scoring is a narrow map over the rows.
+    """
+    emb = t.embeddings
+    cent = (emb.select("label", F.posexplode("embedding").alias("i", "v"))
+            .groupBy("label", "i").agg(F.avg("v").alias("c")))
+    rows = cent.collect()  # K·d numbers: the fitted model, not the data
+    labels = sorted({r["label"] for r in rows})
+    dims = max(r["i"] for r in rows) + 1
+    mat = {(r["label"], r["i"]): r["c"] for r in rows}
+    cen = F.array(*[F.array(*[F.lit(float(mat[(k, i)])) for i in range(dims)]) for k in labels])
+    x = F.col("embedding")
+    dist = F.transform(cen, lambda c: F.sqrt(F.aggregate(
+        F.zip_with(x, c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v)))
+    e = F.transform(dist, lambda d: F.exp(-d))
+    tot = F.aggregate(e, F.lit(0.0), lambda s, v: s + v)
+    proba = F.transform(e, lambda v: v / tot)
+    out = emb.select(F.col("vec_id").alias("id"), F.col("label").alias("y_true"), proba.alias("proba"))
+    return out.withColumn("y_pred", (F.array_position("proba", F.array_max("proba")) - 1).cast("int"))
+
+
+def review_predictions(reviews: DataFrame) -> DataFrame:
+    """reviews → 3-class predictions: hashed scores with a bonus on the true class."""
+    y = (F.when(F.col("label") == "negative", 0).when(F.col("label") == "neutral", 1).otherwise(2))
+    d = reviews.withColumn("y_true", y.cast("int"))
+    s = [hashed_uniform(F.col("review_id"), f"cls{k}") + F.when(F.col("y_true") == k, F.lit(0.8)).otherwise(0.0)
+         for k in range(3)]
+    tot = s[0] + s[1] + s[2]
+    d = d.withColumn("proba", F.array(*[x / tot for x in s]))
+    return d.withColumn("y_pred", (F.array_position("proba", F.array_max("proba")) - 1).cast("int"))
+
+
+def churn_predictions(features: DataFrame) -> DataFrame:
+    """customer features → (CustomerID, y_true, prob) with a label-correlated hashed score."""
+    u = hashed_uniform(F.col("CustomerID"), "churn")
+    return features.where(F.col("churned").isNotNull()).select(
+        "*", F.col("churned").alias("y_true"),
+        F.round(F.lit(0.55) * u + F.lit(0.45) * F.col("churned"), 6).alias("prob"))
