@@ -16,16 +16,16 @@ from storelens.sources.tables import Tables
 SNAP, OBS, HZ, SSNAP = FX.RETENTION_SNAPSHOT, FX.RETENTION_OBS_START, 90, FX.SENTIMENT_SNAPSHOT
 
 
-def customer_features(spark, sf, with_labels: bool = True):
+def customer_features(spark, sf, with_labels: bool = True, snap: str = SNAP, obs_start: str = OBS):
     """J1 over the test tables: the full feature table of the retention model."""
     t = Tables(spark, sf)
     clean = C.clean_transactions(FX.transactions(t), country=None)
-    obs = C.observation_window(clean, OBS, SNAP)
-    rfm = FE.rfm_features(obs, SNAP)
+    obs = C.observation_window(clean, obs_start, snap)
+    rfm = FE.rfm_features(obs, snap)
     beh = FE.behaviour_features(obs)
-    tmp = FE.temporal_features(obs, SNAP)
+    tmp = FE.temporal_features(obs, snap)
     sent = FE.merge_sentiment(rfm.select("CustomerID"), FX.review_sentiment(t), FX.aspect_sentiment(t), SSNAP)
-    labels = L.churn_labels(clean, SNAP, OBS, HZ) if with_labels else None
+    labels = L.churn_labels(clean, snap, obs_start, HZ) if with_labels else None
     return FE.assemble_features(rfm, beh, tmp, sent, labels)
 
 
@@ -49,6 +49,12 @@ features AS (
   FROM rfm r LEFT JOIN behaviour b USING (CustomerID) LEFT JOIN temporal t USING (CustomerID)
   LEFT JOIN sentiment s USING (CustomerID) LEFT JOIN labels l USING (CustomerID))
 """
+def feature_sql(snap: str = SNAP, obs_start: str = OBS) -> str:
+    """Oracle of ``customer_features`` for other dates (a nested WITH)."""
+    return (FEATURE_CTES.replace(f"TIMESTAMP '{SNAP}'", f"TIMESTAMP '{snap}'")
+            .replace(f"TIMESTAMP '{OBS}'", f"TIMESTAMP '{obs_start}'") + "SELECT * FROM features")
+
+
 FEATURE_DOUBLES = ["monetary_value", "avg_order_value", "recency_days_log", "purchase_gap_cv", "return_rate",
                    "purchase_trend", "time_decay_weight", "avg_sentiment_score", "last_review_sentiment",
                    "avg_battery_sentiment", "avg_shipping_sentiment", "avg_price_sentiment"]
