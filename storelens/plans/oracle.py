@@ -198,3 +198,47 @@ def auc_sql(pred: str, by: list[str] | None = None, prob: str = "prob") -> str:
   FROM (SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
         FROM (SELECT {b}{prob} AS s, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM {pred} GROUP BY ALL))
   GROUP BY ALL)"""
+
+LOGS = """logs AS (
+  SELECT event_id AS id, 'req_' || CAST(event_id AS VARCHAR) AS request_id,
+         ['product', 'sentiment', 'retention'][CAST(event_id % 3 AS INTEGER) + 1] AS module, 'v1' AS model_version,
+         json_object('risk_band', CASE WHEN (event_id % 100) / 100.0 < 0.3 THEN 'LOW' WHEN (event_id % 100) / 100.0 < 0.6 THEN 'MEDIUM' ELSE 'HIGH' END,
+                     'confidence', (event_id % 100) / 100.0) AS prediction,
+         CAST((event_id % 100) / 100.0 AS DOUBLE) AS confidence,
+         CASE WHEN (event_id % 100) / 100.0 < 0.3 THEN 'LOW' WHEN (event_id % 100) / 100.0 < 0.6 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_band,
+         CAST(floor(value) AS INTEGER) AS latency_ms, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code,
+         (event_id % 3 = 0 AND value > 100) AS ood_flagged, ts AS created_at
+  FROM events)"""
+
+QUEUE = """queue AS (
+  SELECT event_id AS id, 'req_' || CAST(event_id AS VARCHAR) AS request_id,
+         ['product', 'sentiment', 'retention'][CAST(event_id % 3 AS INTEGER) + 1] AS module,
+         ['low_confidence', 'ood_flagged', 'drift_alert'][CAST(event_id % 3 AS INTEGER) + 1] AS trigger,
+         ['pending', 'pending', 'resolved', 'dismissed'][CAST(event_id % 4 AS INTEGER) + 1] AS status,
+         ts AS created_at, CASE WHEN event_id % 4 >= 2 THEN ts + INTERVAL 1 HOUR END AS reviewed_at
+  FROM events WHERE event_id % 10 = 0)"""
+
+RESOLUTIONS = """res AS (
+  SELECT id AS queue_id, status, reviewed_at AS resolved_at FROM queue WHERE status <> 'pending'
+  UNION ALL SELECT id, 'dismissed', created_at + INTERVAL 30 MINUTE FROM queue WHERE id % 20 = 0
+  UNION ALL SELECT event_id, 'resolved', ts FROM events WHERE event_id % 10 = 5)"""
+
+
+def drift_log() -> str:
+    from storelens.sources.fixtures import DRIFT_FEATURES
+    names = ", ".join(f"'{f}'" for f in DRIFT_FEATURES)
+    return f"""dlog AS (
+  SELECT event_id AS id, ['product', 'sentiment', 'retention'][CAST(event_id % 3 AS INTEGER) + 1] AS module,
+         [{names}][CAST(event_id % {len(DRIFT_FEATURES)} AS INTEGER) + 1] AS feature_name, 'psi' AS metric,
+         value / 100.0 AS metric_value, CAST(0.2 AS DOUBLE) AS threshold, value / 100.0 > 0.2 AS alert_triggered,
+         'v1' AS reference_version, ts AS created_at
+  FROM events WHERE event_type = 'view')"""
+
+
+STORAGE = """files AS (
+  SELECT event_id AS id, 'req_' || CAST(event_id AS VARCHAR) AS request_id,
+         CASE WHEN event_id % 2 = 0 THEN 'upload' ELSE 'gradcam' END AS file_type,
+         '/store/' || CASE WHEN event_id % 2 = 0 THEN 'upload' ELSE 'gradcam' END || '/' || CAST(event_id AS VARCHAR) || '.png' AS file_path,
+         ts + to_hours(CASE WHEN event_id % 2 = 0 THEN 24 ELSE 1 END) AS expires_at, ts AS created_at,
+         CAST(floor(value * 1024 * 10) AS BIGINT) AS size_bytes
+  FROM events WHERE event_type = 'purchase')"""

@@ -117,6 +117,7 @@ def prediction_logs(t: Tables) -> DataFrame:
         F.floor("value").cast("int").alias("latency_ms"),
         F.when(F.col("event_type") == "error", F.lit(500)).otherwise(F.lit(200)).alias("status_code"),
         F.concat(F.lit("key_"), (F.col("user_id") % 7).cast("string")).alias("api_key_id"),
+        ((eid % 3 == 0) & (F.col("value") > 100)).alias("ood_flagged"),
         F.col("ts").alias("created_at"),
     )
 
@@ -191,3 +192,50 @@ def churn_predictions(features: DataFrame) -> DataFrame:
     return features.where(F.col("churned").isNotNull()).select(
         "*", F.col("churned").alias("y_true"),
         F.round(F.lit(0.55) * u + F.lit(0.45) * F.col("churned"), 6).alias("prob"))
+
+
+DRIFT_FEATURES = [
+    "recency_days", "recency_days_log", "frequency", "monetary_value", "avg_order_value", "tenure_days",
+    "purchase_gap_cv", "category_diversity", "return_rate", "purchase_trend", "time_decay_weight",
+    "avg_sentiment_score", "last_review_sentiment", "negative_review_count", "avg_battery_sentiment",
+    "avg_shipping_sentiment", "avg_price_sentiment",
+]
+
+
+def drift_events_log(t: Tables) -> DataFrame:
+    """'view' events → a drift-event log (module, feature, psi value, alert)."""
+    eid = F.col("event_id")
+    v = F.col("value") / F.lit(100.0)
+    return t.events.where(F.col("event_type") == "view").select(
+        eid.alias("id"), _pick(MODULES, eid % 3).alias("module"),
+        _pick(DRIFT_FEATURES, eid % len(DRIFT_FEATURES)).alias("feature_name"),
+        F.lit("psi").alias("metric"), v.alias("metric_value"), F.lit(0.2).alias("threshold"),
+        (v > 0.2).alias("alert_triggered"), F.lit("v1").alias("reference_version"), F.col("ts").alias("created_at"))
+
+
+def image_storage(t: Tables) -> DataFrame:
+    """'purchase' events → stored files with a TTL (gradcam 1 h, upload 24 h)."""
+    eid = F.col("event_id")
+    ftype = F.when(eid % 2 == 0, "upload").otherwise("gradcam")
+    ttl_h = F.when(eid % 2 == 0, 24).otherwise(1)
+    return t.events.where(F.col("event_type") == "purchase").select(
+        eid.alias("id"), F.concat(F.lit("req_"), eid.cast("string")).alias("request_id"), ftype.alias("file_type"),
+        F.concat(F.lit("/store/"), ftype, F.lit("/"), eid.cast("string"), F.lit(".png")).alias("file_path"),
+        (F.col("ts") + F.make_interval(hours=ttl_h)).alias("expires_at"), F.col("ts").alias("created_at"),
+        F.floor(F.col("value") * 1024 * 10).cast("bigint").alias("size_bytes"))
+
+
+def queue_resolutions(t: Tables) -> DataFrame:
+    """Append-only resolution log for the review queue: the final decision of
+    resolved/dismissed rows, an older superseded decision for every 20th row,
+    and decisions for ids that are not in the queue (event_id % 10 = 5)."""
+    q = review_queue(t)
+    final = q.where(F.col("status") != "pending").select(
+        F.col("id").alias("queue_id"), "status", F.col("reviewed_at").alias("resolved_at"))
+    older = q.where(F.col("id") % 20 == 0).select(
+        F.col("id").alias("queue_id"), F.lit("dismissed").alias("status"),
+        (F.col("created_at") + F.expr("INTERVAL 30 MINUTES")).alias("resolved_at"))
+    eid = F.col("event_id")
+    unknown = t.events.where(eid % 10 == 5).select(eid.alias("queue_id"), F.lit("resolved").alias("status"),
+                                                   F.col("ts").alias("resolved_at"))
+    return final.unionByName(older).unionByName(unknown)
