@@ -242,3 +242,35 @@ STORAGE = """files AS (
          ts + to_hours(CASE WHEN event_id % 2 = 0 THEN 24 ELSE 1 END) AS expires_at, ts AS created_at,
          CAST(floor(value * 1024 * 10) AS BIGINT) AS size_bytes
   FROM events WHERE event_type = 'purchase')"""
+
+
+def content_files_sql() -> str:
+    from storelens.operators.metrics import TARGET_CATEGORIES
+    from storelens.sources.fixtures import FILE_EXTENSIONS
+    cats = ", ".join(f"'{c}'" for c in TARGET_CATEGORIES)
+    exts = ", ".join(f"'{e}'" for e in FILE_EXTENSIONS)
+    return f"""files AS (
+  SELECT page_id, '/images/' || cat || '/' || regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g') || ext AS path,
+         cat AS category, content FROM (
+    SELECT page_id, url,
+           [{cats}][CAST(CAST(('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8)) AS BIGINT) % 8 AS INTEGER) + 1] AS cat,
+           CASE WHEN page_id % 9 = 0 THEN '.png' ELSE [{exts}][CAST(page_id % 5 AS INTEGER) + 1] END AS ext,
+           (CASE WHEN page_id % 9 = 0 OR page_id % 4 = 0 THEN unhex('89504E470D0A1A0A')
+                 WHEN page_id % 4 = 1 THEN unhex('FFD8FFE0')
+                 WHEN page_id % 4 = 2 THEN unhex('52494646') || unhex('00000000') || unhex('57454250')
+                 ELSE unhex('') END)
+           || encode(CASE WHEN page_id % 9 = 0 THEN repeat('dup ', 2000) || CAST(page_id % 4 AS VARCHAR) ELSE html END) AS content
+    FROM pages))"""
+
+
+def ext_sql(path: str) -> str:
+    return f"lower(regexp_extract(regexp_extract({path}, '([^/]*)$', 1), '[^.](\\.[^.]*)$', 1))"
+
+
+def magic_sql(content: str, ext: str) -> str:
+    h = f"hex({content})"
+    return (f"CASE WHEN octet_length({content}) < 4 THEN false "
+            f"WHEN {ext} IN ('.jpg', '.jpeg') THEN starts_with({h}, 'FFD8') "
+            f"WHEN {ext} = '.png' THEN starts_with({h}, '89504E47') "
+            f"WHEN {ext} = '.webp' THEN octet_length({content}) >= 12 AND substr({h}, 17, 8) = '57454250' "
+            f"ELSE true END")

@@ -239,3 +239,29 @@ def queue_resolutions(t: Tables) -> DataFrame:
     unknown = t.events.where(eid % 10 == 5).select(eid.alias("queue_id"), F.lit("resolved").alias("status"),
                                                    F.col("ts").alias("resolved_at"))
     return final.unionByName(older).unionByName(unknown)
+
+
+FILE_EXTENSIONS = [".jpg", ".png", ".webp", ".gif", ".JPEG"]
+
+
+def content_files(t: Tables) -> DataFrame:
+    """pages → content files: bytes = magic prefix + UTF-8 html, path from the URL,
+    category = one of 8 names by a hash of the page id. Every 9th page carries one
+    of four shared bodies (exact copies across categories)."""
+    from storelens.operators.metrics import TARGET_CATEGORIES
+    p = t.pages
+    pid = F.col("page_id")
+    kind = pid % 4
+    magic = (F.when(kind == 0, F.unhex(F.lit("89504E470D0A1A0A")))
+              .when(kind == 1, F.unhex(F.lit("FFD8FFE0")))
+              .when(kind == 2, F.concat(F.lit("RIFF").cast("binary"), F.unhex(F.lit("00000000")), F.lit("WEBP").cast("binary")))
+              .otherwise(F.lit("").cast("binary")))
+    body = F.when(pid % 9 == 0, F.concat(F.repeat(F.lit("dup "), 2000), (pid % 4).cast("string"))).otherwise(F.col("html"))
+    content = F.concat(F.when(pid % 9 == 0, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(magic), F.encode(body, "UTF-8"))
+    ext = F.element_at(F.array(*[F.lit(e) for e in FILE_EXTENSIONS]), (pid % 5 + 1).cast("int"))
+    ext = F.when(pid % 9 == 0, F.lit(".png")).otherwise(ext)
+    cat_idx = F.conv(F.substring(F.md5(pid.cast("string")), 1, 8), 16, 10).cast("bigint") % 8
+    cat = F.element_at(F.array(*[F.lit(c) for c in TARGET_CATEGORIES]), (cat_idx + 1).cast("int"))
+    return p.select(pid.alias("page_id"),
+                    F.concat(F.lit("/images/"), cat, F.lit("/"), F.regexp_replace(F.col("url"), r"[^A-Za-z0-9]+", "_"), ext).alias("path"),
+                    cat.alias("category"), content.alias("content"))
