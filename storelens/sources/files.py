@@ -142,3 +142,20 @@ def perf_snapshot_append(metrics: DataFrame, snapshot_date: str) -> DataFrame:
     v = F.col("value").try_cast("double")
     return (metrics.where(v.isNotNull())
             .select(F.lit(snapshot_date).cast("date").alias("snapshot_date"), "metric", v.alias("value")))
+
+
+def write_xml_lines(lines: DataFrame, path: str, root: str) -> None:
+    """Write one-element-per-row XML text, each output file wrapped in ``<root>``.
+
+    The XML source needs a single document element per file; the wrapper is
+    added per partition (``mapInPandas`` sees a partition's batches in order).
+    """
+    import pandas as pd
+
+    def wrap(batches):
+        yield pd.DataFrame({"value": [f"<{root}>"]})
+        for b in batches:
+            yield b
+        yield pd.DataFrame({"value": [f"</{root}>"]})
+
+    lines.mapInPandas(wrap, "value string").write.mode("overwrite").text(path)
