@@ -34,8 +34,8 @@ def stratified_rank(df: DataFrame, strata: list[str], id_col: str, seed: str | i
                          F.sum("_c").over(wt).alias(size_col))
     j = d.join(offs, [*strata, "_b"])
     w = Window.partitionBy(*strata, "_b").orderBy("_h", id_col)
-    return (j.withColumn(rank_col, (F.row_number().over(w) - 1 + F.col("_off")).cast("bigint"))
-             .drop("_h", "_b", "_off"))
+    out = j.withColumn(rank_col, (F.row_number().over(w) - 1 + F.col("_off")).cast("bigint"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], rank_col, size_col)
 
 
 def global_rank(df: DataFrame, order: Column, bucket: Column, rank_col: str = "_rank") -> DataFrame:

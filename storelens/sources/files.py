@@ -96,10 +96,14 @@ def scan_aspect_xml(spark: SparkSession, path: str) -> DataFrame:
         "sentence_id", "text", F.col("t._term").alias("term"), F.col("t._polarity").alias("polarity"))
 
 
-def scan_labelled_reviews(spark: SparkSession, path: str) -> DataFrame:
+def scan_labelled_reviews(spark: SparkSession, path: str, split_col: str | None = "split") -> DataFrame:
     """Labelled split CSV; drop blank text and unknown labels; label → 0/1/2;
-    defaults rating 3 and source 'unknown'."""
-    df = spark.read.schema(S.LABELLED_REVIEWS).option("header", True).option("multiLine", True) \
+    defaults rating 3 and source 'unknown'. A ``split=…`` folder becomes a column."""
+    schema = S.LABELLED_REVIEWS
+    if split_col:
+        from pyspark.sql import types as T
+        schema = T.StructType([*schema.fields, T.StructField(split_col, T.StringType())])
+    df = spark.read.schema(schema).option("header", True).option("multiLine", True) \
         .option("escape", '"').csv(path)
     lab = F.lower(F.trim(F.col("label")))
     m = F.create_map(*[x for k, v in VALID_LABELS.items() for x in (F.lit(k), F.lit(v))])
@@ -107,7 +111,8 @@ def scan_labelled_reviews(spark: SparkSession, path: str) -> DataFrame:
             .where(lab.isin(*VALID_LABELS))
             .select("review_id", "text", F.element_at(m, lab).alias("label"),
                     F.coalesce(F.col("rating"), F.lit(3)).alias("rating"),
-                    F.coalesce(F.col("source"), F.lit("unknown")).alias("source")))
+                    F.coalesce(F.col("source"), F.lit("unknown")).alias("source"),
+                    *([split_col] if split_col else [])))
 
 
 def sink_feature_table(features: DataFrame, base: str, real_sentiment: bool, csv_copy: bool = True) -> str:
@@ -122,7 +127,9 @@ def sink_feature_table(features: DataFrame, base: str, real_sentiment: bool, csv
 
 def sink_split_manifests(df: DataFrame, path: str, split_col: str = "split") -> str:
     """One CSV folder per split in one pass (empty splits simply produce no folder)."""
-    df.write.mode("overwrite").partitionBy(split_col).option("header", True).option("escape", '"').csv(path)
+    cols = [c for c in df.columns if c != split_col] + [split_col]
+    df.select(*cols).write.mode("overwrite").partitionBy(split_col).option("header", True) \
+      .option("escape", '"').csv(path)
     return path
 
 
