@@ -270,3 +270,60 @@ def assemble_features(rfm: DataFrame, behaviour: DataFrame, temporal: DataFrame,
     out = _fill(out, ASSEMBLY_DEFAULTS)
     return (out.withColumn("negative_review_count", F.col("negative_review_count").cast("bigint"))
                .withColumn("has_reviews", F.col("has_reviews").cast("int")))
+
+
+def customer_feature_table(clean: DataFrame, snapshot: str, obs_start: str, horizon_days: int | None,
+                           reviews: DataFrame | None, aspects: DataFrame | None, sentiment_snapshot: str | None = None,
+                           lam: float = TIME_DECAY_LAMBDA) -> DataFrame:
+    """J1, fused: the whole feature table from three passes over the window lines.
+
+    * one per-customer aggregate for RFM, diversity, decay and the label summary
+      (they share max/min/distinct-invoice/spend; two distinct counts → one Expand),
+    * one (customer, day) aggregate for the gap CV (skew-safe, see A3),
+    * one (customer, month) aggregate for the trend,
+    plus the distinct horizon ids for the label. Every side is keyed by
+    CustomerID, so the final left joins are co-partitioned.
+    """
+    from storelens.operators.clean import horizon_window, observation_window
+    obs = observation_window(clean, obs_start, snapshot)
+    s = ts_lit(snapshot)
+    core = obs.groupBy(F.col(CUST_IN).alias("CustomerID")).agg(
+        F.max("InvoiceDate").alias("last_order_date"), F.min("InvoiceDate").alias("first_order_date"),
+        F.countDistinct("Invoice").alias("frequency"), F.sum("LineTotal").alias("_spend"),
+        F.countDistinct("StockCode").alias("category_diversity"))
+    rec = elapsed_days(F.col("last_order_date"), s)
+    core = core.select(
+        "CustomerID", "last_order_date", "first_order_date", F.col("frequency").cast("bigint").alias("frequency"),
+        F.greatest(F.col("_spend"), F.lit(0.0)).alias("monetary_value"), rec.alias("recency_days"),
+        elapsed_days(F.col("first_order_date"), s).alias("tenure_days"),
+        (F.col("_spend") / F.col("frequency")).alias("avg_order_value"),
+        F.log1p(rec.cast("double")).alias("recency_days_log"),
+        F.col("category_diversity").cast("bigint").alias("category_diversity"))
+    gaps = purchase_gap_stats(obs)
+    trend = purchase_trend(monthly_order_counts(obs, snapshot)).withColumn("_recent", F.lit(True))
+    out = core.join(gaps, "CustomerID", "left").join(trend, "CustomerID", "left")
+    if reviews is not None and aspects is not None:
+        ss = sentiment_snapshot or snapshot
+        out = (out.join(doc_sentiment_agg(reviews, ss), "CustomerID", "left")
+                  .join(aspect_sentiment_pivot(aspects, ss), "CustomerID", "left"))
+    else:
+        out = out.select("*", *[F.lit(None).alias(k) for k in SENTIMENT_DEFAULTS])
+    if horizon_days is not None:
+        hz = (horizon_window(clean, snapshot, horizon_days).select(F.col(CUST_IN).alias("CustomerID")).distinct()
+              .withColumn("_ret", F.lit(1)))
+        out = out.join(hz, "CustomerID", "left")
+    cv = _gap_cv(F.col("n_lines"), F.col("gap_sum"), F.col("gap_sumsq"))
+    cols = [
+        "CustomerID", "last_order_date", "first_order_date", "frequency", "monetary_value", "recency_days",
+        "tenure_days", "avg_order_value", "recency_days_log",
+        F.coalesce(cv, F.lit(SINGLE_ORDER_SENTINEL)).alias("purchase_gap_cv"), "category_diversity",
+        (F.col("n_lines") < 2).cast("int").alias("is_single_purchase"), F.lit(0.0).alias("return_rate"),
+        F.coalesce(F.col("purchase_trend"), F.lit(0.0)).alias("purchase_trend"),
+        F.when(F.col("_recent"), F.exp(F.lit(-float(lam)) * F.col("recency_days"))).otherwise(F.lit(0.0)).alias("time_decay_weight"),
+        *[F.coalesce(F.col(k), F.lit(v)).cast("bigint" if k == "negative_review_count" else
+                                              ("int" if k == "has_reviews" else "double")).alias(k)
+          for k, v in SENTIMENT_DEFAULTS.items()],
+    ]
+    if horizon_days is not None:
+        cols.append(F.col("_ret").isNull().cast("int").alias("churned"))
+    return out.select(*cols)

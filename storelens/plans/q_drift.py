@@ -14,11 +14,12 @@ SHIFT_FEATURE = "recency_days"
 
 
 def _ref(spark, sf):
-    return customer_features(spark, sf, with_labels=False, snap=REF_SNAP, obs_start=REF_OBS)
+    """Reference-period features, checkpointed: drift reads them several times."""
+    return customer_features(spark, sf, with_labels=False, snap=REF_SNAP, obs_start=REF_OBS).checkpoint(eager=True)
 
 
 def _cur(spark, sf):
-    return customer_features(spark, sf, with_labels=False)
+    return customer_features(spark, sf, with_labels=False).checkpoint(eager=True)
 
 
 _CASTS = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUM)

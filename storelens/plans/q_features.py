@@ -17,7 +17,16 @@ SNAP, OBS, HZ, SSNAP = FX.RETENTION_SNAPSHOT, FX.RETENTION_OBS_START, 90, FX.SEN
 
 
 def customer_features(spark, sf, with_labels: bool = True, snap: str = SNAP, obs_start: str = OBS):
-    """J1 over the test tables: the full feature table of the retention model."""
+    """J1 over the test tables: the full feature table of the retention model
+    (fused form: three passes over the window lines, see ``customer_feature_table``)."""
+    t = Tables(spark, sf)
+    clean = C.clean_transactions(FX.transactions(t), country=None)
+    return FE.customer_feature_table(clean, snap, obs_start, HZ if with_labels else None,
+                                     FX.review_sentiment(t), FX.aspect_sentiment(t), SSNAP)
+
+
+def customer_features_unfused(spark, sf, with_labels: bool = True, snap: str = SNAP, obs_start: str = OBS):
+    """J1 as separate operators (RFM ⟕ behaviour ⟕ temporal ⟕ sentiment ⟕ labels)."""
     t = Tables(spark, sf)
     clean = C.clean_transactions(FX.transactions(t), country=None)
     obs = C.observation_window(clean, obs_start, snap)
@@ -68,8 +77,8 @@ def q_customer_features(spark, sf):
 
 @register("assemble_features", FEATURE_CTES + "SELECT * EXCLUDE (churned) FROM features", FEATURE_DOUBLES)
 def q_assemble(spark, sf):
-    """J1 without labels"""
-    return customer_features(spark, sf, with_labels=False)
+    """J1 without labels, from the separate family operators"""
+    return customer_features_unfused(spark, sf, with_labels=False)
 
 
 @register("doc_sentiment_agg", SENT_CTES + "SELECT * FROM doc_agg", ["avg_sentiment_score", "last_review_sentiment"])
