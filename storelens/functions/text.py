@@ -53,13 +53,12 @@ def word_token_ids(text: Column) -> Column:
         words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % VOCAB_SPAN + VOCAB_OFFSET))
 
 
-def head_tail_tokens(text: Column) -> Column:
-    """C4: struct(n_tokens, input_ids, attention_mask, truncation_applied).
+def head_tail_tokens(ids: Column) -> Column:
+    """C4: struct(n_tokens, input_ids, attention_mask, truncation_applied) from token ids.
 
     ≤ 510 tokens: [CLS] + all + [SEP], padded with 0 to 512 (mask 1s then 0s).
     Longer: [CLS] + first 128 + last 382 + [SEP] (exactly 512, all mask 1).
     """
-    ids = word_token_ids(text)
     n = F.size(ids)
     short_ids = F.concat(F.array(F.lit(CLS_ID).cast("bigint")), ids, F.array(F.lit(SEP_ID).cast("bigint")))
     pad = F.greatest(F.lit(MAX_TOKENS) - n - 2, F.lit(0))
@@ -89,3 +88,14 @@ def length_band(char_length: Column) -> Column:
         cond = (est >= lo) & (est < hi)
         expr = F.when(cond, name) if expr is None else expr.when(cond, name)
     return expr
+
+
+def once(expr: Column) -> Column:
+    """Evaluate an expensive expression once per row and expose it as a column.
+
+    Filters on a projected alias are pushed below the projection with the
+    expression substituted, so a five-regex cleaning used by a filter and two
+    projections would run three times. Exploding a one-element array is a
+    ``Generate`` barrier: the value is produced once and later operators read it.
+    """
+    return F.explode(F.array(expr))

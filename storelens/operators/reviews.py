@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.text import (clean_review_text, head_tail_tokens, rating_label,
-                                      review_invalid_reason)
+from storelens.functions.text import (clean_review_text, head_tail_tokens, once, rating_label,
+                                      review_invalid_reason, word_token_ids)
+from storelens.session import spread
 
 
 def review_records(raw: DataFrame, source: str | None = None) -> DataFrame:
@@ -14,14 +15,14 @@ def review_records(raw: DataFrame, source: str | None = None) -> DataFrame:
 
     Same rules as the JSONL scan (S3) for rows already in a table.
     """
+    raw = spread(raw)
     rating = F.col("rating").try_cast("double").cast("int")
-    text = clean_review_text(F.col("text"))
     src = F.lit(source) if source is not None else F.col("asin")
     recs = raw.select(
         F.concat(F.coalesce(F.col("asin"), F.lit("unk")), F.lit("_"),
                  F.substring(F.sha2(F.concat_ws("|", F.col("user_id"), F.col("timestamp").cast("string"),
                                                 F.col("asin")), 256), 1, 16)).alias("review_id"),
-        text.alias("text"), rating.alias("rating"), src.alias("source"),
+        once(clean_review_text(F.col("text"))).alias("text"), rating.alias("rating"), src.alias("source"),
         F.coalesce(F.col("verified_purchase"), F.lit(False)).alias("verified_purchase"))
     recs = recs.where(F.col("rating").isNotNull() & (review_invalid_reason(F.col("text"), F.col("rating")) == "ok"))
     return recs.select("review_id", "text", "rating", rating_label(F.col("rating")).alias("label"),
@@ -30,10 +31,12 @@ def review_records(raw: DataFrame, source: str | None = None) -> DataFrame:
 
 def validate_reviews(raw: DataFrame) -> DataFrame:
     """C2 report per record: cleaned length, parsed rating, reason."""
+    raw = spread(raw)
     rating = F.col("rating").try_cast("double").cast("int")
-    text = clean_review_text(F.col("text"))
-    return raw.select(F.col("user_id").alias("record_id"), F.length(text).alias("char_length"),
-                      rating.alias("rating"), review_invalid_reason(text, rating).alias("reason"))
+    c = raw.select(F.col("user_id").alias("record_id"), rating.alias("rating"),
+                   once(clean_review_text(F.col("text"))).alias("_t"))
+    return c.select("record_id", F.length("_t").alias("char_length"), "rating",
+                    review_invalid_reason(F.col("_t"), F.col("rating")).alias("reason"))
 
 
 def label_distribution(reviews: DataFrame, label_col: str = "label") -> DataFrame:
@@ -46,8 +49,8 @@ def label_distribution(reviews: DataFrame, label_col: str = "label") -> DataFram
 
 def tokenize_reviews(reviews: DataFrame, id_col: str = "review_id", text_col: str = "text") -> DataFrame:
     """C4 per review: pseudo token ids with head+tail truncation."""
-    t = head_tail_tokens(F.col(text_col))
-    return reviews.select(id_col, t.alias("_t")).select(id_col, "_t.*")
+    ids = reviews.select(id_col, once(word_token_ids(F.col(text_col))).alias("_ids"))
+    return ids.select(id_col, head_tail_tokens(F.col("_ids")).alias("_t")).select(id_col, "_t.*")
 
 
 def truncation_rate(tokens: DataFrame) -> DataFrame:

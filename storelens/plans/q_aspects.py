@@ -11,7 +11,7 @@ from storelens.operators import aspects as AS
 from storelens.plans import oracle as O
 from storelens.plans.q_reviews import clean_sql
 from storelens.plans.registry import register
-from storelens.session import scratch_path
+from storelens.session import scratch_path, spread
 from storelens.sources import files as FL
 from storelens.sources.tables import Tables
 
@@ -21,8 +21,9 @@ POLARITIES = ["positive", "negative", "neutral", "conflict"]
 
 
 def _sentences(spark, sf):
-    d = Tables(spark, sf).documents
-    txt = F.rtrim(F.substring(clean_review_text(F.col("text")), 1, 120))
+    d = spread(Tables(spark, sf).documents)
+    from storelens.functions.text import once
+    txt = once(F.rtrim(F.substring(clean_review_text(F.col("text")), 1, 120)))
     return d.select(F.col("doc_id").cast("string").alias("sentence_id"), F.col("doc_id"), txt.alias("text"))
 
 

@@ -10,7 +10,7 @@ from storelens.operators import splits as SP
 from storelens.operators.labels import churn_labels
 from storelens.plans import oracle as O
 from storelens.plans.registry import register
-from storelens.session import scratch_path
+from storelens.session import scratch_path, spread
 from storelens.sources import files as FL
 from storelens.sources import fixtures as FX
 from storelens.sources.tables import Tables
@@ -56,14 +56,14 @@ def _reviews(spark, sf):
 @register("clean_review_text", f"SELECT doc_id, {clean_sql('text')} AS clean_text FROM documents")
 def q_clean_text(spark, sf):
     """C1 over whole documents"""
-    d = Tables(spark, sf).documents
+    d = spread(Tables(spark, sf).documents)
     return d.select("doc_id", TX.clean_review_text(F.col("text")).alias("clean_text"))
 
 
 @register("clean_html_text", f"SELECT page_id, {clean_sql('html')} AS clean_text FROM pages")
 def q_clean_html(spark, sf):
     """C1 over raw web pages (tag stripping)"""
-    p = Tables(spark, sf).pages
+    p = spread(Tables(spark, sf).pages)
     return p.select("page_id", TX.clean_review_text(F.col("html")).alias("clean_text"))
 
 
@@ -184,8 +184,8 @@ CONV = f"""conv AS (
 
 
 def _conversation_reviews(spark, sf):
-    c = Tables(spark, sf).conversations.where(F.col("role") == "user")
-    t = TX.clean_review_text(F.col("text"))
+    c = spread(Tables(spark, sf).conversations).where(F.col("role") == "user")
+    t = TX.once(TX.clean_review_text(F.col("text")))
     r = ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int")
     out = c.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("review_id"),
                    t.alias("text"), r.alias("rating"))

@@ -59,3 +59,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/storelens/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df, factor: int = 2):
+    """Spread a CPU-heavy narrow stage (regex, hashing, pandas UDFs) over the cluster.
+
+    A scan of a few large files or row groups yields fewer partitions than
+    cores; then the expensive per-row work would run on a handful of tasks.
+    Round-robin repartition only in that case — at scale, scans already have
+    thousands of splits and this is a no-op (no extra shuffle).
+    """
+    if df.isStreaming:
+        return df
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    return df.repartition(target) if df.rdd.getNumPartitions() < max(2, target // 4) else df

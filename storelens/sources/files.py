@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens import schemas as S
-from storelens.functions.text import clean_review_text, rating_label, review_invalid_reason
+from storelens.functions.text import clean_review_text, once, rating_label, review_invalid_reason
 
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp")
 VALID_LABELS = {"negative": 0, "neutral": 1, "positive": 2}
@@ -48,7 +48,7 @@ def scan_reviews_jsonl(spark: SparkSession, paths: str | list[str], source: str
     ok = raw.where(F.col("_corrupt_record").isNull())
     ok = ok.repartition(spark.sparkContext.defaultParallelism)
     rating = F.col("rating").try_cast("double").cast("int")
-    text = clean_review_text(F.col("text"))
+    text = once(clean_review_text(F.col("text")))
     stem = F.regexp_extract(F.col("_file"), r"^(.*)\.[^.]*$", 1)
     src = F.lit(source) if source is not None else stem
     recs = ok.select(

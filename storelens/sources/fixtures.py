@@ -157,6 +157,7 @@ def class_predictions(t: Tables) -> DataFrame:
     embedding width, not by the row count); they are aggregated in Spark and
     attached as a literal so scoring is a narrow map over the rows.
     """
+    from storelens.session import spread
     emb = t.embeddings
     cent = (emb.select("label", F.posexplode("embedding").alias("i", "v"))
             .groupBy("label", "i").agg(F.avg("v").alias("c")))
@@ -165,6 +166,7 @@ def class_predictions(t: Tables) -> DataFrame:
     dims = max(r["i"] for r in rows) + 1
     mat = {(r["label"], r["i"]): r["c"] for r in rows}
     cen = F.array(*[F.array(*[F.lit(float(mat[(k, i)])) for i in range(dims)]) for k in labels])
+    emb = spread(emb)
     x = F.col("embedding")
     dist = F.transform(cen, lambda c: F.sqrt(F.aggregate(
         F.zip_with(x, c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v)))
@@ -249,7 +251,8 @@ def content_files(t: Tables) -> DataFrame:
     category = one of 8 names by a hash of the page id. Every 9th page carries one
     of four shared bodies (exact copies across categories)."""
     from storelens.operators.metrics import TARGET_CATEGORIES
-    p = t.pages
+    from storelens.session import spread
+    p = spread(t.pages)
     pid = F.col("page_id")
     kind = pid % 4
     magic = (F.when(kind == 0, F.unhex(F.lit("89504E470D0A1A0A")))
