@@ -56,5 +56,5 @@ def register(name: str, sql: str | None = None, doubles: list[str] | None = None
 def load_all() -> None:
     """Import every query module so that its ``register`` calls run."""
     import importlib
-    for m in ("retention", "reviews", "features", "metrics", "drift", "monitoring", "content", "aspects", "sources"):
+    for m in ("retention", "reviews", "features", "metrics", "drift", "monitoring", "content", "aspects", "sources", "models"):
         importlib.import_module(f"storelens.plans.q_{m}")
