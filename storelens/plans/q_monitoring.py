@@ -318,7 +318,7 @@ def q_sessions_stream(spark, sf):
 
     def tf(s):
         return MN.customer_sessions(s.withWatermark("ts", "10 minutes"))
-    out = run_available_now(spark, root, EVENT_SCHEMA.add("chunk", T.IntegerType()), tf, "sessions")
+    out = run_available_now(spark, root, T.StructType([*EVENT_SCHEMA.fields, T.StructField("chunk", T.IntegerType())]), tf, "sessions")
     return out.where(F.col("user_id") >= 0).select(
         "user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
         F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n_events", "total_value")
@@ -337,7 +337,7 @@ def q_dedup_stream(spark, sf):
                       F.element_at(F.array(*[F.lit(m) for m in FX.MODULES]), (F.col("event_id") % 3 + 1).cast("int")).alias("module"),
                       F.floor("value").cast("int").alias("latency_ms"), F.col("ts").alias("created_at"))
         return MN.dedup_prediction_stream(lg, "10 minutes")
-    out = run_available_now(spark, root, EVENT_SCHEMA.add("chunk", T.IntegerType()), tf, "dedup")
+    out = run_available_now(spark, root, T.StructType([*EVENT_SCHEMA.fields, T.StructField("chunk", T.IntegerType())]), tf, "dedup")
     return out.select("request_id", "module", "latency_ms", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
 

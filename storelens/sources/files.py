@@ -74,10 +74,13 @@ def scan_image_tree(spark: SparkSession, root: str) -> DataFrame:
     ``binaryFile`` lists and reads files in parallel; the category is the
     first directory below the root.
     """
+    import re
+    from urllib.parse import urlparse
     root = root.rstrip("/")
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
     ext = F.lower(F.regexp_extract(F.col("path"), r"(\.[^./]+)$", 1))
-    rel = F.regexp_extract(F.col("path"), r"^.*?" + root.split("/")[-1] + r"/(.*)$", 1)
+    root_path = urlparse(root).path.rstrip("/") or root
+    rel = F.regexp_extract(F.col("path"), r"^.*" + re.escape(root_path) + r"/(.*)$", 1)
     return (df.where(ext.isin(*IMAGE_EXTENSIONS))
             .select("path", F.regexp_extract(rel, r"^([^/]+)/", 1).alias("category"),
                     "length", "modificationTime", "content"))
