@@ -124,11 +124,21 @@ def purchase_gap_cv(obs: DataFrame) -> DataFrame:
 
 
 def order_gaps(obs: DataFrame) -> DataFrame:
-    """Whole-day gap between consecutive purchases of a customer (row per line)."""
-    w = Window.partitionBy(_cust(obs)).orderBy("InvoiceDate", "Invoice", "StockCode")
-    return obs.select(
-        _cust(obs).alias("CustomerID"), "Invoice", "InvoiceDate",
-        elapsed_days(F.lag("InvoiceDate").over(w), F.col("InvoiceDate")).alias("gap_days"))
+    """Whole-day gap between consecutive purchases of a customer (row per line).
+
+    Two-level: ``lag`` inside (customer, day) windows; the first line of a day
+    takes its predecessor from a per-(customer, day) summary (last time of the
+    previous active day), whose window is bounded by the number of active days.
+    """
+    key = [F.col(CUST_IN).alias("CustomerID") if "Customer ID" in obs.columns else F.col("CustomerID")]
+    d = obs.select(*key, "Invoice", "StockCode", "InvoiceDate", F.to_date("InvoiceDate").alias("_day"))
+    w = Window.partitionBy("CustomerID", "_day").orderBy("InvoiceDate", "Invoice", "StockCode")
+    d = d.withColumn("_prev", F.lag("InvoiceDate").over(w))
+    last = d.groupBy("CustomerID", "_day").agg(F.max("InvoiceDate").alias("_last"))
+    last = last.withColumn("_prev_day_last", F.lag("_last").over(Window.partitionBy("CustomerID").orderBy("_day")))
+    j = d.join(last.select("CustomerID", "_day", "_prev_day_last"), ["CustomerID", "_day"])
+    prev = F.coalesce(F.col("_prev"), F.col("_prev_day_last"))
+    return j.select("CustomerID", "Invoice", "InvoiceDate", elapsed_days(prev, F.col("InvoiceDate")).alias("gap_days"))
 
 
 def category_diversity(obs: DataFrame) -> DataFrame:

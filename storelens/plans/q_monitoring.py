@@ -230,6 +230,7 @@ depth AS (SELECT module, t, CAST(sum(delta) OVER (PARTITION BY module ORDER BY t
 
 
 def _gauge_sql(src: str, series: str, limit: float, for_min: int) -> str:
+    src = f"(SELECT {series}, date_trunc('minute', t) AS t, max(value) AS value FROM {src} GROUP BY ALL)"
     return f"""SELECT {series}, min(t) AS streak_start, coalesce(arg_max(next_t, t), max(t)) AS streak_end,
   CAST(count(*) AS BIGINT) AS n_samples,
   (epoch_us(coalesce(arg_max(next_t, t), max(t))) - epoch_us(min(t))) / 60000000 >= {for_min} AS firing
@@ -288,7 +289,13 @@ SESSIONS = """sess AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTER
 
 @register("customer_sessions", O.with_(SESSIONS) + "SELECT * FROM sess", ["total_value"])
 def q_sessions(spark, sf):
-    """30-minute activity sessions per user (batch form)"""
+    """30-minute activity sessions per user (batch, two-level form)"""
+    return MN.customer_sessions_batch(Tables(spark, sf).events)
+
+
+@register("customer_sessions_window", O.with_(SESSIONS) + "SELECT * FROM sess", ["total_value"])
+def q_sessions_window(spark, sf):
+    """The same sessions with the built-in ``session_window`` aggregate"""
     return MN.customer_sessions(Tables(spark, sf).events)
 
 

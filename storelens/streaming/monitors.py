@@ -159,6 +159,8 @@ def gauge_over_limit(samples: DataFrame, series: list[str], limit: float, for_mi
     Change points: consecutive samples with the condition true form an island
     that lasts until the next sample where it is false (or the last sample).
     """
+    # one sample per series and minute (the scrape): bounds the window by time span
+    samples = samples.groupBy(*series, F.date_trunc("minute", "t").alias("t")).agg(F.max("value").alias("value"))
     w = Window.partitionBy(*series).orderBy("t")
     cond = F.col("value") > limit
     d = samples.withColumn("_c", cond).withColumn("_rn", F.row_number().over(w)) \
@@ -190,13 +192,53 @@ def gauge_threshold_alert(samples: DataFrame, rules: list[tuple] | None = None)
 
 
 def customer_sessions(events: DataFrame, gap: str = "30 minutes", ts: str = "ts") -> DataFrame:
-    """Activity sessions per user (``session_window``; stream with a watermark)."""
+    """Activity sessions per user — ``session_window`` (streaming form, with a
+    watermark the state per user is bounded by the gap)."""
     g = events.groupBy("user_id", F.session_window(ts, gap).alias("s")).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_events"), F.sum("value").alias("total_value"))
     return g.select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
                     "n_events", "total_value")
 
 
+def customer_sessions_batch(events: DataFrame, gap_minutes: int = 30, ts: str = "ts",
+                            bucket: str = "hour") -> DataFrame:
+    """T11 (batch, skew-safe): same sessions as ``session_window`` without sorting a
+    user's whole history in one task.
+
+    1. window per (user, hour): local sessions split where the gap ≥ 30 min;
+    2. a per-(user, hour) summary (first / last event time, number of local
+       sessions) — one row per active hour — decides whether a bucket's first
+       local session continues the previous bucket's last one;
+    3. global session ids from prefix sums over that small summary, then a
+       partial/final aggregate per (user, session).
+    A user with a third of all events still spreads over its active hours.
+    """
+    gap_us = gap_minutes * 60_000_000
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    e = events.select("user_id", F.col(ts).alias("_t"), us.alias("_u"), F.col("value"),
+                      F.date_trunc(bucket, F.col(ts)).alias("_b"), F.col("event_id") if "event_id" in events.columns
+                      else F.lit(0).alias("event_id"))
+    w = Window.partitionBy("user_id", "_b").orderBy("_u", "event_id")
+    e = e.withColumn("_new", F.when(F.lag("_u").over(w).isNull() | (F.col("_u") - F.lag("_u").over(w) >= gap_us), 1).otherwise(0))
+    e = e.withColumn("_ls", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    local = e.groupBy("user_id", "_b", "_ls").agg(F.min("_u").alias("_s"), F.max("_u").alias("_l"),
+                                                   F.count(F.lit(1)).alias("_n"), F.sum("value").alias("_v"))
+    summ = local.groupBy("user_id", "_b").agg(F.min("_s").alias("_first"), F.max("_l").alias("_last"),
+                                              F.max("_ls").alias("_k"))
+    wb = Window.partitionBy("user_id").orderBy("_b")
+    summ = summ.withColumn("_cont", (F.lag("_last").over(wb).isNotNull() &
+                                     (F.col("_first") - F.lag("_last").over(wb) < gap_us)).cast("int"))
+    summ = summ.withColumn("_new_here", F.col("_k") - F.col("_cont"))
+    summ = summ.withColumn("_off", F.coalesce(F.sum("_new_here").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    j = local.join(summ.select("user_id", "_b", "_cont", "_off"), ["user_id", "_b"])
+    gid = F.col("_off") + F.col("_ls") - F.col("_cont")
+    g = j.groupBy("user_id", gid.alias("_g")).agg(F.min("_s").alias("_s"), F.max("_l").alias("_l"),
+                                                   F.sum("_n").cast("bigint").alias("n_events"), F.sum("_v").alias("total_value"))
+    to_ts = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return g.select("user_id", to_ts(F.col("_s")).alias("session_start"),
+                    to_ts(F.col("_l") + F.lit(gap_us)).alias("session_end"), "n_events", "total_value")
+
+
 def dedup_prediction_stream(logs: DataFrame, watermark: str = "10 minutes", key: str = "request_id",
                             ts: str = "created_at") -> DataFrame:
     """T5: one row per request id within the watermark (streaming form of S10)."""
