@@ -95,8 +95,13 @@ def psi(current: DataFrame, reference: DataFrame, cols: list[str] | None = None)
     count and floored at 1e-6; fewer than 2 edges → 0.
     """
     cols = cols or [r for r in NUMERIC_FEATURE_COLUMNS if r in current.columns]
+    return psi_long(unpivot_features(current, cols), reference)
+
+
+def psi_long(long: DataFrame, reference: DataFrame) -> DataFrame:
+    """D4 on a long ``(feature, value)`` table (``feature`` may be any series key,
+    e.g. a day, as long as the reference has a row for it)."""
     e = _edges(reference)
-    long = unpivot_features(current, cols)
     j = long.join(F.broadcast(e), "feature")
     m = F.size("edges")
     v = F.col("value")
@@ -119,6 +124,24 @@ def psi(current: DataFrame, reference: DataFrame, cols: list[str] | None = None)
         ((F.col("n_all") - F.col("tot")) / F.col("n_all")).alias("out_of_range"))
 
 
+def daily_drift(logs: DataFrame, value: str, ref_start: str, ref_end: str, ts: str = "created_at",
+                module: str = "retention", threshold: float = PSI_THRESHOLD) -> DataFrame:
+    """T9 (batch form): PSI of one monitored value per day against a reference
+    window, as drift-event rows. The reference is one row; it is repeated for
+    each day present (a table of days, not of rows)."""
+    lo, hi = F.lit(ref_start).cast("timestamp_ntz"), F.lit(ref_end).cast("timestamp_ntz")
+    ref_rows = logs.where((F.col(ts) >= lo) & (F.col(ts) < hi)).select(F.col(value).cast("double").alias(value))
+    ref = reference_distribution(ref_rows, [value]).first()  # one row of stored statistics
+    days = logs.select(F.date_format(F.to_date(ts), "yyyy-MM-dd").alias("feature")).distinct()
+    stats = ["min", "p25", "p50", "p75", "p95", "max"]
+    ref_days = days.select("feature", *[F.lit(float(ref[c])).alias(c) for c in stats])
+    long = logs.select(F.date_format(F.to_date(ts), "yyyy-MM-dd").alias("feature"), F.col(value).cast("double").alias("value"))
+    p = psi_long(long.where(F.col("value").isNotNull()), ref_days)
+    return p.select(F.col("feature").alias("day"), F.lit(module).alias("module"), F.lit(value).alias("feature_name"),
+                    F.lit("psi").alias("metric"), F.col("psi").alias("metric_value"), F.lit(threshold).alias("threshold"),
+                    (F.col("psi") > threshold).alias("alert_triggered"))
+
+
 def _ref_cdf(v: Column, strict: bool) -> Column:
     """Reference CDF: piecewise linear through (value_i, rank_i/100) of the six
     stored points. ``strict=False`` gives F(v) (right-continuous: the last rank

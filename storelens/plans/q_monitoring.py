@@ -382,3 +382,66 @@ def q_overview(spark, sf):
 def q_band_share(spark, sf):
     """B4"""
     return B.band_share(LG.risk_band_distribution(_logs(spark, sf)))
+
+
+DAILY = LOGS + """, rlogs AS (SELECT * FROM logs WHERE module = 'retention'),
+ref_v AS (SELECT CAST(latency_ms AS DOUBLE) AS value FROM rlogs
+  WHERE created_at >= TIMESTAMP '2024-01-01' AND created_at < TIMESTAMP '2024-01-08'),
+ref_dist AS (SELECT strftime(d, '%Y-%m-%d') AS feature, r.* FROM (SELECT DISTINCT CAST(created_at AS DATE) AS d FROM rlogs) dd,
+  (SELECT quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75,
+          quantile_cont(value, 0.95) AS p95, min(value) AS min, max(value) AS max FROM ref_v) r),
+cur_long AS (SELECT strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS feature, CAST(latency_ms AS DOUBLE) AS value FROM rlogs)"""
+
+
+def _daily_sql() -> str:
+    from storelens.plans.q_drift import psi_sql
+    return DAILY + psi_sql() + """
+SELECT feature AS day, 'retention' AS module, 'latency_ms' AS feature_name, 'psi' AS metric, psi AS metric_value,
+  CAST(0.2 AS DOUBLE) AS threshold, psi > 0.2 AS alert_triggered FROM psi"""
+
+
+@register("daily_drift_job", _daily_sql(), ["metric_value", "threshold"])
+def q_daily_drift(spark, sf):
+    """T9 (batch): per-day PSI of retention latency against the first week"""
+    from storelens.operators.drift import daily_drift
+    lg = _logs(spark, sf).where(F.col("module") == "retention")
+    return daily_drift(lg, "latency_ms", "2024-01-01", "2024-01-08")
+
+
+@register("daily_drift_stream", _daily_sql(), ["metric_value", "threshold"])
+def q_daily_drift_stream(spark, sf):
+    """T9 (stream): each availableNow micro-batch of log files appends that batch's
+    daily drift events (foreachBatch) to the drift-event table"""
+    from storelens.operators.drift import daily_drift
+    from storelens.session import scratch_path
+    e = Tables(spark, sf).events.withColumn("ts", F.col("ts").cast("timestamp"))
+    root = replay_as_files(e, "ts", 6, "2024-01-01", "2024-01-31", "events-daily")
+    sink = scratch_path(spark, "drift-events")
+    ref_logs = _logs(spark, sf).where(F.col("module") == "retention")
+    ref = ref_logs.where((F.col("created_at") >= F.lit("2024-01-01").cast("timestamp_ntz"))
+                         & (F.col("created_at") < F.lit("2024-01-08").cast("timestamp_ntz")))
+
+    log_table = scratch_path(spark, "retention-log")
+
+    def per_batch(batch, epoch_id):
+        lg = batch.where(F.col("event_id") % 3 == 2).select(
+            F.col("ts").cast("timestamp_ntz").alias("created_at"), F.floor("value").cast("int").alias("latency_ms"))
+        lg.write.mode("append").parquet(log_table)  # the log table grows batch by batch
+        days = lg.select(F.to_date("created_at").alias("d")).distinct()
+        # recompute only the days this batch touched, over everything logged so far
+        so_far = spark.read.parquet(log_table)
+        touched = so_far.join(days, F.to_date("created_at") == F.col("d"), "left_semi")
+        ev = daily_drift(touched.unionByName(ref.select("created_at", "latency_ms")).dropDuplicates(),
+                         "latency_ms", "2024-01-01", "2024-01-08")
+        ev = ev.join(days.select(F.date_format("d", "yyyy-MM-dd").alias("day")), "day", "left_semi")
+        ev.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(sink)
+
+    stream = spark.readStream.schema(T.StructType([*EVENT_SCHEMA.fields, T.StructField("chunk", T.IntegerType())])) \
+        .option("maxFilesPerTrigger", 1).parquet(root)
+    q = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", sink + "-checkpoint") \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    # a day cut across two files is recomputed by the later batch: keep the last epoch's row
+    latest = out.groupBy("day").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("day", "epoch")]), "epoch").alias("r"))
+    return latest.select("day", "r.*")
