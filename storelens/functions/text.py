@@ -46,33 +46,45 @@ def rating_label(rating: Column) -> Column:
              .otherwise("neutral"))
 
 
+def _word_id(w: Column) -> Column:
+    return F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % VOCAB_SPAN + VOCAB_OFFSET
+
+
 def word_token_ids(text: Column) -> Column:
     """Whitespace words → pseudo token ids in [1000, 31000) from md5 (stable)."""
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: F.length(w) > 0)
-    return F.transform(
-        words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % VOCAB_SPAN + VOCAB_OFFSET))
+    return F.transform(words, _word_id)
+
+
+def kept_token_ids(text: Column) -> Column:
+    """struct(n, ids): the word count and the ids of only the words head+tail
+    truncation keeps (≤ 510) — a 20,000-word text hashes 510 words, not 20,000."""
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: F.length(w) > 0)
+    n = F.size(words)
+    kept = F.when(n > MAX_TOKENS - 2, F.concat(F.slice(words, 1, HEAD_TOKENS), F.slice(words, -TAIL_TOKENS, TAIL_TOKENS))) \
+            .otherwise(words)
+    return F.struct(n.alias("n"), F.transform(kept, _word_id).alias("ids"))
 
 
-def head_tail_tokens(ids: Column) -> Column:
-    """C4: struct(n_tokens, input_ids, attention_mask, truncation_applied) from token ids.
+def head_tail_tokens(ids: Column, n: Column | None = None) -> Column:
+    """C4: struct(n_tokens, input_ids, attention_mask, truncation_applied).
 
     ≤ 510 tokens: [CLS] + all + [SEP], padded with 0 to 512 (mask 1s then 0s).
     Longer: [CLS] + first 128 + last 382 + [SEP] (exactly 512, all mask 1).
+    ``ids`` may already be reduced to the kept words (``kept_token_ids``); then
+    pass the full word count as ``n``.
     """
-    n = F.size(ids)
-    short_ids = F.concat(F.array(F.lit(CLS_ID).cast("bigint")), ids, F.array(F.lit(SEP_ID).cast("bigint")))
-    pad = F.greatest(F.lit(MAX_TOKENS) - n - 2, F.lit(0))
-    short_full = F.concat(short_ids, F.array_repeat(F.lit(PAD_ID).cast("bigint"), pad))
-    short_mask = F.concat(F.array_repeat(F.lit(1), n + 2), F.array_repeat(F.lit(0), pad))
-    long_ids = F.concat(F.array(F.lit(CLS_ID).cast("bigint")), F.slice(ids, 1, HEAD_TOKENS),
-                        F.slice(ids, -TAIL_TOKENS, TAIL_TOKENS), F.array(F.lit(SEP_ID).cast("bigint")))
+    n = F.size(ids) if n is None else n
+    cls = F.array(F.lit(CLS_ID).cast("bigint"))
+    sep = F.array(F.lit(SEP_ID).cast("bigint"))
     trunc = n > (MAX_TOKENS - 2)
-    return F.struct(
-        n.alias("n_tokens"),
-        F.when(trunc, long_ids).otherwise(short_full).alias("input_ids"),
-        F.when(trunc, F.array_repeat(F.lit(1), F.size(long_ids))).otherwise(short_mask).alias("attention_mask"),
-        trunc.alias("truncation_applied"),
-    )
+    kept = F.when(trunc & (F.size(ids) > MAX_TOKENS - 2),
+                  F.concat(F.slice(ids, 1, HEAD_TOKENS), F.slice(ids, -TAIL_TOKENS, TAIL_TOKENS))).otherwise(ids)
+    pad = F.greatest(F.lit(MAX_TOKENS) - F.size(kept) - 2, F.lit(0))
+    full = F.concat(cls, kept, sep, F.array_repeat(F.lit(PAD_ID).cast("bigint"), pad))
+    mask = F.concat(F.array_repeat(F.lit(1), F.size(kept) + 2), F.array_repeat(F.lit(0), pad))
+    return F.struct(n.alias("n_tokens"), full.alias("input_ids"), mask.alias("attention_mask"),
+                    trunc.alias("truncation_applied"))
 
 
 def review_preview(text: Column, n: int = PREVIEW_CHARS) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.text import (clean_review_text, head_tail_tokens, once, rating_label,
-                                      review_invalid_reason, word_token_ids)
+                                      review_invalid_reason, kept_token_ids)
 from storelens.session import spread
 
 
@@ -49,8 +49,8 @@ def label_distribution(reviews: DataFrame, label_col: str = "label") -> DataFram
 
 def tokenize_reviews(reviews: DataFrame, id_col: str = "review_id", text_col: str = "text") -> DataFrame:
     """C4 per review: pseudo token ids with head+tail truncation."""
-    ids = reviews.select(id_col, once(word_token_ids(F.col(text_col))).alias("_ids"))
-    return ids.select(id_col, head_tail_tokens(F.col("_ids")).alias("_t")).select(id_col, "_t.*")
+    k = reviews.select(id_col, once(kept_token_ids(F.col(text_col))).alias("_k"))
+    return k.select(id_col, head_tail_tokens(F.col("_k.ids"), F.col("_k.n")).alias("_t")).select(id_col, "_t.*")
 
 
 def truncation_rate(tokens: DataFrame) -> DataFrame:

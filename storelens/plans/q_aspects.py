@@ -86,7 +86,7 @@ def q_scan_xml(spark, sf):
 def _scores(spark, sf):
     """Per (sentence, aspect, sentiment) scores from hashed draws, sharpened and
     normalised over the three sentiments (stand-in for the NLI scorer)."""
-    s = _sentences(spark, sf)
+    s = Tables(spark, sf).documents.select(F.col("doc_id").cast("string").alias("sentence_id"))
     cells = F.array(*[F.struct(F.lit(a).alias("aspect"), F.lit(i).alias("ai")) for i, a in enumerate(AS.ASPECTS)])
     d = s.select(F.col("sentence_id").alias("review_id"), F.explode(cells).alias("c")).select("review_id", "c.*")
     u = [F.pow(hashed_uniform(F.concat_ws("|", F.col("review_id"), F.col("aspect"), F.lit(x)), "absa"), 4) for x in AS.SENTIMENTS]
