@@ -71,5 +71,5 @@ def spread(df, factor: int = 2):
     """
     if df.isStreaming:
         return df
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    return df.repartition(target) if df.rdd.getNumPartitions() < max(2, target // 4) else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * factor) if df.rdd.getNumPartitions() < cores else df
