@@ -256,3 +256,65 @@ def q_p95_index(spark, sf):
     j = c.join(n, "module").withColumn("_k", F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1))
     hit = j.where((F.col("cum_c") <= F.col("_k")) & (F.col("_k") < F.col("cum_c") + F.col("c")))
     return hit.select("module", F.col("latency_ms").alias("p95_latency_ms"), F.col("n").cast("bigint"))
+
+
+@register("recommended_action", CHURN + """SELECT CustomerID, CASE WHEN prob >= 0.5 THEN 'RETENTION_OFFER' ELSE 'NONE' END AS recommended_action
+  FROM churn_pred""")
+def q_action(spark, sf):
+    """C9 (default threshold 0.5)"""
+    p = FX.churn_predictions(customer_features(spark, sf))
+    return p.select("CustomerID", SC.recommended_action(F.col("prob")).alias("recommended_action"))
+
+
+@register("contribution_direction", DRIFT_BASE + f""",
+cl AS (UNPIVOT (SELECT CustomerID, {_CASTS} FROM cur_f) ON {', '.join(NUM)} INTO NAME feature VALUE value)
+SELECT c.CustomerID, c.feature, CASE WHEN c.value - r.mean > 0 THEN 'increases_churn' ELSE 'decreases_churn' END AS direction
+FROM cl c JOIN ref_dist r USING (feature)""")
+def q_direction(spark, sf):
+    """C17 on deviations from the reference mean (value − mean > 0 → increases_churn)"""
+    ref = D.reference_distribution(_ref(spark, sf))
+    cur = D.unpivot_features(_cur(spark, sf), NUM, "CustomerID")
+    j = cur.join(F.broadcast(ref.select("feature", "mean")), "feature")
+    return j.select("CustomerID", "feature", SC.contribution_direction(F.col("value") - F.col("mean")).alias("direction"))
+
+
+@register("table_fingerprint")
+def q_table_fp(spark, sf):
+    """S11 (table variant): order-free digest of the content-file table"""
+    return FL.table_fingerprint(_files(spark, sf).select("path", "category", F.sha2("content", 256).alias("h")))
+
+
+def write_content_tree(spark, sf) -> str:
+    """Materialise the content files as ``root/{category}/{name}`` (S5 input).
+
+    Each task writes its own rows' files (``mapInPandas``). Works where the
+    shared checkpoint folder is a mounted file system path.
+    """
+    import os
+    from urllib.parse import urlparse
+
+    from storelens.session import scratch_path
+    root = urlparse(scratch_path(spark, "content_tree")).path
+
+    def write(batches):
+        import pandas as pd
+        for b in batches:
+            out = []
+            for path, content in zip(b["path"], b["content"]):
+                target = os.path.join(root, path.lstrip("/").split("/", 1)[1])
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "wb") as fh:
+                    fh.write(bytes(content))
+                out.append(len(content))
+            yield pd.DataFrame({"n": out})
+    _files(spark, sf).select("path", "content").mapInPandas(write, "n long").write.format("noop").mode("overwrite").save()
+    return root
+
+
+@register("scan_image_tree", FILES + f"""SELECT category, regexp_extract(path, '([^/]*)$', 1) AS file_name,
+  CAST(octet_length(content) AS BIGINT) AS length FROM files WHERE {EXT} IN ('.jpg', '.jpeg', '.png', '.webp')""")
+def q_scan_tree(spark, sf):
+    """Content files written as an image folder tree, listed and read with binaryFile"""
+    root = write_content_tree(spark, sf)
+    t = FL.scan_image_tree(spark, root)
+    return t.select("category", F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), F.col("length").cast("bigint"))

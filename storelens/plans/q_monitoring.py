@@ -445,3 +445,20 @@ def q_daily_drift_stream(spark, sf):
     # a day cut across two files is recomputed by the later batch: keep the last epoch's row
     latest = out.groupBy("day").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("day", "epoch")]), "epoch").alias("r"))
     return latest.select("day", "r.*")
+
+
+@register("roi_grid_cross", LOGS + """, n AS (SELECT CAST(count(*) FILTER (WHERE risk_band = 'HIGH') AS DOUBLE) AS n FROM logs WHERE module = 'retention')
+SELECT c AS conversion_rate, l AS avg_ltv, n * 0.6 * c * l - n * 0.6 * 15.0 AS net_roi
+FROM n, (SELECT unnest([0.10, 0.25, 0.45]::DOUBLE[]) AS c), (SELECT unnest([200.0, 480.0, 800.0]::DOUBLE[]) AS l)""",
+          ["conversion_rate", "avg_ltv", "net_roi"])
+def q_roi_grid_cross(spark, sf):
+    """Conversion levels × LTV levels on the HIGH-risk count (constants exploded, no join)"""
+    return B.roi_sensitivity(LG.risk_band_distribution(_logs(spark, sf)))
+
+
+@register("alert_streaks", ERR + """, over AS (SELECT 'api' AS series, window_start FROM er WHERE error_rate > 0.1)
+""" + _streak_sql("over", "series", "window_start", 3))
+def q_alert_streaks(spark, sf):
+    """Islands of consecutive minutes with error share > 10 %, firing after 3 minutes"""
+    e = MN.error_rate(_logs(spark, sf)).where(F.col("error_rate") > 0.1).withColumn("series", F.lit("api"))
+    return MN.alert_streaks(e.select("series", "window_start"), ["series"], "window_start", 1, 3)
