@@ -35,6 +35,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = b.getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -73,3 +74,33 @@ def spread(df, factor: int = 2):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * factor) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``storelens`` importable on executors (UDFs are pickled by module).
+
+    Zips the package once per session and registers it with ``addPyFile`` (the
+    ``--py-files`` mechanism); a no-op when already shipped or when the package
+    is installed on the workers (set ``spark.storelens.ship=false``).
+    """
+    import io
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.getConf().get("spark.storelens.ship", "true") == "false" or getattr(sc, "_storelens_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    # the archive is code, not data: Spark copies it from the driver to every executor
+    path = os.path.join(tempfile.gettempdir(), f"storelens-{uuid.uuid4().hex[:8]}.zip")
+    with open(path, "wb") as fh:
+        fh.write(buf.getvalue())
+    sc.addPyFile(path)
+    sc._storelens_shipped = True
