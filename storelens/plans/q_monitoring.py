@@ -310,7 +310,7 @@ def _event_files(spark, sf, name: str, closing_event: bool) -> str:
     e = Tables(spark, sf).events.withColumn("ts", F.col("ts").cast("timestamp"))
     root = replay_as_files(e, "ts", 6, "2024-01-01", "2024-01-31", name)
     if closing_event:  # one event far in the future closes every open window / session
-        closer = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"),
+        closer = spark.range(1).select(F.lit(9_000_000_000).cast("long").alias("event_id"),
                                        F.lit("2030-01-01 00:00:00").cast("timestamp").alias("ts"),
                                        F.lit(-1).cast("long").alias("user_id"), F.lit("close").alias("event_type"),
                                        F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"))
@@ -462,3 +462,27 @@ def q_alert_streaks(spark, sf):
     """Islands of consecutive minutes with error share > 10 %, firing after 3 minutes"""
     e = MN.error_rate(_logs(spark, sf)).where(F.col("error_rate") > 0.1).withColumn("series", F.lit("api"))
     return MN.alert_streaks(e.select("series", "window_start"), ["series"], "window_start", 1, 3)
+
+
+_HIST_UNION = "\nUNION ALL ".join(
+    [f"SELECT created_at, module, '{b!r}' AS le, latency_ms / 1000.0 <= {b!r} AS hit FROM logs" for b in MN.LATENCY_BUCKETS_S]
+    + ["SELECT created_at, module, '+Inf' AS le, true AS hit FROM logs"])
+
+
+@register("latency_histogram_stream", LOGS + f"""SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS window_start, le,
+  CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS count, module FROM ({_HIST_UNION}) GROUP BY 1, 2, 4""")
+def q_hist_stream(spark, sf):
+    """T1 as a stream: hourly cumulative latency buckets per module (watermark, append)"""
+    root = _event_files(spark, sf, "events-hist", closing_event=True)
+
+    def tf(s):
+        eid = F.col("event_id")
+        # no filter before the aggregate: a filter would be pushed below the
+        # watermark and the closing event would never advance it
+        lg = s.withWatermark("ts", "10 minutes").select(
+            F.element_at(F.array(*[F.lit(m) for m in FX.MODULES]), (eid % 3 + 1).cast("int")).alias("module"),
+            F.floor("value").cast("int").alias("latency_ms"), F.col("ts").alias("created_at"))
+        return MN.latency_histogram(lg, by_window="1 hour")
+    out = run_available_now(spark, root, T.StructType([*EVENT_SCHEMA.fields, T.StructField("chunk", T.IntegerType())]), tf, "hist")
+    out = out.where(F.col("window.start") < F.lit("2030-01-01").cast("timestamp"))  # drop the closer's own window
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "le", "count", "module")
