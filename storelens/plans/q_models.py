@@ -172,9 +172,9 @@ def q_explain(spark, sf):
     return e.select("CustomerID", F.explode("top_features").alias("t")).select("CustomerID", "t.*")
 
 
-@register("top_features")
-def q_top_features(spark, sf):
-    """Top-3 risk factors per customer (scoring response form)"""
+@register("top_features_surrogate")
+def q_top_features_surrogate(spark, sf):
+    """W9 on the logistic surrogate's contributions (scoring response form)"""
     e = _explained(spark, sf)
     return e.select("CustomerID", F.slice("top_features", 1, 3).alias("t")).select(
         "CustomerID", F.explode("t").alias("f")).select("CustomerID", "f.feature", "f.direction")
@@ -244,3 +244,27 @@ def q_classify(spark, sf):
 def q_route(spark, sf):
     """L17"""
     return OD.route_for_review(_classified(spark, sf))
+
+
+def _z_sql() -> str:
+    from storelens.schemas import NUMERIC_FEATURE_COLUMNS as NUM
+    z = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in NUM)
+    return FEATURE_CTES + f""", z AS (UNPIVOT (SELECT CustomerID, {z} FROM features) ON {', '.join(NUM)} INTO NAME feature VALUE value),
+sc AS (SELECT feature, avg(value) AS mean, CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END AS scale FROM z GROUP BY 1),
+c AS (SELECT z.CustomerID, z.feature, (z.value - sc.mean) / sc.scale AS contribution, z.value FROM z JOIN sc USING (feature))
+SELECT CustomerID, CAST(rk AS INTEGER) AS rank, feature, contribution,
+  CASE WHEN contribution > 0 THEN 'increases_churn' ELSE 'decreases_churn' END AS direction, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY CustomerID ORDER BY abs(contribution) DESC, feature) AS rk FROM c) WHERE rk <= 3"""
+
+
+@register("top_features", _z_sql(), ["contribution", "value"])
+def q_top_features(spark, sf):
+    """Top-3 features per customer by |standardised deviation| (D1 scaler)"""
+    from storelens.operators.drift import unpivot_features
+    from storelens.schemas import NUMERIC_FEATURE_COLUMNS as NUM
+    f = customer_features(spark, sf)
+    filled = f.select("CustomerID", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in NUM])
+    sc = fit_scaler(filled, NUM)
+    long = unpivot_features(filled, NUM, "CustomerID").join(F.broadcast(sc), "feature")  # one row per feature
+    c = long.select("CustomerID", "feature", ((F.col("value") - F.col("mean")) / F.col("scale")).alias("contribution"), "value")
+    return ML.top_contributions(c, "CustomerID", 3)
