@@ -486,3 +486,15 @@ def q_hist_stream(spark, sf):
     out = run_available_now(spark, root, T.StructType([*EVENT_SCHEMA.fields, T.StructField("chunk", T.IntegerType())]), tf, "hist")
     out = out.where(F.col("window.start") < F.lit("2030-01-01").cast("timestamp"))  # drop the closer's own window
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "le", "count", "module")
+
+
+@register("queue_depth_stream", DEPTH + "\nSELECT * FROM depth")
+def q_depth_stream(spark, sf):
+    """T7 as a stateful stream (applyInPandasWithState keyed by module)"""
+    root = _event_files(spark, sf, "events-queue", closing_event=True)
+
+    def tf(s):
+        return MN.queue_depth_stream(FX.review_queue_from_events(s))
+    out = run_available_now(spark, root, T.StructType([*EVENT_SCHEMA.fields, T.StructField("chunk", T.IntegerType())]), tf, "depth")
+    out = out.where(F.col("t") < F.lit("2030-01-01").cast("timestamp"))  # the closing event's own minute
+    return out.select("module", F.col("t").cast("timestamp_ntz").alias("t"), F.col("depth").cast("bigint"))

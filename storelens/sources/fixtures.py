@@ -124,8 +124,13 @@ def prediction_logs(t: Tables) -> DataFrame:
 
 def review_queue(t: Tables) -> DataFrame:
     """events with event_id % 10 = 0 → review queue rows."""
+    return review_queue_from_events(t.events)
+
+
+def review_queue_from_events(events: DataFrame) -> DataFrame:
+    """The queue rule on any (possibly streaming) events DataFrame."""
     eid = F.col("event_id")
-    return t.events.where(eid % 10 == 0).select(
+    return events.where(eid % 10 == 0).select(
         eid.alias("id"),
         F.concat(F.lit("req_"), eid.cast("string")).alias("request_id"),
         _pick(MODULES, eid % 3).alias("module"),

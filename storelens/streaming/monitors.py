@@ -243,3 +243,56 @@ def dedup_prediction_stream(logs: DataFrame, watermark: str = "10 minutes", key:
                             ts: str = "created_at") -> DataFrame:
     """T5: one row per request id within the watermark (streaming form of S10)."""
     return logs.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+
+
+DEPTH_STATE = "depth long, pend_ts array<long>, pend_delta array<long>"
+DEPTH_OUT = "module string, t timestamp, depth long"
+
+
+def _depth_update(key, batches, state):
+    """applyInPandasWithState body: running pending depth per module.
+
+    Deltas (+1 at creation, −1 at review) are buffered in state until the
+    watermark passes their minute; then the closed minutes are emitted in time
+    order with the running depth. An event-time timeout at the next pending
+    minute flushes modules that receive no new rows.
+    """
+    import numpy as np
+    import pandas as pd
+    (module,) = key
+    depth, ts, dl = 0, [], []
+    if state.exists:
+        depth, ts, dl = state.get[0], list(state.get[1]), list(state.get[2])
+    if not state.hasTimedOut:
+        for pdf in batches:
+            c = pdf["created_at"].astype("int64") // 1000          # µs
+            ts += list(c)
+            dl += [1] * len(c)
+            r = pdf["reviewed_at"].dropna().astype("int64") // 1000
+            ts += list(r)
+            dl += [-1] * len(r)
+    wm_us = state.getCurrentWatermarkMs() * 1000
+    minute = 60_000_000
+    closed_before = (wm_us // minute) * minute                   # minutes fully behind the watermark
+    a_ts, a_dl = np.asarray(ts, dtype="int64"), np.asarray(dl, dtype="int64")
+    done = a_ts < closed_before
+    out = pd.DataFrame(columns=["module", "t", "depth"])
+    if done.any():
+        m = (a_ts[done] // minute) * minute
+        per = pd.Series(a_dl[done]).groupby(m).sum().sort_index()
+        cum = per.cumsum() + depth
+        depth = int(cum.iloc[-1])
+        out = pd.DataFrame({"module": module, "t": pd.to_datetime(per.index.to_numpy(), unit="us"), "depth": cum.to_numpy()})
+    rest_ts, rest_dl = a_ts[~done].tolist(), a_dl[~done].tolist()
+    state.update((depth, rest_ts, rest_dl))
+    if rest_ts:
+        state.setTimeoutTimestamp(int(((min(rest_ts) // minute) + 1) * minute // 1000) + 1)
+    yield out
+
+
+def queue_depth_stream(queue: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """T7 (stream): the depth series of ``queue_depth_series`` from a queue stream,
+    with per-module state (``applyInPandasWithState``, event-time timeout)."""
+    q = queue.select("module", F.col("created_at").cast("timestamp").alias("created_at"),
+                     F.col("reviewed_at").cast("timestamp").alias("reviewed_at")).withWatermark("created_at", watermark)
+    return q.groupBy("module").applyInPandasWithState(_depth_update, DEPTH_OUT, DEPTH_STATE, "append", "EventTimeTimeout")
