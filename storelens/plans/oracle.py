@@ -244,25 +244,53 @@ STORAGE = """files AS (
   FROM events WHERE event_type = 'purchase')"""
 
 
+def _hex_sql(v: str, nbytes: int, little: bool = False) -> str:
+    if not little:
+        return f"lpad(hex(CAST({v} AS BIGINT)), {2 * nbytes}, '0')"
+    return " || ".join(f"lpad(hex(CAST(({v}) // {256 ** i} AS BIGINT) % 256), 2, '0')" for i in range(nbytes))
+
+
 def content_files_sql() -> str:
     from storelens.operators.metrics import TARGET_CATEGORIES
     from storelens.sources.fixtures import FILE_EXTENSIONS
     cats = ", ".join(f"'{c}'" for c in TARGET_CATEGORIES)
     exts = ", ".join(f"'{e}'" for e in FILE_EXTENSIONS)
+    w = "CASE WHEN page_id % 9 = 0 THEN 128 ELSE 32 + (page_id * 7) % 300 END"
+    h = "CASE WHEN page_id % 9 = 0 THEN 128 ELSE 32 + (page_id * 13) % 300 END"
+    png = f"'89504E470D0A1A0A0000000D49484452' || {_hex_sql(w, 4)} || {_hex_sql(h, 4)} || '0802000000'"
+    jpeg = f"'FFD8FFC0001108' || {_hex_sql(h, 2)} || {_hex_sql(w, 2)} || '03012200021101031101'"
+    webp = (f"'52494646' || '00000000' || '57454250' || '56503858' || '0A000000' || '00000000' || "
+            f"{_hex_sql(f'({w}) - 1', 3, True)} || {_hex_sql(f'({h}) - 1', 3, True)}")
     return f"""files AS (
   SELECT page_id, '/images/' || cat || '/' || regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g') || ext AS path,
          cat AS category, content FROM (
     SELECT page_id, url,
            [{cats}][CAST(CAST(('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8)) AS BIGINT) % 8 AS INTEGER) + 1] AS cat,
            CASE WHEN page_id % 9 = 0 THEN '.png' ELSE [{exts}][CAST(page_id % 5 AS INTEGER) + 1] END AS ext,
-           (CASE WHEN page_id % 9 = 0 OR page_id % 4 = 0 THEN unhex('89504E470D0A1A0A')
-                 WHEN page_id % 4 = 1 THEN unhex('FFD8FFE0')
-                 WHEN page_id % 4 = 2 THEN unhex('52494646') || unhex('00000000') || unhex('57454250')
-                 ELSE unhex('') END)
+           unhex(CASE WHEN page_id % 9 = 0 OR page_id % 4 = 0 THEN {png}
+                      WHEN page_id % 4 = 1 THEN {jpeg} WHEN page_id % 4 = 2 THEN {webp} ELSE '' END)
            || encode(CASE WHEN page_id % 9 = 0 THEN repeat('dup ', 2000) || CAST(page_id % 4 AS VARCHAR) ELSE html END) AS content
     FROM pages))"""
 
 
+def dims_sql(content: str) -> str:
+    """(width, height) read from fixed header offsets: PNG IHDR, JPEG SOF0 right
+    after SOI, WebP VP8X (NULL otherwise)."""
+    hx = f"hex({content})"
+
+    def be(start: int, n: int) -> str:
+        return f"CAST(('0x' || substr({hx}, {start}, {2 * n})) AS BIGINT)"
+
+    def le3(start: int) -> str:
+        return " + ".join(f"CAST(('0x' || substr({hx}, {start + 2 * i}, 2)) AS BIGINT) * {256 ** i}" for i in range(3))
+    png = f"starts_with({hx}, '89504E470D0A1A0A') AND substr({hx}, 25, 8) = '49484452'"
+    jpg = f"starts_with({hx}, 'FFD8FFC0')"
+    webp = f"starts_with({hx}, '52494646') AND substr({hx}, 17, 8) = '57454250' AND substr({hx}, 25, 8) = '56503858'"
+    w = f"CASE WHEN {png} THEN {be(33, 4)} WHEN {jpg} THEN {be(19, 2)} WHEN {webp} THEN 1 + {le3(49)} END"
+    h = f"CASE WHEN {png} THEN {be(41, 4)} WHEN {jpg} THEN {be(15, 2)} WHEN {webp} THEN 1 + {le3(55)} END"
+    return f"CAST({w} AS INTEGER) AS width, CAST({h} AS INTEGER) AS height"
+
+
 def ext_sql(path: str) -> str:
     return f"lower(regexp_extract(regexp_extract({path}, '([^/]*)$', 1), '[^.](\\.[^.]*)$', 1))"
 

@@ -57,7 +57,20 @@ def q_fingerprint(spark, sf):
     return FL.dataset_fingerprint(_files(spark, sf))
 
 
-@register("image_rules")
+def _image_rules_sql() -> str:
+    size = "octet_length(content)"
+    return FILES + f""", d AS (SELECT path, content, {O.dims_sql('content')} FROM files),
+r AS (SELECT path, width, height,
+  CASE WHEN {EXT} NOT IN ('.jpg', '.jpeg', '.png', '.webp') THEN 'invalid extension: ' || {EXT}
+       WHEN {size} < 5000 THEN 'file too small: ' || CAST({size} AS VARCHAR) || ' bytes < 5000'
+       WHEN {size} > 10000000 THEN 'file too large: ' || CAST({size} AS VARCHAR) || ' bytes > 10000000'
+       WHEN width IS NULL THEN 'corrupt or unreadable'
+       WHEN width < 64 OR height < 64 THEN 'image too small: ' || CAST(width AS VARCHAR) || 'x' || CAST(height AS VARCHAR) || 'px'
+       ELSE 'ok' END AS reason FROM d)
+SELECT path, width, height, reason = 'ok' AS valid, reason FROM r"""
+
+
+@register("image_rules", _image_rules_sql())
 def q_image_rules(spark, sf):
     """Header dimensions via a pandas UDF over the first 64 KiB (rows check)"""
     return IM.image_rules(_files(spark, sf))

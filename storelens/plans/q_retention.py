@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from storelens.operators import clean as C
 from storelens.operators import features as FE

@@ -251,21 +251,35 @@ def queue_resolutions(t: Tables) -> DataFrame:
 FILE_EXTENSIONS = [".jpg", ".png", ".webp", ".gif", ".JPEG"]
 
 
+def _hex(v, nbytes: int, little: bool = False):
+    """Fixed-width hex of a non-negative integer column (big- or little-endian)."""
+    if not little:
+        return F.lpad(F.hex(v.cast("bigint")), 2 * nbytes, "0")
+    parts = [F.lpad(F.hex((v / F.lit(256 ** i)).cast("bigint") % 256), 2, "0") for i in range(nbytes)]
+    return F.concat(*parts)
+
+
 def content_files(t: Tables) -> DataFrame:
-    """pages → content files: bytes = magic prefix + UTF-8 html, path from the URL,
-    category = one of 8 names by a hash of the page id. Every 9th page carries one
-    of four shared bodies (exact copies across categories)."""
+    """pages → content files: an image header (PNG IHDR / JPEG SOF0 / WebP VP8X,
+    dimensions from the page id) followed by the UTF-8 html; every 4th page has
+    no header. Path from the URL, category = one of 8 names by a hash of the page
+    id. Every 9th page carries one of four shared bodies (exact copies across
+    categories)."""
     from storelens.operators.metrics import TARGET_CATEGORIES
     from storelens.session import spread
     p = spread(t.pages)
     pid = F.col("page_id")
     kind = pid % 4
-    magic = (F.when(kind == 0, F.unhex(F.lit("89504E470D0A1A0A")))
-              .when(kind == 1, F.unhex(F.lit("FFD8FFE0")))
-              .when(kind == 2, F.concat(F.lit("RIFF").cast("binary"), F.unhex(F.lit("00000000")), F.lit("WEBP").cast("binary")))
-              .otherwise(F.lit("").cast("binary")))
+    w = F.when(pid % 9 == 0, F.lit(128)).otherwise(32 + (pid * 7) % 300)
+    h = F.when(pid % 9 == 0, F.lit(128)).otherwise(32 + (pid * 13) % 300)
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), _hex(w, 4), _hex(h, 4), F.lit("0802000000"))
+    jpeg = F.concat(F.lit("FFD8FFC0001108"), _hex(h, 2), _hex(w, 2), F.lit("03012200021101031101"))
+    webp = F.concat(F.lit("52494646"), F.lit("00000000"), F.lit("57454250"), F.lit("56503858"), F.lit("0A000000"),
+                    F.lit("00000000"), _hex(w - 1, 3, True), _hex(h - 1, 3, True))
+    header = (F.when(pid % 9 == 0, png).when(kind == 0, png).when(kind == 1, jpeg).when(kind == 2, webp)
+               .otherwise(F.lit("")))
     body = F.when(pid % 9 == 0, F.concat(F.repeat(F.lit("dup "), 2000), (pid % 4).cast("string"))).otherwise(F.col("html"))
-    content = F.concat(F.when(pid % 9 == 0, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(magic), F.encode(body, "UTF-8"))
+    content = F.concat(F.unhex(header), F.encode(body, "UTF-8"))
     ext = F.element_at(F.array(*[F.lit(e) for e in FILE_EXTENSIONS]), (pid % 5 + 1).cast("int"))
     ext = F.when(pid % 9 == 0, F.lit(".png")).otherwise(ext)
     cat_idx = F.conv(F.substring(F.md5(pid.cast("string")), 1, 8), 16, 10).cast("bigint") % 8
