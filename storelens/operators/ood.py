@@ -22,7 +22,8 @@ class OodReference:
         self.mean, self.inv_cov, self.threshold = mean, inv_cov, threshold
 
 
-def ood_reference(emb: DataFrame, col: str = "embedding", percentile: float = 0.99) -> OodReference:
+def ood_reference(emb: DataFrame, col: str = "embedding", percentile: float = 0.99,
+                  exact: bool = True) -> OodReference:
     """Mean, covariance (ddof 1) + 1e-6·I, inverse, p99 of training distances.
 
     The Gramian is a distributed tree aggregate (``RowMatrix``: one d×d partial
@@ -39,7 +40,8 @@ def ood_reference(emb: DataFrame, col: str = "embedding", percentile: float = 0.
     inv = np.linalg.inv(cov + REG * np.eye(cov.shape[0]))
     ref = OodReference(mean, inv, 1.0)
     d = emb.select(mahalanobis(ref)(F.col(col)).alias("d"))
-    thr = d.agg(F.percentile("d", percentile).alias("p")).first()["p"]
+    pct = F.percentile("d", percentile) if exact else F.percentile_approx("d", percentile, 100000)
+    thr = d.agg(pct.alias("p")).first()["p"]
     return OodReference(mean, inv, float(thr))
 
 
