@@ -337,3 +337,82 @@ def customer_feature_table(clean: DataFrame, snapshot: str, obs_start: str, hori
     if horizon_days is not None:
         cols.append(F.col("_ret").isNull().cast("int").alias("churned"))
     return out.select(*cols)
+
+
+def customer_feature_tables(clean: DataFrame, periods: dict[str, tuple[str, str]], horizon_days: int | None,
+                            reviews: DataFrame | None, aspects: DataFrame | None,
+                            sentiment_snapshot: str | None = None, lam: float = TIME_DECAY_LAMBDA) -> DataFrame:
+    """J1 for several snapshots in ONE pass over the lines: ``periods`` maps a name
+    to (snapshot, observation start). Each line is tagged with the periods whose
+    window contains it (explode over the bounded period list), and every
+    aggregate groups by (period, customer). Output has a ``period`` column and
+    the same columns as ``customer_feature_table``.
+    """
+    spec = F.array(*[F.struct(F.lit(k).alias("p"), F.lit(s).cast("timestamp_ntz").alias("snap"),
+                              F.lit(o).cast("timestamp_ntz").alias("start")) for k, (s, o) in periods.items()])
+    ts = F.col("InvoiceDate")
+    tagged = clean.select("*", F.explode(F.filter(spec, lambda x: ts.between(x["start"], x["snap"]))).alias("_p")) \
+                  .select("*", F.col("_p.p").alias("period"), F.col("_p.snap").alias("_snap")).drop("_p")
+    cust = F.col(CUST_IN).alias("CustomerID")
+    keys = ["period", "_snap"]
+    core = tagged.groupBy(*keys, cust).agg(
+        F.max("InvoiceDate").alias("last_order_date"), F.min("InvoiceDate").alias("first_order_date"),
+        F.countDistinct("Invoice").alias("frequency"), F.sum("LineTotal").alias("_spend"),
+        F.countDistinct("StockCode").alias("category_diversity"))
+    rec = elapsed_days(F.col("last_order_date"), F.col("_snap"))
+    core = core.select(
+        *keys, "CustomerID", "last_order_date", "first_order_date", F.col("frequency").cast("bigint").alias("frequency"),
+        F.greatest(F.col("_spend"), F.lit(0.0)).alias("monetary_value"), rec.alias("recency_days"),
+        elapsed_days(F.col("first_order_date"), F.col("_snap")).alias("tenure_days"),
+        (F.col("_spend") / F.col("frequency")).alias("avg_order_value"),
+        F.log1p(rec.cast("double")).alias("recency_days_log"),
+        F.col("category_diversity").cast("bigint").alias("category_diversity"))
+    # gap CV: (period, customer, day) partials, then boundary gaps per (period, customer)
+    day = F.to_date("InvoiceDate")
+    per_day = tagged.groupBy("period", cust, day.alias("_day")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("InvoiceDate").alias("_t0"), F.max("InvoiceDate").alias("_t1"))
+    w = Window.partitionBy("period", "CustomerID").orderBy("_day")
+    gaps = (per_day.withColumn("_gap", elapsed_days(F.lag("_t1").over(w), F.col("_t0")).cast("double"))
+            .groupBy("period", "CustomerID").agg(
+                F.sum("_n").cast("bigint").alias("n_lines"), F.coalesce(F.sum("_gap"), F.lit(0.0)).alias("gap_sum"),
+                F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0.0)).alias("gap_sumsq")))
+    # trend: distinct invoices per (period, customer, month) within the last 6 months of the period
+    recent = tagged.where(F.col("InvoiceDate") >= F.add_months(F.to_date("_snap"), -TREND_MONTHS).cast("timestamp_ntz"))
+    monthly = recent.groupBy("period", cust, F.trunc(F.to_date("InvoiceDate"), "MM").alias("year_month")).agg(
+        F.countDistinct("Invoice").cast("bigint").alias("n_orders"))
+    wm = Window.partitionBy("period", "CustomerID").orderBy("year_month")
+    trend = (monthly.withColumn("_x", (F.row_number().over(wm) - 1).cast("double"))
+             .groupBy("period", "CustomerID")
+             .agg(F.count(F.lit(1)).alias("_m"), F.regr_slope(F.col("n_orders").cast("double"), F.col("_x")).alias("_s"))
+             .select("period", "CustomerID", F.when(F.col("_m") < 2, F.lit(0.0))
+                     .otherwise(F.coalesce(F.col("_s"), F.lit(0.0))).alias("purchase_trend"), F.lit(True).alias("_recent")))
+    out = core.join(gaps, ["period", "CustomerID"], "left").join(trend, ["period", "CustomerID"], "left")
+    if reviews is not None and aspects is not None:
+        ss = sentiment_snapshot
+        out = (out.join(doc_sentiment_agg(reviews, ss), "CustomerID", "left")
+                  .join(aspect_sentiment_pivot(aspects, ss), "CustomerID", "left"))
+    else:
+        out = out.select("*", *[F.lit(None).alias(k) for k in SENTIMENT_DEFAULTS])
+    if horizon_days is not None:
+        hspec = F.array(*[F.struct(F.lit(k).alias("p"),
+                                   (F.lit(s).cast("timestamp_ntz") + F.make_interval(days=F.lit(1))).alias("a"),
+                                   (F.lit(s).cast("timestamp_ntz") + F.make_interval(days=F.lit(horizon_days))).alias("b"))
+                          for k, (s, _) in periods.items()])
+        hz = (clean.select(cust, F.explode(F.filter(hspec, lambda x: ts.between(x["a"], x["b"]))).alias("_h"))
+              .select(F.col("_h.p").alias("period"), "CustomerID").distinct().withColumn("_ret", F.lit(1)))
+        out = out.join(hz, ["period", "CustomerID"], "left")
+    cv = _gap_cv(F.col("n_lines"), F.col("gap_sum"), F.col("gap_sumsq"))
+    cols = [
+        "period", "CustomerID", "last_order_date", "first_order_date", "frequency", "monetary_value", "recency_days",
+        "tenure_days", "avg_order_value", "recency_days_log",
+        F.coalesce(cv, F.lit(SINGLE_ORDER_SENTINEL)).alias("purchase_gap_cv"), "category_diversity",
+        (F.col("n_lines") < 2).cast("int").alias("is_single_purchase"), F.lit(0.0).alias("return_rate"),
+        F.coalesce(F.col("purchase_trend"), F.lit(0.0)).alias("purchase_trend"),
+        F.when(F.col("_recent"), F.exp(F.lit(-float(lam)) * F.col("recency_days"))).otherwise(F.lit(0.0)).alias("time_decay_weight"),
+        *[F.coalesce(F.col(k), F.lit(v)).cast("bigint" if k == "negative_review_count" else
+                                              ("int" if k == "has_reviews" else "double")).alias(k)
+          for k, v in SENTIMENT_DEFAULTS.items()],
+    ]
+    if horizon_days is not None:
+        cols.append(F.col("_ret").isNull().cast("int").alias("churned"))
+    return out.select(*cols)

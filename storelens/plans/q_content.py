@@ -11,7 +11,7 @@ from storelens.operators import metrics as M
 from storelens.operators import splits as SP
 from storelens.plans import oracle as O
 from storelens.plans.q_drift import BASE as DRIFT_BASE
-from storelens.plans.q_drift import _cur, _ref
+from storelens.plans.q_drift import _periods
 from storelens.plans.q_features import FEATURE_CTES, customer_features
 from storelens.plans.q_reviews import REVIEWS, _reviews
 from storelens.plans.registry import register
@@ -181,8 +181,9 @@ SELECT c.CustomerID, c.feature, c.value,
 FROM cl c LEFT JOIN ref_dist r USING (feature)""", ["value", "percentile"])
 def q_percentile(spark, sf):
     """Each current feature value placed in the reference distribution"""
-    ref = D.reference_distribution(_ref(spark, sf))
-    cur = D.unpivot_features(_cur(spark, sf), NUM, "CustomerID")
+    r, c = _periods(spark, sf)
+    ref = D.reference_distribution(r)
+    cur = D.unpivot_features(c, NUM, "CustomerID")
     j = cur.join(F.broadcast(ref.select("feature", "p25", "p95")), "feature", "left")
     return j.select("CustomerID", "feature", "value", SC.percentile_in_training(F.col("value"), F.col("p25"), F.col("p95")).alias("percentile"))
 
@@ -285,8 +286,9 @@ SELECT c.CustomerID, c.feature, CASE WHEN c.value - r.mean > 0 THEN 'increases_c
 FROM cl c JOIN ref_dist r USING (feature)""")
 def q_direction(spark, sf):
     """C17 on deviations from the reference mean (value − mean > 0 → increases_churn)"""
-    ref = D.reference_distribution(_ref(spark, sf))
-    cur = D.unpivot_features(_cur(spark, sf), NUM, "CustomerID")
+    r, c = _periods(spark, sf)
+    ref = D.reference_distribution(r)
+    cur = D.unpivot_features(c, NUM, "CustomerID")
     j = cur.join(F.broadcast(ref.select("feature", "mean")), "feature")
     return j.select("CustomerID", "feature", SC.contribution_direction(F.col("value") - F.col("mean")).alias("direction"))
 

@@ -13,13 +13,36 @@ REF_SNAP, REF_OBS = "1999-08-01", "1998-08-02"
 SHIFT_FEATURE = "recency_days"
 
 
+def _periods(spark, sf):
+    """(reference, current) feature tables from ONE pass over the lines
+    (multi-period builder), checkpointed once since drift reads both several times."""
+    from storelens.operators import clean as C
+    from storelens.operators.features import customer_feature_tables
+    from storelens.plans.q_features import SSNAP
+    from storelens.sources import fixtures as FX
+    from storelens.sources.tables import Tables
+    t = Tables(spark, sf)
+    clean = C.clean_transactions(FX.transactions(t), country=None)
+    both = customer_feature_tables(clean, {"ref": (REF_SNAP, REF_OBS), "cur": (FX.RETENTION_SNAPSHOT, FX.RETENTION_OBS_START)},
+                                   None, FX.review_sentiment(t), FX.aspect_sentiment(t), SSNAP).checkpoint(eager=True)
+    return (both.where(F.col("period") == "ref").drop("period"), both.where(F.col("period") == "cur").drop("period"))
+
+
+def _with_periods(spark, sf, fn):
+    r, c = _periods(spark, sf)
+    return fn(r, c)
+
+
+def _report(spark, sf):
+    return _with_periods(spark, sf, lambda r, c: D.drift_report(c, D.reference_distribution(r)))
+
+
 def _ref(spark, sf):
-    """Reference-period features, checkpointed: drift reads them several times."""
-    return customer_features(spark, sf, with_labels=False, snap=REF_SNAP, obs_start=REF_OBS).checkpoint(eager=True)
+    return _periods(spark, sf)[0]
 
 
 def _cur(spark, sf):
-    return customer_features(spark, sf, with_labels=False).checkpoint(eager=True)
+    return _periods(spark, sf)[1]
 
 
 _CASTS = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUM)
@@ -108,29 +131,31 @@ _SCALED = ", ".join(f"(coalesce(CAST(c.{c} AS DOUBLE), 0.0) - (SELECT mean FROM
 @register("apply_scaler", BASE + SCALER + f"\nSELECT c.CustomerID, {_SCALED}, c.is_single_purchase, c.has_reviews FROM cur_f c", NUM)
 def q_apply_scaler(spark, sf):
     """Current features scaled with the reference-period scaler"""
-    sc = D.fit_scaler(_ref(spark, sf))
-    cur = _cur(spark, sf).select("CustomerID", *NUM, "is_single_purchase", "has_reviews")
+    ref, cur = _periods(spark, sf)
+    sc = D.fit_scaler(ref)
+    cur = cur.select("CustomerID", *NUM, "is_single_purchase", "has_reviews")
     return D.apply_scaler(cur, sc)
 
 
 @register("inverse_scaler", BASE + f"\nSELECT CustomerID, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in NUM)} FROM cur_f", NUM)
 def q_inverse_scaler(spark, sf):
     """D3: scale then inverse-scale returns the raw features"""
-    sc = D.fit_scaler(_ref(spark, sf))
-    cur = _cur(spark, sf).select("CustomerID", *NUM)
+    ref, cur = _periods(spark, sf)
+    sc = D.fit_scaler(ref)
+    cur = cur.select("CustomerID", *NUM)
     return D.apply_scaler(D.apply_scaler(cur, sc), sc, inverse=True)
 
 
 @register("psi", BASE + psi_sql() + "\nSELECT * FROM psi", ["psi", "out_of_range"])
 def q_psi(spark, sf):
     """D4"""
-    return D.psi(_cur(spark, sf), D.reference_distribution(_ref(spark, sf)))
+    return _with_periods(spark, sf, lambda r, c: D.psi(c, D.reference_distribution(r)))
 
 
 @register("ks_two_sample", BASE + ks_sql() + "\nSELECT * FROM ks", ["ks_stat", "ks_pvalue"])
 def q_ks(spark, sf):
     """D5 (statistic vs. the piecewise-linear reference curve, asymptotic p)"""
-    return D.ks_statistic(_cur(spark, sf), D.reference_distribution(_ref(spark, sf)))
+    return _with_periods(spark, sf, lambda r, c: D.ks_statistic(c, D.reference_distribution(r)))
 
 
 REPORT = BASE + psi_sql() + ks_sql() + """,
@@ -140,7 +165,7 @@ report AS (SELECT p.feature, p.psi, k.ks_stat, k.ks_pvalue, p.psi > 0.2 AS drift
 @register("drift_report", REPORT + "\nSELECT * FROM report", ["psi", "ks_stat", "ks_pvalue"])
 def q_report(spark, sf):
     """D6"""
-    return D.drift_report(_cur(spark, sf), D.reference_distribution(_ref(spark, sf)))
+    return _report(spark, sf)
 
 
 def _self_test_sql() -> str:
@@ -152,9 +177,9 @@ SELECT * FROM report"""
 @register("drift_self_test", _self_test_sql(), ["psi", "ks_stat", "ks_pvalue"])
 def q_self_test(spark, sf):
     """A 5-sigma shift of one feature must be flagged"""
-    ref = D.reference_distribution(_ref(spark, sf))
-    cur = D.inject_shift(_cur(spark, sf), ref, SHIFT_FEATURE)
-    return D.drift_report(cur, ref)
+    r, c = _periods(spark, sf)
+    ref = D.reference_distribution(r)
+    return D.drift_report(D.inject_shift(c, ref, SHIFT_FEATURE), ref)
 
 
 @register("drift_events_rows", REPORT + """
@@ -162,7 +187,7 @@ SELECT 'retention' AS module, feature AS feature_name, 'psi' AS metric, psi AS m
        drift_detected AS alert_triggered, 'v1' AS reference_version FROM report""", ["metric_value", "threshold"])
 def q_events(spark, sf):
     """D8"""
-    return D.drift_events_rows(D.drift_report(_cur(spark, sf), D.reference_distribution(_ref(spark, sf))))
+    return D.drift_events_rows(_report(spark, sf))
 
 
 @register("drift_review_items", REPORT + """
@@ -170,7 +195,7 @@ SELECT 'drift_retention_' || feature AS request_id, 'retention' AS module, 'drif
        feature AS payload_feature, psi AS payload_psi, 'pending' AS status FROM report WHERE drift_detected""", ["payload_psi"])
 def q_review_items(spark, sf):
     """D9 (payload fields read back from the JSON)"""
-    r = D.drift_review_items(D.drift_report(_cur(spark, sf), D.reference_distribution(_ref(spark, sf))))
+    r = D.drift_review_items(_report(spark, sf))
     return r.select("request_id", "module", "trigger",
                     F.get_json_object("payload", "$.feature").alias("payload_feature"),
                     F.get_json_object("payload", "$.psi").cast("double").alias("payload_psi"), "status")
@@ -179,5 +204,23 @@ def q_review_items(spark, sf):
 @register("top_drifted", REPORT + "\nSELECT feature, psi FROM report ORDER BY psi DESC, feature LIMIT 5", ["psi"])
 def q_top_drifted(spark, sf):
     """O3: five features with the highest PSI"""
-    r = D.drift_report(_cur(spark, sf), D.reference_distribution(_ref(spark, sf)))
+    r = _report(spark, sf)
     return r.orderBy(F.col("psi").desc(), "feature").limit(5).select("feature", "psi")
+
+
+@register("customer_feature_tables", "SELECT * FROM (SELECT 'ref' AS period, * EXCLUDE (churned) FROM (" + feature_sql(REF_SNAP, REF_OBS).replace("WITH ", "WITH ", 1)
+          + ") UNION ALL SELECT 'cur' AS period, * EXCLUDE (churned) FROM (" + feature_sql() + "))",
+          ["monetary_value", "avg_order_value", "recency_days_log", "purchase_gap_cv", "return_rate", "purchase_trend",
+           "time_decay_weight", "avg_sentiment_score", "last_review_sentiment", "avg_battery_sentiment",
+           "avg_shipping_sentiment", "avg_price_sentiment"])
+def q_feature_tables(spark, sf):
+    """J1 for two snapshots in one pass (multi-period builder)"""
+    from storelens.operators import clean as C
+    from storelens.operators.features import customer_feature_tables
+    from storelens.plans.q_features import SSNAP
+    from storelens.sources import fixtures as FX
+    from storelens.sources.tables import Tables
+    t = Tables(spark, sf)
+    clean = C.clean_transactions(FX.transactions(t), country=None)
+    return customer_feature_tables(clean, {"ref": (REF_SNAP, REF_OBS), "cur": (FX.RETENTION_SNAPSHOT, FX.RETENTION_OBS_START)},
+                                   None, FX.review_sentiment(t), FX.aspect_sentiment(t), SSNAP)
