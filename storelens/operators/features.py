@@ -99,21 +99,24 @@ def purchase_gap_stats(obs: DataFrame, ts: str = "InvoiceDate") -> DataFrame:
     per_day = obs.groupBy(_cust(obs).alias("CustomerID"), day.alias("_day")).agg(
         F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
     w = Window.partitionBy("CustomerID").orderBy("_day")
-    gaps = per_day.withColumn("_gap", elapsed_days(F.lag("_t1").over(w), F.col("_t0")).cast("double"))
+    gaps = per_day.withColumn("_gap", elapsed_days(F.lag("_t1").over(w), F.col("_t0")))
     return gaps.groupBy("CustomerID").agg(
         F.sum("_n").cast("bigint").alias("n_lines"),
-        F.coalesce(F.sum("_gap"), F.lit(0.0)).alias("gap_sum"),
-        F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0.0)).alias("gap_sumsq"),
+        F.coalesce(F.sum("_gap"), F.lit(0)).cast("bigint").alias("gap_sum"),
+        F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0)).cast("bigint").alias("gap_sumsq"),
     )
 
 
 def _gap_cv(n, s1, s2):
-    g = (n - 1).cast("double")
-    mean = s1 / g
-    var = F.greatest(s2 / g - mean * mean, F.lit(0.0))
+    """std_pop / mean of the G = n − 1 integer gaps from Σg and Σg²:
+    cv = √(G·Σg² − (Σg)²) / Σg — integer arithmetic under the root, so the
+    result does not depend on summation order."""
+    g = (n - 1).cast("decimal(38,0)")
+    a, b = s1.cast("decimal(38,0)"), s2.cast("decimal(38,0)")
+    inner = (g * b - a * a).cast("double")
     return (F.when(n < 2, F.lit(SINGLE_ORDER_SENTINEL))
-             .when(mean == 0, F.lit(0.0))
-             .otherwise(F.sqrt(var) / mean))
+             .when(s1 == 0, F.lit(0.0))
+             .otherwise(F.sqrt(F.greatest(inner, F.lit(0.0))) / s1.cast("double")))
 
 
 def purchase_gap_cv(obs: DataFrame) -> DataFrame:
@@ -172,16 +175,30 @@ def monthly_order_counts(obs: DataFrame, snapshot: str = DEFAULT_SNAPSHOT,
     ).agg(F.countDistinct("Invoice").cast("bigint").alias("n_orders"))
 
 
+def _ols_slope_aggs(y, x) -> list:
+    """Integer sums for an exact OLS slope (x and y are integers)."""
+    y, x = y.cast("decimal(38,0)"), x.cast("decimal(38,0)")
+    return [F.count(F.lit(1)).alias("_m"), F.sum(x).alias("_sx"), F.sum(y).alias("_sy"),
+            F.sum(x * y).alias("_sxy"), F.sum(x * x).alias("_sxx")]
+
+
+def _ols_slope():
+    """(n Σxy − Σx Σy) / (n Σx² − (Σx)²): exact integers, one rounded division,
+    so every engine and every partitioning returns the same double (an online
+    float accumulation does not, and PSI edges then split equal slopes)."""
+    num = F.col("_m") * F.col("_sxy") - F.col("_sx") * F.col("_sy")
+    den = F.col("_m") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
+    return F.when(F.col("_m") < 2, F.lit(0.0)).otherwise(num.cast("double") / den.cast("double"))
+
+
 def purchase_trend(monthly: DataFrame) -> DataFrame:
     """OLS slope of monthly counts on x = 0..n−1 over the months present
     (gaps compressed); fewer than 2 months → 0. Native ``regr_slope``."""
     w = Window.partitionBy("CustomerID").orderBy("year_month")
-    x = (F.row_number().over(w) - 1).cast("double")
+    x = F.row_number().over(w) - 1
     return (monthly.withColumn("_x", x)
-            .groupBy("CustomerID")
-            .agg(F.count(F.lit(1)).alias("_m"), F.regr_slope(F.col("n_orders").cast("double"), F.col("_x")).alias("_s"))
-            .select("CustomerID", F.when(F.col("_m") < 2, F.lit(0.0))
-                    .otherwise(F.coalesce(F.col("_s"), F.lit(0.0))).alias("purchase_trend")))
+            .groupBy("CustomerID").agg(*_ols_slope_aggs(F.col("n_orders"), F.col("_x")))
+            .select("CustomerID", _ols_slope().alias("purchase_trend")))
 
 
 def time_decay_weight(obs: DataFrame, snapshot: str = DEFAULT_SNAPSHOT,
@@ -372,20 +389,18 @@ def customer_feature_tables(clean: DataFrame, periods: dict[str, tuple[str, str]
     per_day = tagged.groupBy("period", cust, day.alias("_day")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("InvoiceDate").alias("_t0"), F.max("InvoiceDate").alias("_t1"))
     w = Window.partitionBy("period", "CustomerID").orderBy("_day")
-    gaps = (per_day.withColumn("_gap", elapsed_days(F.lag("_t1").over(w), F.col("_t0")).cast("double"))
+    gaps = (per_day.withColumn("_gap", elapsed_days(F.lag("_t1").over(w), F.col("_t0")))
             .groupBy("period", "CustomerID").agg(
-                F.sum("_n").cast("bigint").alias("n_lines"), F.coalesce(F.sum("_gap"), F.lit(0.0)).alias("gap_sum"),
-                F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0.0)).alias("gap_sumsq")))
+                F.sum("_n").cast("bigint").alias("n_lines"), F.coalesce(F.sum("_gap"), F.lit(0)).cast("bigint").alias("gap_sum"),
+                F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0)).cast("bigint").alias("gap_sumsq")))
     # trend: distinct invoices per (period, customer, month) within the last 6 months of the period
     recent = tagged.where(F.col("InvoiceDate") >= F.add_months(F.to_date("_snap"), -TREND_MONTHS).cast("timestamp_ntz"))
     monthly = recent.groupBy("period", cust, F.trunc(F.to_date("InvoiceDate"), "MM").alias("year_month")).agg(
         F.countDistinct("Invoice").cast("bigint").alias("n_orders"))
     wm = Window.partitionBy("period", "CustomerID").orderBy("year_month")
-    trend = (monthly.withColumn("_x", (F.row_number().over(wm) - 1).cast("double"))
-             .groupBy("period", "CustomerID")
-             .agg(F.count(F.lit(1)).alias("_m"), F.regr_slope(F.col("n_orders").cast("double"), F.col("_x")).alias("_s"))
-             .select("period", "CustomerID", F.when(F.col("_m") < 2, F.lit(0.0))
-                     .otherwise(F.coalesce(F.col("_s"), F.lit(0.0))).alias("purchase_trend"), F.lit(True).alias("_recent")))
+    trend = (monthly.withColumn("_x", F.row_number().over(wm) - 1)
+             .groupBy("period", "CustomerID").agg(*_ols_slope_aggs(F.col("n_orders"), F.col("_x")))
+             .select("period", "CustomerID", _ols_slope().alias("purchase_trend"), F.lit(True).alias("_recent")))
     out = core.join(gaps, ["period", "CustomerID"], "left").join(trend, ["period", "CustomerID"], "left")
     if reviews is not None and aspects is not None:
         ss = sentiment_snapshot

@@ -71,8 +71,8 @@ GAPS = f"""gap_lines AS (
 gap_cv AS (
   SELECT CustomerID,
          CASE WHEN count(*) < 2 THEN -1.0
-              WHEN avg(g) = 0 THEN 0.0
-              ELSE stddev_pop(g) / avg(g) END AS purchase_gap_cv,
+              WHEN sum(g) = 0 THEN 0.0
+              ELSE sqrt(greatest(CAST((count(g)) * sum(g * g) - sum(g) * sum(g) AS DOUBLE), 0.0)) / CAST(sum(g) AS DOUBLE) END AS purchase_gap_cv,
          CAST(count(*) < 2 AS INTEGER) AS is_single_purchase
   FROM gap_lines GROUP BY 1)"""
 
@@ -90,8 +90,10 @@ MONTHLY = f"""monthly AS (
 
 TEMPORAL = MONTHLY + f""",
 trend AS (
-  SELECT CustomerID, CASE WHEN count(*) < 2 THEN 0.0 ELSE coalesce(regr_slope(n_orders, x), 0.0) END AS purchase_trend
-  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY CustomerID ORDER BY year_month) - 1 AS DOUBLE) AS x FROM monthly)
+  SELECT CustomerID, CASE WHEN count(*) < 2 THEN 0.0
+    ELSE CAST(count(*) * sum(x * n_orders) - sum(x) * sum(n_orders) AS DOUBLE)
+         / CAST(count(*) * sum(x * x) - sum(x) * sum(x) AS DOUBLE) END AS purchase_trend
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY CustomerID ORDER BY year_month) - 1 AS HUGEINT) AS x FROM monthly)
   GROUP BY 1),
 decay AS (
   SELECT "Customer ID" AS CustomerID, exp(-0.1 * {days('max(InvoiceDate)', SNAP)}) AS time_decay_weight

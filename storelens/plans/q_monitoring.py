@@ -152,14 +152,15 @@ def q_conf_hist(spark, sf):
     return MN.confidence_histogram(_logs(spark, sf))
 
 
-_LES = "[" + ", ".join(repr(b) for b in MN.LATENCY_BUCKETS_S) + "]"
-_CUM = "[" + ", ".join(f"count(*) FILTER (WHERE latency_ms / 1000.0 <= {b!r})" for b in MN.LATENCY_BUCKETS_S) + ", count(*)]"
+_LES = "[" + ", ".join(f"CAST('{b!r}' AS DOUBLE)" for b in MN.LATENCY_BUCKETS_S) + "]"
+_CUM = "[" + ", ".join(f"count(*) FILTER (WHERE latency_ms / CAST(1000 AS DOUBLE) <= CAST('{b!r}' AS DOUBLE))"
+                       for b in MN.LATENCY_BUCKETS_S) + ", count(*)]"
 P95 = LOGS + f""", win AS (SELECT time_bucket(INTERVAL 1 MINUTE, created_at) - to_minutes(CAST(k AS INTEGER)) AS window_start, module, latency_ms
   FROM logs, range(0, 5) r(k)),
 cum AS (SELECT window_start, module, count(*) AS n, {_CUM} AS cum FROM win GROUP BY 1, 2),
-p0 AS (SELECT *, 0.95 * n AS rank, len(list_filter(cum, lambda c: c < 0.95 * n)) AS b FROM cum),
+p0 AS (SELECT *, CAST(0.95 AS DOUBLE) * n AS rank, len(list_filter(cum, lambda c: c < CAST(0.95 AS DOUBLE) * n)) AS b FROM cum),
 p95 AS (SELECT window_start, module, CAST(n AS BIGINT) AS n,
-  CASE WHEN n = 0 THEN NULL WHEN b >= 11 THEN 5.0
+  CASE WHEN n = 0 THEN NULL WHEN b >= 11 THEN CAST(5.0 AS DOUBLE)
        ELSE (CASE WHEN b = 0 THEN 0.0 ELSE {_LES}[b] END)
             + ({_LES}[least(b + 1, 11)] - CASE WHEN b = 0 THEN 0.0 ELSE {_LES}[b] END)
               * ((rank - CASE WHEN b = 0 THEN 0 ELSE cum[b] END) / (cum[b + 1] - CASE WHEN b = 0 THEN 0 ELSE cum[b] END)) END AS p95_s
@@ -179,7 +180,7 @@ def _streak_sql(src: str, series: str, t: str, for_min: int) -> str:
   GROUP BY {series}, g"""
 
 
-_LIM = " ".join(f"WHEN module = '{k}' THEN {v!r}" for k, v in MN.LATENCY_P95_LIMITS_S.items())
+_LIM = " ".join(f"WHEN module = '{k}' THEN CAST('{v!r}' AS DOUBLE)" for k, v in MN.LATENCY_P95_LIMITS_S.items())
 
 
 @register("latency_p95_alert", P95 + f""", over AS (SELECT module, window_start FROM p95 WHERE p95_s > CASE {_LIM} END)
