@@ -85,3 +85,15 @@ def test_multi_period_equals_single_period(spark):
         a = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in single.select(*cols).collect())
         b = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in m.select(*cols).collect())
         assert a == b
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 9), min_size=1, max_size=6), min_size=1, max_size=5))
+def test_exact_trend_slope_equals_least_squares(spark, series):
+    import numpy as np
+    rows = [(str(c), dt.date(2010, m + 1, 1), y) for c, ys in enumerate(series) for m, y in enumerate(ys)]
+    monthly = spark.createDataFrame(rows, "CustomerID string, year_month date, n_orders long")
+    got = {r["CustomerID"]: r["purchase_trend"] for r in FE.purchase_trend(monthly).collect()}
+    for c, ys in enumerate(series):
+        exp = 0.0 if len(ys) < 2 else float(np.polyfit(np.arange(len(ys), dtype=float), np.asarray(ys, dtype=float), 1)[0])
+        assert abs(got[str(c)] - exp) < 1e-9
