@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import exact_dedup, line_dedup, mixing, quality_rules
+from storelens.llm import bpe, exact_dedup, line_dedup, mixing, quality_rules
 from storelens.llm.common import documents, prepare
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -50,3 +52,10 @@ def mixing_query(spark, sf_dir):
 @query("op9_exact_dedup", exact_dedup.ORACLE)
 def exact_dedup_query(spark, sf_dir):
     return exact_dedup.decide(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op7_byte_bpe")
+def bpe_query(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
