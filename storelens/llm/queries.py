@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import bpe, exact_dedup, line_dedup, mixing, quality_rules
+from storelens.llm import bpe, exact_dedup, langid, line_dedup, mixing, ngram_join, quality_rules
 from storelens.llm.common import documents, prepare
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -39,6 +39,11 @@ def line_dedup_query(spark, sf_dir):
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op4_ngram_jaccard_join")
+def ngram_join_query(spark, sf_dir):
+    return ngram_join.near_components(documents(spark, sf_dir))
+
+
 @query("op5_quality_rules")
 def quality_query(spark, sf_dir):
     return quality_rules.verdicts(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
@@ -54,6 +59,11 @@ def exact_dedup_query(spark, sf_dir):
     return exact_dedup.decide(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+@query("op6_language_mixture")
+def language_query(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
+
+
 @query("op7_byte_bpe")
 def bpe_query(spark, sf_dir):
     import public_tokenizers
