@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import bpe, exact_dedup, langid, line_dedup, mixing, ngram_join, quality_rules
+from storelens.llm import bpe, exact_dedup, langid, line_dedup, mixing, ngram_join, quality_rules, toxicity
 from storelens.llm.common import documents, prepare
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_toxicity")
+def toxicity_query(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 @query("op3_line_dedup", line_dedup.ORACLE)
 def line_dedup_query(spark, sf_dir):
     docs = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
