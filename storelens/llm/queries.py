@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import bpe, exact_dedup, langid, line_dedup, mixing, ngram_join, quality_rules, toxicity
+from storelens.llm import bpe, exact_dedup, langid, line_dedup, mixing, ngram_join, pii, quality_rules, toxicity
 from storelens.llm.common import documents, prepare
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -74,3 +74,8 @@ def bpe_query(spark, sf_dir):
     import public_tokenizers
 
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+@query("op10_pii_boosting")
+def pii_query(spark, sf_dir):
+    return pii.report(documents(spark, sf_dir))
