@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storelens.llm import exact_dedup, mixing, quality_rules
+from storelens.llm import bpe, exact_dedup, mixing, ngram_join, quality_rules
 from storelens.llm.common import documents, prepare, written
+from storelens.llm.queries import RANKS
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,15 +22,30 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more), the document with the smallest id."""
+    prepare(spark)
+    return ngram_join.one_of_each(docs, width=5, threshold=0.8)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it."""
     prepare(spark)
     return mixing.mix(docs)
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", copies), ("source_mixing", mixture)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (packed little-endian unsigned 32-bit) of every document, and their number."""
+    import public_tokenizers
+
+    prepare(spark)
+    coded = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "source", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", copies), ("ngram_jaccard_join", near_copies), ("source_mixing", mixture), ("byte_bpe", tokens)]
 
-#: The learned stages can't be said in SQL.
+#: The learned rules and the tokens can't be said in SQL.
 ORACLE_SQL = None
 
 

@@ -1,13 +1,18 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set of word shingles is hashed to bits; a bit of its sketch is the parity of the shingles
-that fall on it. The Hamming distance of two sketches is at most the size of the sets' symmetric
-difference, and that is at most k = n (1 - t) / 2t ... for Jaccard t; for t = 0.9, n / 9 of the smaller
-set. A sketch for sets of a size band is cut into k + 1 blocks, so a linked pair agrees in a whole block
-(pigeonhole). Documents that share a block are candidates; their groups are found as components of
-"shares a block", and within a group all pairs, tile by tile, are first held against the Hamming bound
-of a small sketch and then against the exact sets. Pairs already connected are skipped, so a tile
-returns a forest and never all its pairs.
+A document's set of word shingles is XOR-hashed: every shingle flips the bits it hashes to, so what two
+sets share cancels out and their sketches differ in no more places than their symmetric difference has
+elements. For Jaccard t that difference is bounded by the sizes: d <= (a + b) (1 - t) / (1 + t), and
+d <= a (1 - t) / t for the smaller size a. Sizes are dealt into bands; for pairs within a band, and for
+pairs across a border of bands, a sketch is cut into more than k = max d blocks, each the XOR of the 64-bit
+hashes of its shingles. A linked pair agrees in a whole block (pigeonhole). A document with more than k
+blocks that hold something needs no empty ones for that; the others hand in their empty blocks too, so
+nothing is lost. Shingles that very many documents share (found on a sample) are left out of the blocks:
+that can only lessen differences.
+
+Documents that share a block are candidates; their groups are the components of "shares a block". Within
+a group all pairs, tile by tile, are held against the Hamming bound of a small parity sketch and then
+against the exact sets. Pairs already connected are skipped, so a tile returns a forest and never all pairs.
 
 Sets are identified by 64-bit digests of their 64-bit shingle hashes; equal sets are one node from the
 start, so copies cost one row each.
@@ -21,6 +26,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -35,6 +41,7 @@ from storelens.llm.components import components
 U = np.uint64
 MAX_WORDS = 400_000
 TILE = 2048
+RATIO = 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS: dict[bytes, int] = {}  # hashes of words this worker has met
 
@@ -69,33 +76,56 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 
 class Bands:
-    """Size bands such that sets linked at Jaccard ``t`` are in the same band or in adjacent ones."""
+    """Sizes in bands [lo, hi) of ratio ``RATIO``, for linked pairs of Jaccard ``t``."""
 
-    def __init__(self, t: Fraction, upto: int = 1 << 30):
+    def __init__(self, t: Fraction):
         self.t = t
-        starts = [1, 2]
-        while starts[-1] < upto:
-            starts.append(max(starts[-1] + 1, int((starts[-1] - 1) / t) + 1))
-        self.starts = np.array(starts, dtype=np.int64)
-
-    def of(self, n: int) -> int:
-        return int(np.searchsorted(self.starts, n, side="right")) - 1
-
-    def differences(self, smaller: int) -> int:
-        """Most elements in the symmetric difference of linked sets: U - I <= (1 - t) U and U <= smaller / t."""
-        return int(smaller * (1 - self.t) / self.t)
-
-    def blocks(self, level: int) -> int:
-        """Blocks at a level, where sets of its band and the one below meet; 1 if only equal sets can be linked."""
-        return self.differences(int(self.starts[level + 1]) - 1) + 1
-
-
-def sketch(s: np.ndarray, blocks: int) -> np.ndarray:
-    """Parities of the hashed elements, as ``blocks`` words of 64 bits."""
-    at = ((s >> U(6)) % U(blocks)).astype(np.int64)
+        self.plans: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def levels(self, n: int) -> list[tuple[int, int, int]]:
+        """(level, k, blocks) for every level at which a set of size n may meet a linked, unequal one.
+
+        Level 2i holds the pairs within band i, level 2i + 1 those across its upper border.
+        """
+        i, lo = 0, 1
+        while lo * RATIO <= n:
+            i, lo = i + 1, lo * RATIO
+        out = [(2 * i, int(2 * (lo * RATIO - 1) * (1 - self.t) / (1 + self.t)), lo)]
+        if int(n / self.t) >= lo * RATIO:
+            out.append((2 * i + 1, int((lo * RATIO - 1) * (1 - self.t) / self.t), math.ceil(lo * RATIO * self.t)))
+        if n * self.t <= lo - 1:
+            out.append((2 * i - 1, int((lo - 1) * (1 - self.t) / self.t), math.ceil(lo * self.t)))
+        # so many blocks that even the smallest set of the level leaves, by chance, more than k of them not empty
+        return [(level, k, k + 4 + math.ceil(1.3 * (k + 1) * math.exp(-least / (k + 1)))) for level, k, least in out if k > 0]
+
+
+def signatures(s: np.ndarray, frequent: np.ndarray, bands: Bands) -> np.ndarray:
+    """Hashes of (level, block, XOR of the block's elements) that a linked set shares at least one of."""
+    out = []
+    rare = s
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        rare = s[frequent[at] != s]
+    for level, k, blocks in bands.levels(len(s)):
+        x = np.zeros(blocks, dtype=U)
+        where = ((rare >> U(6)) % U(blocks)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        where = where[order]
+        first = np.flatnonzero(np.diff(where, prepend=-1))
+        if len(first):
+            x[where[first]] = np.bitwise_xor.reduceat(rare[order], first)
+        held = where[first] if len(first) > k else np.arange(blocks)
+        with np.errstate(over="ignore"):
+            out.append(_mix(_mix(x[held] + U(level) * U(0xC2B2AE3D27D4EB4F), 0x9E3779B97F4A7C15, 29) + held.astype(U), 0xBF58476D1CE4E5B9, 32))
+    return np.concatenate(out) if out else np.empty(0, dtype=U)
+
+
+def sketch(s: np.ndarray, words: int) -> np.ndarray:
+    """Parities of the elements that fall on each of 64 x ``words`` bits."""
+    at = ((s >> U(6)) % U(words)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     at, bit = at[order], (U(1) << (s & U(63)))[order]
-    out = np.zeros(blocks, dtype=U)
+    out = np.zeros(words, dtype=U)
     first = np.flatnonzero(np.diff(at, prepend=-1))
     out[at[first]] = np.bitwise_xor.reduceat(bit, first)
     return out
@@ -107,24 +137,36 @@ def _node(s: np.ndarray) -> int:
     return int(np.frombuffer(xxhash.xxh64_digest(s.tobytes()), dtype=">i8")[0])
 
 
-def _sketch_rows(batches: Iterator[pa.RecordBatch], width: int, t: Fraction) -> Iterator[pa.RecordBatch]:
-    bands = Bands(t)
+def frequent_shingles(docs: DataFrame, width: int, one_in: int = 32, share: float = 0.01, least: int = 16, most: int = 100_000) -> np.ndarray:
+    """Sorted hashes of shingles that a sample finds in many documents. Any choice gives the same links; this one gives few candidates."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0).select("text")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                found = [shingles(t, width) for t in batch.slice(i, 64).column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+    count = written(some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "sketch-frequent")
+    top = count.where(F.col("n") >= share * some.count()).orderBy(F.desc("n"), "h").limit(most).collect()
+    return np.sort(np.array([r["h"] for r in top], dtype=np.int64).view(U))
+
+
+def _sketch_rows(batches: Iterator[pa.RecordBatch], width: int, t: Fraction, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, n, node, sigs); a set met before in the partition hands in no signatures again."""
+    bands, met = Bands(t), set()
     for batch in batches:
         for i in range(0, batch.num_rows, 512):
             part = batch.slice(i, 512)
-            n, node, level, low, high = [], [], [], [], []
+            n, node, sigs = [], [], []
             for text in part.column(1).to_pylist():
                 s = shingles(text, width)
                 n.append(len(s))
-                node.append(_node(s))
-                b = bands.of(len(s)) if len(s) else -1
-                level.append(b)
-                two = [sketch(s, k).view(np.int64) if b >= 0 and (k := bands.blocks(x)) > 1 else [] for x in (b, b + 1)]
-                low.append(two[0])
-                high.append(two[1])
-            words = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(level, pa.int32()),
-                                              pa.array(low, words), pa.array(high, words)], ["doc_id", "n", "node", "level", "low", "high"])
+                node.append(x := _node(s))
+                sigs.append(signatures(s, frequent, bands).view(np.int64) if len(s) and x not in met else None)
+                met.add(x)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
+                                             ["doc_id", "n", "node", "sigs"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,18 +194,22 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], ["a", "b"])
 
 
-def candidate_groups(classes: DataFrame) -> DataFrame:
+def candidate_groups(rows: DataFrame) -> DataFrame:
     """(node, root): nodes that share blocks, directly or by others, have the same root."""
-    def at(level, blocks):
-        return classes.select("node", level.alias("level"), F.posexplode(blocks).alias("at", "block"))
-
-    sigs = at(F.col("level"), "low").unionByName(at(F.col("level") + 1, "high"))
-    sigs = sigs.select(F.xxhash64("level", "at", "block").alias("sig"), "node")
+    sigs = rows.where("sigs IS NOT NULL").select(F.explode("sigs").alias("sig"), "node")
     # by range of both columns: a signature that very many nodes share is dealt over several tasks
-    sigs = sigs.repartitionByRange(shuffle_partitions(classes.sparkSession), "sig", "node").sortWithinPartitions("sig", "node")
+    sigs = sigs.repartitionByRange(shuffle_partitions(rows.sparkSession), "sig", "node").sortWithinPartitions("sig", "node")
     return components(sigs.mapInArrow(_stars, "a bigint, b bigint"), "sketch-groups")
 
 
+def by_id(docs: DataFrame, ids: DataFrame, id_col: str, slots: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+    """Documents that certainly have none of the ids, and the rest. At most ``slots`` numbers are broadcast, so no text is shuffled."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots)).cast("int")
+    taken = F.broadcast(ids.select(slot(F.col("id")).alias("__slot")).distinct())
+    here = slot(docs[id_col].cast(ids.schema["id"].dataType)) == taken["__slot"]
+    return docs.join(taken, here, "left_anti"), docs.join(taken, here, "left_semi")
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
@@ -242,7 +288,8 @@ def links(docs: DataFrame, rows: DataFrame, groups: DataFrame, width: int, t: Fr
     own = rows.join(groups, "node").groupBy("node", "root").agg(F.min("doc_id").alias("id"))
     own = written(own, "sketch-owners")
     wanted = own.select("id").distinct()
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
+    some = by_id(docs, wanted, "doc_id")[1]
+    texts = some.join(wanted, some["doc_id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
     sets = texts.mapInArrow(lambda b: _sets(b, width), "node bigint, elements binary")
     count = own.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     chunks = F.ceil(F.col("m") / F.lit(TILE // 2)).cast("int")
@@ -261,12 +308,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     t = Fraction(str(threshold))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(lambda b: _sketch_rows(b, width, t),
-                           f"doc_id {kind}, n bigint, node bigint, level int, low array<bigint>, high array<bigint>")
+    frequent = frequent_shingles(docs, width)
+    rows = docs.mapInArrow(lambda b: _sketch_rows(b, width, t, frequent), f"doc_id {kind}, n bigint, node bigint, sigs array<bigint>")
     rows = written(rows, "sketch-rows")
-    classes = (rows.where("n > 0").groupBy("node").agg(F.first("level").alias("level"), F.first("low").alias("low"), F.first("high").alias("high")))
+    groups = candidate_groups(rows)
     rows = rows.select("doc_id", "n", "node")
-    found = links(docs, rows.where("n > 0"), candidate_groups(classes), width, t)
+    found = links(docs, rows.where("n > 0"), groups, width, t)
     linked = components(written(found, "sketch-links"), "sketch-components")
     rows = rows.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = written(rows, "sketch-rooted")
@@ -277,7 +324,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """Of each component the document with the smallest id, with its own columns; one row where ids repeat."""
-    stays = near_components(docs, id_col, text_col, **kw).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = stays.select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stays, docs[id_col].eqNullSafe(stays["__stays"]), "left_semi")
+    """Of each component the document with the smallest id, with its own columns; rows that share an id stay or go together."""
+    goes = near_components(docs, id_col, text_col, **kw).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    goes = written(goes.select(F.col("doc_id").alias("id")).distinct(), "sketch-dropped")
+    clear, rest = by_id(docs, goes, id_col)
+    return clear.unionByName(rest.join(goes, rest[id_col].eqNullSafe(goes["id"]), "left_anti"))

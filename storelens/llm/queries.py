@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import bpe, exact_dedup, langid, line_dedup, mixing, ngram_join, pii, quality_rules, toxicity
+from storelens.llm import bpe, exact_dedup, langid, line_dedup, mixing, ngram_join, pii, preference, quality_rules, toxicity
 from storelens.llm.common import documents, prepare
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -38,6 +38,11 @@ def toxicity_query(spark, sf_dir):
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+@query("op2_preference_format", preference.ORACLE)
+def preference_query(spark, sf_dir):
+    return preference.by_neighbours(table(spark, sf_dir, "conversations"))
+
+
 @query("op3_line_dedup", line_dedup.ORACLE)
 def line_dedup_query(spark, sf_dir):
     docs = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
