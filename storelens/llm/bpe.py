@@ -31,12 +31,12 @@ from pyspark.sql import types as T
 
 from storelens.llm.common import prepare, whole
 
-MAX_STATES = 200_000
+MAX_STATES = 120_000
 WINDOW = 512
 FEW = 12
 _BYTES = [bytes((i,)) for i in range(256)]
-MAX_PIECES = 300_000
-MAX_PAIRS = 500_000
+MAX_PIECES = 120_000
+MAX_PAIRS = 150_000
 CACHED_PIECE_CHARS = 48
 BATCH_ROWS = 256
 
@@ -47,6 +47,10 @@ def load_ranks(path: str) -> bytes:
         return f.read()
 
 
+def parse_ranks(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(t): int(r) for t, r in (x.split() for x in ranks.splitlines() if x)}
+
+
 class Transducer:
     """Encodes pieces (bytes) to token ids."""
 
@@ -189,7 +193,7 @@ class Encoder(dict):
 
         super().__init__()
         self.split = regex.compile(pattern).findall
-        self.transducer = Transducer({base64.b64decode(t): int(r) for t, r in (x.split() for x in ranks.splitlines() if x)})
+        self.transducer = Transducer(parse_ranks(ranks))
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.transducer.encode(piece.encode()), dtype="<u4").tobytes()
@@ -308,7 +312,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     return docs.mapInArrow(run, schema)
 
 
-def decode(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
+def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """Add ``to``: the text of the packed ids, decoded as a stream."""
     spark = rows.sparkSession
     prepare(spark)
@@ -318,7 +322,7 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids",
 
     def run(batches):
         key = ("decoder", hashlib.sha256(ranks.value).digest())
-        made = _MADE.get(key) or _MADE.setdefault(key, Decoder(_encoder(ranks.value, pattern).transducer.of))
+        made = _MADE.get(key) or _MADE.setdefault(key, Decoder({r: t for t, r in parse_ranks(ranks.value).items()}))
         for b in _rows(batches):
             out = [made.feed(np.frombuffer(x or b"", dtype="<u4").tolist()) + made.finish() for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, to])
@@ -329,6 +333,6 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids",
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     coded = encode(docs.select("doc_id", whole(F.col("text")).alias("text")), ranks_path, pattern).drop("text")
-    back = decode(coded, ranks_path, pattern)
+    back = decode(coded, ranks_path)
     return back.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
