@@ -31,12 +31,15 @@ from pyspark.sql import types as T
 
 from storelens.llm.common import prepare, whole
 
-MAX_STATES = 120_000
+MAX_STATES = 200_000
 WINDOW = 512
 FEW = 12
 _BYTES = [bytes((i,)) for i in range(256)]
-MAX_PIECES = 120_000
-MAX_PAIRS = 150_000
+MAX_PIECES = 250_000
+MAX_PAIRS = 400_000
+MAX_ALIVE = 150_000
+ID_BITS = 24  # an arc packs the next state and a token into one integer
+_ID = (1 << ID_BITS) - 1
 CACHED_PIECE_CHARS = 48
 BATCH_ROWS = 256
 
@@ -75,7 +78,7 @@ class Transducer:
         for t, r in self.tokens.items():
             for i in range(1, len(t)):
                 self.longer.setdefault(t[:i], []).append(r)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.alive: dict[tuple[int, bytes], bool] = {}
         self._clear()
 
@@ -98,12 +101,12 @@ class Transducer:
         Merges happen in the order of their ranks. One reaches across if the parts at the border can
         merge before the merge inside a, or inside b, that takes them in; of equal ranks the left goes first.
         """
-        got = self.pairs.get((a, b))
+        got = self.pairs.get(a << ID_BITS | b)
         if got is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
             rank = self.ranks.get
-            got = self.pairs[a, b] = not any((r := rank(x + y)) is not None and r < until_x and r <= until_y
+            got = self.pairs[a << ID_BITS | b] = not any((r := rank(x + y)) is not None and r < until_x and r <= until_y
                                              for x, until_x in self.last[a] for y, until_y in self.first[b])
         return got
 
@@ -114,7 +117,7 @@ class Transducer:
             return longer is not None
         got = self.alive.get((before, since))
         if got is None:
-            if len(self.alive) >= MAX_PAIRS:
+            if len(self.alive) >= MAX_ALIVE:
                 self.alive.clear()
             got = self.alive[before, since] = any([self.fits(before, t) for t in longer])
         return got
@@ -123,7 +126,7 @@ class Transducer:
         # a state: for each open position, the token that ends there (-1 at the start) and the bytes since; the last is the end
         self.keys: list[tuple[tuple[int, bytes], ...]] = []
         self.number: dict[tuple, int] = {}
-        self.arcs: list[dict[int, tuple[int, int]]] = []
+        self.arcs: dict[int, int] = {}  # state and byte: next state and token
         self._state(((-1, b""),))
 
     def _state(self, key: tuple) -> int:
@@ -131,7 +134,6 @@ class Transducer:
         if n is None:
             n = self.number[key] = len(self.keys)
             self.keys.append(key)
-            self.arcs.append({})
         return n
 
     def _arc(self, state: int, byte: int) -> tuple[int, int]:
@@ -153,7 +155,7 @@ class Transducer:
             self._clear()
             return self._state(key), end
         to = self._state(key)
-        self.arcs[state][byte] = (to, end)
+        self.arcs[state << 8 | byte] = to << ID_BITS | end
         return to, end
 
     def _path(self, ends: list[int], to: int) -> list[int]:
@@ -177,7 +179,8 @@ class Transducer:
             return [self.ranks[piece]]
         state, out, ends, window = 0, [], [], WINDOW
         for byte in piece:
-            state, t = self.arcs[state].get(byte) or self._arc(state, byte)
+            arc = self.arcs.get(state << 8 | byte)
+            state, t = self._arc(state, byte) if arc is None else (arc >> ID_BITS, arc & _ID)
             ends.append(t)
             if len(ends) >= window:
                 out += self._final(state, ends)
