@@ -70,10 +70,9 @@ class Run:
         return run
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, key: str, buckets: int) -> "Run":
+    def open(cls, spark: SparkSession, path: str, key: str, buckets: int, schema: str) -> "Run":
         name = f"run_{uuid.uuid4().hex[:16]}"
-        cols = ", ".join(f"`{n}` {t}" for n, t in spark.read.parquet(path).dtypes)
-        spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) "
+        spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) "
                   f"INTO {buckets} BUCKETS LOCATION '{path}'")
         return cls(spark, path, key, buckets, name)
 

@@ -28,20 +28,21 @@ class DigestIndex:
     """
 
     KEY = "digest"
+    SCHEMA = "digest binary, keep_id bigint, n bigint"
 
     def __init__(self, spark: SparkSession, path: str, buckets: int, index: Run, repeats: Run):
         self.spark, self.path, self.buckets, self.index, self.repeats = spark, path, buckets, index, repeats
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, buckets: int) -> "DigestIndex":
-        none = spark.createDataFrame([], "digest binary, keep_id bigint, n bigint")
+        none = spark.createDataFrame([], cls.SCHEMA)
         return cls(spark, path, buckets, Run.write(none, f"{path}/index", cls.KEY, buckets),
                    Run.write(none.select("digest", "n"), f"{path}/repeats", cls.KEY, buckets))
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, buckets: int) -> "DigestIndex":
-        return cls(spark, path, buckets, Run.open(spark, f"{path}/index", cls.KEY, buckets),
-                   Run.open(spark, f"{path}/repeats", cls.KEY, buckets))
+        return cls(spark, path, buckets, Run.open(spark, f"{path}/index", cls.KEY, buckets, cls.SCHEMA),
+                   Run.open(spark, f"{path}/repeats", cls.KEY, buckets, "digest binary, n bigint"))
 
     def add(self, batch: DataFrame) -> None:
         """Take in (doc_id, digest) rows; the largest id of each new digest stays."""
