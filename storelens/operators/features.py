@@ -7,7 +7,7 @@ co-partitioned (hash on the same key) and add no further shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.timeutil import elapsed_days, ts_lit
@@ -219,6 +219,12 @@ def temporal_features(obs: DataFrame, snapshot: str = DEFAULT_SNAPSHOT,
                     F.coalesce(F.col("time_decay_weight"), F.lit(0.0)).alias("time_decay_weight")))
 
 
+def exact_mean(score: Column) -> Column:
+    """Mean of scores with at most nine decimals from an exact decimal sum and one division,
+    so it doesn't depend on the order in which partial sums meet."""
+    return F.sum(score.cast("decimal(18,9)")).cast("double") / F.count(score)
+
+
 def doc_sentiment_agg(reviews: DataFrame, snapshot: str) -> DataFrame:
     """A10 + W2: per customer mean score, count of scores < −0.3, last non-null
     score by date, has_reviews = 1; only reviews strictly before the snapshot.
@@ -230,7 +236,7 @@ def doc_sentiment_agg(reviews: DataFrame, snapshot: str) -> DataFrame:
     r = reviews.where(F.col("review_date") < ts_lit(snapshot))
     s = F.col("sentiment_score")
     return r.groupBy("CustomerID").agg(
-        F.avg(s).alias("avg_sentiment_score"),
+        exact_mean(s).alias("avg_sentiment_score"),
         F.count_if(s < NEGATIVE_SENTIMENT_THRESHOLD).cast("bigint").alias("negative_review_count"),
         F.max_by(F.when(s.isNotNull(), s), F.when(s.isNotNull(), F.struct("review_date", s))).alias("last_review_sentiment"),
         F.lit(1).alias("has_reviews"),
@@ -245,7 +251,7 @@ def aspect_sentiment_pivot(aspects: DataFrame, snapshot: str) -> DataFrame:
     """
     a = aspects.where(F.col("review_date") < ts_lit(snapshot))
     return a.groupBy("CustomerID").agg(*[
-        F.avg(F.when(F.col("aspect") == k, F.col("aspect_sentiment"))).alias(v)
+        exact_mean(F.when(F.col("aspect") == k, F.col("aspect_sentiment"))).alias(v)
         for k, v in ASPECT_COLUMNS.items()
     ])
 

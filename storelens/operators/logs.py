@@ -58,10 +58,15 @@ def unknown_resolutions(queue: DataFrame, resolutions: DataFrame) -> DataFrame:
     return resolutions.join(queue.select(F.col("id").alias("queue_id")), "queue_id", "left_anti")
 
 
+def _within(limit: int, most: int) -> None:
+    if not 1 <= int(limit) <= most:
+        raise ValueError(f"limit must be between 1 and {most}")
+
+
 def review_queue_page(queue: DataFrame, module: str | None = None, status: str | None = None,
                       limit: int = 50, offset: int = 0) -> DataFrame:
     """O1: optional filters, newest first, LIMIT ≤ 200 OFFSET n (a page is the feature)."""
-    limit = min(int(limit), MAX_QUEUE_PAGE)
+    _within(limit, MAX_QUEUE_PAGE)
     q = queue
     if module:
         q = q.where(F.col("module") == module)
@@ -83,7 +88,7 @@ def queue_depth(queue: DataFrame, module: str | None = None, status: str | None
 
 def drift_event_list(events: DataFrame, module: str | None = None, limit: int = 100) -> DataFrame:
     """O2: newest drift events first, LIMIT ≤ 500 (TakeOrdered: top-n per task)."""
-    limit = min(int(limit), MAX_DRIFT_EVENTS)
+    _within(limit, MAX_DRIFT_EVENTS)
     e = events if module is None else events.where(F.col("module") == module)
     return e.orderBy(F.col("created_at").desc(), F.col("id")).limit(limit)
 

@@ -16,7 +16,7 @@ def review_records(raw: DataFrame, source: str | None = None) -> DataFrame:
     Same rules as the JSONL scan (S3) for rows already in a table.
     """
     raw = spread(raw)
-    rating = F.col("rating").try_cast("double").cast("int")
+    rating = F.col("rating").try_cast("double").try_cast("int")
     src = F.lit(source) if source is not None else F.col("asin")
     recs = raw.select(
         F.concat(F.coalesce(F.col("asin"), F.lit("unk")), F.lit("_"),
@@ -32,7 +32,7 @@ def review_records(raw: DataFrame, source: str | None = None) -> DataFrame:
 def validate_reviews(raw: DataFrame) -> DataFrame:
     """C2 report per record: cleaned length, parsed rating, reason."""
     raw = spread(raw)
-    rating = F.col("rating").try_cast("double").cast("int")
+    rating = F.col("rating").try_cast("double").try_cast("int")
     c = raw.select(F.col("user_id").alias("record_id"), rating.alias("rating"),
                    once(clean_review_text(F.col("text"))).alias("_t"))
     return c.select("record_id", F.length("_t").alias("char_length"), "rating",

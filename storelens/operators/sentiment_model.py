@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.scoring import overall_sentiment, sentiment_from_probs
@@ -24,8 +24,12 @@ def sentiment_classifier(train: DataFrame, text: str = "text", label: str = "lab
     """
     idx = F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col(label)) - 1
     d = train.withColumn("label_idx", idx.cast("double"))
-    n_c = Window.partitionBy("label_idx")
-    d = d.withColumn("w", F.count(F.lit(1)).over(Window.partitionBy()) / (F.lit(len(LABELS)) * F.count(F.lit(1)).over(n_c)))
+    sizes = {r["label_idx"]: r["n"] for r in d.groupBy("label_idx").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a label
+    total = sum(sizes.values())
+    weight = F.lit(0.0)
+    for k, n in sizes.items():
+        weight = F.when(F.col("label_idx").eqNullSafe(F.lit(k)), total / (len(LABELS) * n)).otherwise(weight)
+    d = d.withColumn("w", weight)
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="tokens", pattern=r"\W+", toLowercase=True),
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),

@@ -125,7 +125,7 @@ ASPECT_SENTIMENT = """aspect_sentiment AS (
 
 SENTIMENT = REVIEW_SENTIMENT + ",\n" + ASPECT_SENTIMENT + f""",
 doc_agg AS (
-  SELECT CustomerID, avg(sentiment_score) AS avg_sentiment_score,
+  SELECT CustomerID, CAST(sum(CAST(sentiment_score AS DECIMAL(18,9))) AS DOUBLE) / count(sentiment_score) AS avg_sentiment_score,
          CAST(count(*) FILTER (WHERE sentiment_score < -0.3) AS BIGINT) AS negative_review_count,
          max(last_s) AS last_review_sentiment, 1 AS has_reviews
   FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY CustomerID, sentiment_score IS NULL
@@ -135,9 +135,9 @@ doc_agg AS (
   GROUP BY 1),
 aspect_pivot AS (
   SELECT CustomerID,
-         avg(CASE WHEN aspect = 'battery' THEN aspect_sentiment END) AS avg_battery_sentiment,
-         avg(CASE WHEN aspect = 'shipping' THEN aspect_sentiment END) AS avg_shipping_sentiment,
-         avg(CASE WHEN aspect = 'price' THEN aspect_sentiment END) AS avg_price_sentiment
+         CAST(sum(CAST(CASE WHEN aspect = 'battery' THEN aspect_sentiment END AS DECIMAL(18,9))) AS DOUBLE) / count(CASE WHEN aspect = 'battery' THEN aspect_sentiment END) AS avg_battery_sentiment,
+         CAST(sum(CAST(CASE WHEN aspect = 'shipping' THEN aspect_sentiment END AS DECIMAL(18,9))) AS DOUBLE) / count(CASE WHEN aspect = 'shipping' THEN aspect_sentiment END) AS avg_shipping_sentiment,
+         CAST(sum(CAST(CASE WHEN aspect = 'price' THEN aspect_sentiment END AS DECIMAL(18,9))) AS DOUBLE) / count(CASE WHEN aspect = 'price' THEN aspect_sentiment END) AS avg_price_sentiment
   FROM aspect_sentiment WHERE review_date < {SENT_SNAP} GROUP BY 1)"""
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from storelens.functions.hashing import hashed_uniform
 from storelens.functions.text import clean_review_text
@@ -23,7 +22,7 @@ POLARITIES = ["positive", "negative", "neutral", "conflict"]
 def _sentences(spark, sf):
     d = spread(Tables(spark, sf).documents)
     from storelens.functions.text import once
-    txt = once(F.rtrim(F.substring(clean_review_text(F.col("text")), 1, 120)))
+    txt = once(clean_review_text(F.col("text")))
     return d.select(F.col("doc_id").cast("string").alias("sentence_id"), F.col("doc_id"), txt.alias("text"))
 
 
@@ -60,13 +59,7 @@ def write_aspect_xml(spark, sf) -> str:
     return path
 
 
-XML_SCHEMA = T.StructType([
-    T.StructField("_id", T.StringType()), T.StructField("text", T.StringType()),
-    T.StructField("aspectTerms", T.StructType([T.StructField("aspectTerm", T.ArrayType(T.StructType([
-        T.StructField("_term", T.StringType()), T.StructField("_polarity", T.StringType())])))])),
-])
-
-SENT_SQL = f"""sent AS (SELECT CAST(doc_id AS VARCHAR) AS sentence_id, doc_id, rtrim(substr({clean_sql('text')}, 1, 120)) AS text FROM documents),
+SENT_SQL = f"""sent AS (SELECT CAST(doc_id AS VARCHAR) AS sentence_id, doc_id, {clean_sql('text')} AS text FROM documents),
 terms AS (SELECT sentence_id, text, CAST(k AS INTEGER) AS term_idx,
     [{', '.join(repr(w) for w in TERM_WORDS)}, split_part(text, ' ', 1)][CAST((doc_id + k) % 6 AS INTEGER) + 1] AS term,
     [{', '.join(repr(p) for p in POLARITIES)}][CAST((doc_id * 7 + k) % 4 AS INTEGER) + 1] AS polarity
@@ -77,10 +70,7 @@ terms AS (SELECT sentence_id, text, CAST(k AS INTEGER) AS term_idx,
   LEFT JOIN terms t USING (sentence_id)""")
 def q_scan_xml(spark, sf):
     """Derived XML read back with the built-in XML source"""
-    path = write_aspect_xml(spark, sf)
-    x = spark.read.format("xml").option("rowTag", "sentence").schema(XML_SCHEMA).load(path)
-    return x.select(F.col("_id").alias("sentence_id"), "text", F.explode_outer("aspectTerms.aspectTerm").alias("t")) \
-            .select("sentence_id", "text", F.col("t._term").alias("term"), F.col("t._polarity").alias("polarity"))
+    return FL.scan_aspect_xml(spark, write_aspect_xml(spark, sf))
 
 
 def _scores(spark, sf):

@@ -72,33 +72,34 @@ SELECT path, width, height, reason = 'ok' AS valid, reason FROM r"""
 
 @register("image_rules", _image_rules_sql())
 def q_image_rules(spark, sf):
-    """Header dimensions via a pandas UDF over the first 64 KiB (rows check)"""
-    return IM.image_rules(_files(spark, sf))
+    """Header dimensions via a pandas UDF over the header bytes"""
+    return IM.image_rules(_files(spark, sf)).drop("category", "page_id")
 
 
-BASIC = (f"CASE WHEN {EXT} NOT IN ('.jpg', '.jpeg', '.png', '.webp') THEN 'invalid extension' "
-         f"WHEN octet_length(content) < 5000 THEN 'too small' WHEN octet_length(content) > 10000000 THEN 'too large' "
-         f"WHEN NOT ({O.magic_sql('content', EXT)}) THEN 'corrupt' ELSE 'ok' END")
+RULED = f"""SELECT path, category, sha256(content) AS sha256,
+  CASE WHEN {EXT} NOT IN ('.jpg', '.jpeg', '.png', '.webp') THEN 'corrupt'
+       WHEN octet_length(content) < 5000 OR octet_length(content) > 10000000 THEN 'size'
+       WHEN width IS NULL THEN 'corrupt' WHEN width < 64 OR height < 64 THEN 'size' ELSE 'ok' END AS r
+  FROM (SELECT *, {O.dims_sql('content')} FROM files)"""
 
-DEDUP = FILES + f""", v AS (SELECT path, category, sha256(content) AS sha256 FROM files WHERE ({BASIC}) = 'ok'),
+DEDUP = FILES + f""", v AS (SELECT path, category, sha256 FROM ({RULED}) WHERE r = 'ok'),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY category, path) AS rn FROM v) WHERE rn = 1)"""
 
 
 @register("first_seen_dedup", DEDUP + "SELECT path, category, sha256 FROM firsts")
 def q_dedup(spark, sf):
     """Valid files, first per SHA-256 across categories"""
-    f = _files(spark, sf)
-    v = f.where(IM.basic_image_rules(f) == "ok").select("path", "category", IM.content_sha256(f).alias("sha256"))
+    v = IM.hashed_files(_files(spark, sf)).where("valid").select("path", "category", "sha256")
     return IM.first_seen_dedup(v)
 
 
-@register("split_statistics", FILES + f""", d AS (SELECT category, path, {BASIC} AS r, sha256(content) AS h FROM files),
+@register("split_statistics", FILES + f""", d AS (SELECT category, path, r, sha256 AS h FROM ({RULED})),
 f AS (SELECT h, arg_min(category, (category, path)) AS fc, arg_min(path, (category, path)) AS fp FROM d WHERE r = 'ok' GROUP BY h),
 j AS (SELECT d.*, r = 'ok' AND NOT (f.fc = d.category AND f.fp = d.path) AS dup FROM d LEFT JOIN f USING (h))
 SELECT coalesce(category, '__overall__') AS category, CAST(count(*) AS BIGINT) AS total,
   CAST(count(*) FILTER (WHERE r = 'ok' AND NOT dup) AS BIGINT) AS valid,
-  CAST(count(*) FILTER (WHERE r IN ('too small', 'too large')) AS BIGINT) AS invalid_size,
-  CAST(count(*) FILTER (WHERE r IN ('invalid extension', 'corrupt')) AS BIGINT) AS invalid_corrupt,
+  CAST(count(*) FILTER (WHERE r = 'size') AS BIGINT) AS invalid_size,
+  CAST(count(*) FILTER (WHERE r = 'corrupt') AS BIGINT) AS invalid_corrupt,
   CAST(count(*) FILTER (WHERE dup) AS BIGINT) AS duplicates
 FROM j GROUP BY ROLLUP (category)""")
 def q_split_stats(spark, sf):
@@ -115,8 +116,7 @@ SELECT path, category, split, CAST(rk AS BIGINT) AS _rank FROM (
 WHERE rk < greatest(1, floor(10 * CASE split WHEN 'train' THEN 0.7 WHEN 'val' THEN 0.15 ELSE 0.15 END))""")
 def q_dev_sample(spark, sf):
     """W4 on images (by category after dedup) → W6 dev sample of 10 per class"""
-    f = _files(spark, sf)
-    v = f.where(IM.basic_image_rules(f) == "ok").select("path", "category", IM.content_sha256(f).alias("sha256"))
+    v = IM.hashed_files(_files(spark, sf)).where("valid").select("path", "category", "sha256")
     s = SP.stratified_split(IM.first_seen_dedup(v).select("path", "category"), "category", "path")
     return SP.split_sample(s, "category", "path", per_class=10)
 

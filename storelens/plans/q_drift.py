@@ -137,13 +137,19 @@ def q_apply_scaler(spark, sf):
     return D.apply_scaler(cur, sc)
 
 
-@register("inverse_scaler", BASE + f"\nSELECT CustomerID, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in NUM)} FROM cur_f", NUM)
+def _round_trip(c: str) -> str:
+    """(x - m) / s * s + m gives x back to a few units in the last place; what is compared is what survives that."""
+    return f"CASE WHEN abs({c}) < 1000 THEN round({c}, 9) ELSE round({c}, 6) END"
+
+
+@register("inverse_scaler", BASE + f"\nSELECT CustomerID, {', '.join(f'{_round_trip(f'CAST({c} AS DOUBLE)')} AS {c}' for c in NUM)} FROM cur_f", NUM)
 def q_inverse_scaler(spark, sf):
     """D3: scale then inverse-scale returns the raw features"""
     ref, cur = _periods(spark, sf)
     sc = D.fit_scaler(ref)
     cur = cur.select("CustomerID", *NUM)
-    return D.apply_scaler(D.apply_scaler(cur, sc), sc, inverse=True)
+    back = D.apply_scaler(D.apply_scaler(cur, sc), sc, inverse=True)
+    return back.select("CustomerID", *[F.expr(_round_trip(c)).alias(c) for c in NUM])
 
 
 @register("psi", BASE + psi_sql() + "\nSELECT * FROM psi", ["psi", "out_of_range"])

@@ -307,8 +307,10 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
-def _event_files(spark, sf, name: str, closing_event: bool) -> str:
+def _event_files(spark, sf, name: str, closing_event: bool, repeat_every: int | None = None) -> str:
     e = Tables(spark, sf).events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if repeat_every:  # some events arrive twice, close together
+        e = e.unionByName(e.where(F.col("event_id") % repeat_every == 0))
     root = replay_as_files(e, "ts", 6, "2024-01-01", "2024-01-31", name)
     if closing_event:  # one event far in the future closes every open window / session
         closer = spark.range(1).select(F.lit(9_000_000_000).cast("long").alias("event_id"),
@@ -334,11 +336,8 @@ def q_sessions_stream(spark, sf):
 
 @register("dedup_prediction_stream", LOGS + "SELECT request_id, module, latency_ms, created_at FROM logs")
 def q_dedup_stream(spark, sf):
-    """T5: streamed logs with repeated request ids → one row per id (watermark 10 min)"""
-    e = Tables(spark, sf).events
-    dup = e.where(F.col("event_id") % 7 == 0)
-    root = _event_files(spark, sf, "events-dedup", closing_event=False)
-    append_file(dup.withColumn("ts", F.col("ts").cast("timestamp")), root, 5000)  # repeats arrive again later
+    """T5: streamed logs with repeated request ids, inside the 10 minutes of the watermark → one row per id"""
+    root = _event_files(spark, sf, "events-dedup", closing_event=False, repeat_every=7)
 
     def tf(s):
         lg = s.select(F.concat(F.lit("req_"), F.col("event_id").cast("string")).alias("request_id"),
@@ -426,16 +425,18 @@ def q_daily_drift_stream(spark, sf):
 
     def per_batch(batch, epoch_id):
         lg = batch.where(F.col("event_id") % 3 == 2).select(
+            F.concat(F.lit("req_"), F.col("event_id").cast("string")).alias("request_id"),
             F.col("ts").cast("timestamp_ntz").alias("created_at"), F.floor("value").cast("int").alias("latency_ms"))
-        lg.write.mode("append").parquet(log_table)  # the log table grows batch by batch
+        # the log table grows batch by batch; a batch that is retried replaces what it wrote
+        lg.write.mode("overwrite").parquet(f"{log_table}/epoch={epoch_id}")
         days = lg.select(F.to_date("created_at").alias("d")).distinct()
         # recompute only the days this batch touched, over everything logged so far
         so_far = spark.read.parquet(log_table)
         touched = so_far.join(days, F.to_date("created_at") == F.col("d"), "left_semi")
-        ev = daily_drift(touched.unionByName(ref.select("created_at", "latency_ms")).dropDuplicates(),
-                         "latency_ms", "2024-01-01", "2024-01-08")
+        both = touched.select("request_id", "created_at", "latency_ms").unionByName(ref.select("request_id", "created_at", "latency_ms"))
+        ev = daily_drift(both.dropDuplicates(["request_id"]), "latency_ms", "2024-01-01", "2024-01-08")
         ev = ev.join(days.select(F.date_format("d", "yyyy-MM-dd").alias("day")), "day", "left_semi")
-        ev.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(sink)
+        ev.write.mode("overwrite").parquet(f"{sink}/epoch={epoch_id}")
 
     stream = spark.readStream.schema(T.StructType([*EVENT_SCHEMA.fields, T.StructField("chunk", T.IntegerType())])) \
         .option("maxFilesPerTrigger", 1).parquet(root)

@@ -78,3 +78,9 @@ NUMERIC_FEATURE_COLUMNS = [
     "last_review_sentiment", "negative_review_count", "avg_battery_sentiment",
     "avg_shipping_sentiment", "avg_price_sentiment",
 ]
+
+ASPECT_SENTENCES = T.StructType([
+    T.StructField("_id", T.StringType()), T.StructField("text", T.StringType()),
+    T.StructField("aspectTerms", T.StructType([T.StructField("aspectTerm", T.ArrayType(T.StructType([
+        T.StructField("_term", T.StringType()), T.StructField("_polarity", T.StringType())])))])),
+])

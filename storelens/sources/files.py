@@ -47,7 +47,7 @@ def scan_reviews_jsonl(spark: SparkSession, paths: str | list[str], source: str
            .withColumn("_file", F.col("_metadata.file_name")))
     ok = raw.where(F.col("_corrupt_record").isNull())
     ok = ok.repartition(spark.sparkContext.defaultParallelism)
-    rating = F.col("rating").try_cast("double").cast("int")
+    rating = F.col("rating").try_cast("double").try_cast("int")
     text = once(clean_review_text(F.col("text")))
     stem = F.regexp_extract(F.col("_file"), r"^(.*)\.[^.]*$", 1)
     src = F.lit(source) if source is not None else stem
@@ -89,10 +89,10 @@ def scan_image_tree(spark: SparkSession, root: str) -> DataFrame:
 def scan_aspect_xml(spark: SparkSession, path: str) -> DataFrame:
     """``<sentence id><text/><aspectTerms><aspectTerm term polarity/>`` → one row per term.
 
-    Spark 4's built-in XML source; attributes arrive as ``_term``/``_polarity``.
+    Spark 4's built-in XML source with an explicit schema; attributes arrive as ``_term``/``_polarity``.
     Sentences without terms are kept with null term.
     """
-    x = spark.read.format("xml").option("rowTag", "sentence").load(path)
+    x = spark.read.format("xml").option("rowTag", "sentence").schema(S.ASPECT_SENTENCES).load(path)
     terms = F.col("aspectTerms.aspectTerm")
     return x.select(F.col("_id").cast("string").alias("sentence_id"), F.col("text"),
                     F.explode_outer(terms).alias("t")).select(

@@ -153,14 +153,17 @@ def queue_depth_series(queue: DataFrame, step: str = "1 minute") -> DataFrame:
     return c.select("module", "t", (F.col("cum_delta") + F.col("delta")).cast("bigint").alias("depth"))
 
 
-def gauge_over_limit(samples: DataFrame, series: list[str], limit: float, for_minutes: int) -> DataFrame:
+def gauge_over_limit(samples: DataFrame, series: list[str], limit: float, for_minutes: int, per_minute: str = "max") -> DataFrame:
     """A gauge (last sample holds until the next) above ``limit`` for a duration.
 
     Change points: consecutive samples with the condition true form an island
     that lasts until the next sample where it is false (or the last sample).
+    ``per_minute`` says what a minute's sample is: its highest value, or the last
+    one, as a scraper that looks once a minute would see it.
     """
     # one sample per series and minute (the scrape): bounds the window by time span
-    samples = samples.groupBy(*series, F.date_trunc("minute", "t").alias("t")).agg(F.max("value").alias("value"))
+    one = {"max": F.max("value"), "last": F.max_by("value", F.struct("t", "value"))}[per_minute]
+    samples = samples.groupBy(*series, F.date_trunc("minute", "t").alias("t")).agg(one.alias("value"))
     w = Window.partitionBy(*series).orderBy("t")
     cond = F.col("value") > limit
     d = samples.withColumn("_c", cond).withColumn("_rn", F.row_number().over(w)) \
