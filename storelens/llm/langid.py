@@ -20,7 +20,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +44,16 @@ def _letters(word: str) -> str:
     return word if word.isascii() else "".join(c for c in word if unicodedata.category(c)[0] == "L")
 
 
-def _grams(word: str) -> tuple[list[int], list[int]]:
-    """Buckets of the trigrams of the word with its borders, and of their first two letters."""
-    w = f"  {word[:64]} "  # a run of letters beyond any word tells no more of the language
-    grams = [w[i : i + 3].encode() for i in range(len(w) - 2)]
-    return [crc32(g) % BUCKETS for g in grams], [crc32(w[i : i + 2].encode()) % CONTEXTS for i in range(len(w) - 2)]
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all words' trigrams (with borders), of the trigrams' first two letters, and where each word starts."""
+    words = [w[:64] for w in words]  # a run of letters beyond any word tells no more of the language
+    c = np.frombuffer("".join([f"  {w} " for w in words]).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    n = np.array([len(w) + 1 for w in words])  # trigrams of each
+    at = np.arange(n.sum()) + np.repeat(2 * np.arange(len(n)), n)  # two positions at each word's end start none
+    with np.errstate(over="ignore"):
+        two = (c[at] * np.uint64(0x9E3779B97F4A7C15) + c[at + 1]) * np.uint64(0xBF58476D1CE4E5B9)
+        tri = ((two ^ (two >> np.uint64(29))) + c[at + 2]) * np.uint64(0x94D049BB133111EB)
+    return ((tri >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64), ((two >> np.uint64(40)) % np.uint64(CONTEXTS)).astype(np.int64), np.cumsum(n) - n
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,11 +63,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def take(lang, words):
         tri, two = sums.setdefault(lang, (np.zeros(BUCKETS, np.int64), np.zeros(CONTEXTS, np.int64)))
-        for word, n in words.items():
-            if word := _letters(word):
-                g, c = _grams(word)
-                np.add.at(tri, g, n)
-                np.add.at(two, c, n)
+        known = [(w, n) for word, n in words.items() if (w := _letters(word))]
+        for i in range(0, len(known), 20_000):
+            part = known[i : i + 20_000]
+            g, c, starts = _grams([w for w, _ in part])
+            n = np.repeat([n for _, n in part], np.diff(starts, append=len(g)))
+            tri += np.bincount(g, n, BUCKETS).astype(np.int64)
+            two += np.bincount(c, n, CONTEXTS).astype(np.int64)
 
     words: dict[str, Counter] = {}
     for batch in batches:
@@ -89,9 +95,10 @@ class Model:
     log_c: np.ndarray  # (CONTEXTS, languages): the same for its context
     log_prior: np.ndarray
 
-    def word(self, word: str) -> np.ndarray:
-        g, c = _grams(word)
-        return (self.log_p[g] - self.log_c[c]).sum(axis=0)
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log-likelihood of each word in each language."""
+        g, c, starts = _grams(words)
+        return np.add.reduceat(self.log_p[g] - self.log_c[c], starts, axis=0)
 
 
 def learn(rows: DataFrame, smoothing: float = 0.05, letters: int = 64) -> Model:
@@ -112,34 +119,35 @@ def learn(rows: DataFrame, smoothing: float = 0.05, letters: int = 64) -> Model:
 class Mixture:
     """Languages of documents under a model; remembers the likelihoods of words it has met."""
 
-    def __init__(self, model: Model, penalty: float = 2.0, rounds: int = 30):
+    def __init__(self, model: Model, penalty: float = 2.0, rounds: int = 15):
         self.model, self.penalty, self.rounds = model, penalty, rounds
         self.at: dict[str, int] = {}
         self.ll = np.zeros((1024, len(model.langs)))
         self.used = 0
 
-    def _word(self, word: str) -> int:
-        own = _letters(word)
-        if not own:
-            self.at[word] = -1
-            return -1
-        if self.used == len(self.ll):
-            self.ll = np.concatenate([self.ll, np.zeros_like(self.ll)])
-        self.ll[self.used] = self.model.word(own)
-        self.at[word] = self.used
-        self.used += 1
-        return self.used - 1
+    def _learn(self, words: set[str]) -> None:
+        """Give the words rows of the table; -1 to those without a letter."""
+        own = {w: x for w in sorted(words) if (x := _letters(w))}
+        self.at.update(dict.fromkeys(words - own.keys(), -1))
+        if own:
+            while self.used + len(own) > len(self.ll):
+                self.ll = np.concatenate([self.ll, np.zeros_like(self.ll)])
+            self.ll[self.used : self.used + len(own)] = self.model.words(list(own.values()))
+            self.at.update(zip(own, range(self.used, self.used + len(own))))
+            self.used += len(own)
 
     def languages(self, texts: list[str | None]) -> list[list[tuple[str, float]]]:
         """Per text, the selected languages with their proportions, largest first; none if it has no letter."""
         if self.used > MAX_WORDS:
             self.at.clear()
             self.used = 0
-        ids, lens = [], []
-        for t in texts:
-            own = [i for w in _RUN.findall((t or "").lower()) if (i := self.at.get(w)) is not None and i >= 0 or i is None and (i := self._word(w)) >= 0]
-            ids += own
-            lens.append(len(own))
+        found = [_RUN.findall((t or "").lower()) for t in texts]
+        new = {w for words in found for w in words}.difference(self.at)
+        if new:
+            self._learn(new)
+        ids = [np.array([self.at[w] for w in words], dtype=np.int64) for words in found]
+        ids = [x[x >= 0] for x in ids]
+        lens = [len(x) for x in ids]
         out: list[list[tuple[str, float]]] = [[] for _ in texts]
         some = [i for i, n in enumerate(lens) if n]
         n_langs = len(self.model.langs)
@@ -147,12 +155,11 @@ class Mixture:
             return out
         lens = np.array([lens[i] for i in some])
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        ll = self.ll[np.array(ids)]
+        ll = self.ll[np.concatenate(ids)]
         best = ll.max(axis=1, keepdims=True)
-        ratio = np.exp(ll - best)
+        ratio = np.exp(ll - best).astype(np.float32)
         base = np.add.reduceat(best[:, 0], starts)
         single = np.add.reduceat(ll, starts, axis=0)
-        order, scores = None, []
         shares = np.full((len(some), n_langs), 1 / n_langs)
         shares, total = self._em(ratio, starts, lens, shares)
         order = np.argsort(-shares, axis=1, kind="stable")
@@ -182,10 +189,10 @@ class Mixture:
     def _em(self, ratio, starts, lens, shares):
         total = None
         for _ in range(self.rounds):
-            joint = ratio * np.repeat(shares, lens, axis=0)
-            each = joint.sum(axis=1)
-            now = np.add.reduceat(np.log(np.maximum(each, 1e-300)), starts)
-            shares = np.add.reduceat(joint / np.maximum(each, 1e-300)[:, None], starts, axis=0) / lens[:, None]
+            joint = ratio * np.repeat(shares.astype(np.float32), lens, axis=0)
+            each = joint @ np.ones(joint.shape[1], dtype=np.float32)
+            now = np.add.reduceat(np.log(np.maximum(each, 1e-30), dtype=np.float64), starts)
+            shares = np.add.reduceat((joint / np.maximum(each, np.float32(1e-30))[:, None]).astype(np.float64), starts, axis=0) / lens[:, None]
             if total is not None and np.all(now - total <= 1e-3):
                 break
             total = now
