@@ -28,24 +28,49 @@ def unpivot_features(df: DataFrame, cols: list[str], id_col: str | None = None)
     return long.where(F.col("value").isNotNull())
 
 
+def cumulative_counts(long: DataFrame, buckets: int = 128) -> DataFrame:
+    """(feature, value, cnt, cum_cnt, n): per distinct value its count, the rows below it, the feature's rows.
+
+    Values are dealt into buckets whose edges are approximate quantiles of the
+    distinct values, so a bucket holds a small share of them whatever the
+    feature's range; prefix sums run over bucket totals and inside a bucket.
+    """
+    from storelens.operators.ranking import exclusive_cumsum
+    dv = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    edges = dv.groupBy("feature").agg(F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 10_000).alias("_edges"),
+                                      F.sum("cnt").alias("n"))
+    d = dv.join(F.broadcast(edges), "feature")  # a row a feature
+    bucket = F.size(F.filter("_edges", lambda e: e < F.col("value")))
+    return exclusive_cumsum(d, "value", ["cnt"], bucket, ["feature"]).drop("_edges")
+
+
 def reference_distribution(features: DataFrame, cols: list[str] | None = None, exact: bool = True,
                            accuracy: int = 100000) -> DataFrame:
     """Per feature mean, std (ddof 1), p25/p50/p75/p95 (linear), min, max, n.
 
-    ``exact`` uses ``percentile`` (holds the distinct values of one feature in
-    the aggregation buffer); at very large n use ``exact=False``
-    (``percentile_approx`` sketch with bounded memory).
+    ``exact`` finds the two order statistics around each position by their
+    ranks among the distinct values; no buffer holds a feature's values.
+    ``exact=False`` uses the ``percentile_approx`` sketch in the same pass.
     """
     cols = [c for c in (cols or NUMERIC_FEATURE_COLUMNS) if c in features.columns]
     long = unpivot_features(features, cols)
     qs = [0.25, 0.5, 0.75, 0.95]
-    pct = (F.percentile(F.col("value"), F.array(*[F.lit(q) for q in qs])) if exact
-           else F.percentile_approx(F.col("value"), qs, accuracy))
+    names = [f"p{int(q * 100)}" for q in qs]
+    sketch = [] if exact else [F.percentile_approx(F.col("value"), qs, accuracy).alias("_q")]
     g = long.groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), pct.alias("_q"),
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), *sketch,
         F.min("value").alias("min"), F.max("value").alias("max"), F.count(F.lit(1)).alias("n"))
-    return g.select("feature", "mean", "std", *[F.col("_q")[i].alias(f"p{int(q * 100)}") for i, q in enumerate(qs)],
-                    "min", "max", F.col("n").cast("bigint"))
+    if exact:
+        at = lambda rank: F.max(F.when((F.col("cum_cnt") <= rank) & (rank < F.col("cum_cnt") + F.col("cnt")), F.col("value")))
+        place = lambda q: (F.col("n") - 1) * F.lit(q)
+        c = cumulative_counts(long)
+        o = c.groupBy("feature").agg(*[x for q, p in zip(qs, names) for x in (
+            at(F.floor(place(q))).alias(f"_lo_{p}"), at(F.ceil(place(q))).alias(f"_hi_{p}"), F.max(place(q) - F.floor(place(q))).alias(f"_f_{p}"))])
+        g = g.join(o, "feature", "left")
+        pct = [(F.col(f"_lo_{p}") + (F.col(f"_hi_{p}") - F.col(f"_lo_{p}")) * F.col(f"_f_{p}")).alias(p) for p in names]
+    else:
+        pct = [F.col("_q")[i].alias(p) for i, p in enumerate(names)]
+    return g.select("feature", "mean", "std", *pct, "min", "max", F.col("n").cast("bigint"))
 
 
 def fit_scaler(features: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -177,16 +202,11 @@ def ks_statistic(current: DataFrame, reference: DataFrame, cols: list[str] | Non
     window). The supremum is attained at sample points (F_n steps there and
     F_ref is monotone in between).
     """
-    from storelens.operators.ranking import exclusive_cumsum
     cols = cols or [r for r in NUMERIC_FEATURE_COLUMNS if r in current.columns]
     e = reference.select("feature", F.array("min", "p25", "p50", "p75", "p95", "max").alias("_vals"),
                          F.array(*[F.lit(p) for p in QUANTILE_POINTS]).alias("_qs"))
     long = unpivot_features(current, cols)
-    dv = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    tot = dv.groupBy("feature").agg(F.sum("cnt").alias("n"))
-    bucket = F.floor(F.atan(F.col("value")) * 1000)  # monotone in value
-    c = exclusive_cumsum(dv, "value", ["cnt"], bucket, ["feature"])
-    j = c.join(tot, "feature").join(F.broadcast(e), "feature")
+    j = cumulative_counts(long).join(F.broadcast(e), "feature")
     v = F.col("value")
     below = F.col("cum_cnt") / F.col("n")
     upto = (F.col("cum_cnt") + F.col("cnt")) / F.col("n")

@@ -34,6 +34,16 @@ def append_prediction_log(target: DataFrame, batch: DataFrame, key: str = "reque
     return b.join(target.select(key), key, "left_anti").select(*target.columns)
 
 
+def append_new(batch: DataFrame, path: str, key: str = "request_id", order: tuple = ("created_at", "id"),
+               partition_by: list[str] | None = None) -> None:
+    """S10 as a sink: the rows of ``batch`` whose key the log at ``path`` lacks are appended to it.
+
+    What to append is materialised before the log changes, so a retried batch adds nothing.
+    """
+    target = batch.sparkSession.read.schema(batch.schema).parquet(path)
+    write_append(append_prediction_log(target, batch, key, order).checkpoint(), path, partition_by)
+
+
 def write_append(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Sink for S10 / T5: append to the log table."""
     w = rows.write.mode("append")

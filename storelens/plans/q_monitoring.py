@@ -282,7 +282,7 @@ def q_gauges(spark, sf):
 
 SESSIONS = """sess AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end,
   CAST(count(*) AS BIGINT) AS n_events, sum(value) AS total_value FROM (
-  SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= 1800000000 THEN 1 ELSE 0 END)
+  SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) > 1800000000 THEN 1 ELSE 0 END)
             OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid
   FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events))
   GROUP BY user_id, sid)"""

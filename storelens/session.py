@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 
@@ -51,15 +52,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = os.path.join("/tmp", "storelens-checkpoints")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/storelens/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared checkpoint folder for written tables.
+
+    The checkpoint folder belongs to this application and scratch tables go
+    with it: they are removed when the driver's Python ends in good order.
+    """
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/storelens/{name}-{uuid.uuid4().hex[:12]}"
+    if not _SCRATCH:
+        atexit.register(_remove_scratch, spark)
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+def _remove_scratch(spark: SparkSession) -> None:
+    try:
+        sc = spark.sparkContext
+        if sc._jsc is None:
+            return
+        for p in _SCRATCH:
+            at = sc._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended already; the folder's owner cleans up
+        return
 
 
 def spread(df, factor: int = 2):

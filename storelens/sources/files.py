@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storelens import schemas as S
 from storelens.functions.text import clean_review_text, once, rating_label, review_invalid_reason
+from storelens.session import spread
 
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp")
 VALID_LABELS = {"negative": 0, "neutral": 1, "positive": 2}
@@ -33,20 +34,24 @@ def union_transaction_years(*sheets: DataFrame) -> DataFrame:
     return out
 
 
-def scan_reviews_jsonl(spark: SparkSession, paths: str | list[str], source: str | None = None) -> DataFrame:
+def scan_reviews_jsonl(spark: SparkSession, paths: str | list[str], source: str | None = None,
+                       max_valid_per_file: int | None = None, partitions: int | None = None) -> DataFrame:
     """S3: JSON lines (optionally .gz) → cleaned, validated review records.
 
     Malformed lines land in ``_corrupt_record`` and are dropped; a rating that
     does not parse as a number is dropped; text is cleaned (C1) and checked
     (C2); label from rating (C3). gzip files are one task each, so the scan is
-    followed by a repartition to spread the cleaning regexes.
+    followed by a repartition to spread the cleaning regexes: to ``partitions``,
+    or where the scan has fewer parts than the cluster has cores. With
+    ``max_valid_per_file``, each file gives at most so many valid records, the
+    first in the order of the review id's hash.
     """
     raw = (spark.read.schema(S.REVIEWS_RAW)
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
            .json(paths)
            .withColumn("_file", F.col("_metadata.file_name")))
     ok = raw.where(F.col("_corrupt_record").isNull())
-    ok = ok.repartition(spark.sparkContext.defaultParallelism)
+    ok = ok.repartition(partitions) if partitions else spread(ok)
     rating = F.col("rating").try_cast("double").try_cast("int")
     text = once(clean_review_text(F.col("text")))
     stem = F.regexp_extract(F.col("_file"), r"^(.*)\.[^.]*$", 1)
@@ -56,9 +61,12 @@ def scan_reviews_jsonl(spark: SparkSession, paths: str | list[str], source: str
                  F.substring(F.sha2(F.concat_ws("|", F.col("user_id"), F.col("timestamp").cast("string"),
                                                 F.col("asin")), 256), 1, 16)).alias("review_id"),
         text.alias("text"), rating.alias("rating"), src.alias("source"),
-        F.coalesce(F.col("verified_purchase"), F.lit(False)).alias("verified_purchase"),
+        F.coalesce(F.col("verified_purchase"), F.lit(False)).alias("verified_purchase"), "_file",
     )
     recs = recs.where(F.col("rating").isNotNull()).where(review_invalid_reason(F.col("text"), F.col("rating")) == "ok")
+    if max_valid_per_file is not None:  # the cap is the feature; Spark keeps that many rows a task before the shuffle
+        nth = F.row_number().over(Window.partitionBy("_file").orderBy(F.md5("review_id"), "review_id", "text"))
+        recs = recs.withColumn("_nth", nth).where(F.col("_nth") <= max_valid_per_file)
     return recs.select("review_id", "text", "rating", rating_label(F.col("rating")).alias("label"),
                        "source", "verified_purchase", F.length("text").alias("char_length"))
 
@@ -147,6 +155,12 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("string").alias("digest"))
 
 
+def append_perf_snapshot(metrics: DataFrame, snapshot_date: str, path: str) -> None:
+    """S12 as a sink: a snapshot is one folder of the history, so writing a date again replaces it."""
+    perf_snapshot_append(metrics, snapshot_date).drop("snapshot_date").write.mode("overwrite").parquet(
+        f"{path}/snapshot_date={snapshot_date}")
+
+
 def perf_snapshot_append(metrics: DataFrame, snapshot_date: str) -> DataFrame:
     """Keep metrics whose value is numeric, stamp the snapshot date."""
     v = F.col("value").try_cast("double")

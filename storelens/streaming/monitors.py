@@ -208,7 +208,7 @@ def customer_sessions_batch(events: DataFrame, gap_minutes: int = 30, ts: str =
     """T11 (batch, skew-safe): same sessions as ``session_window`` without sorting a
     user's whole history in one task.
 
-    1. window per (user, hour): local sessions split where the gap ≥ 30 min;
+    1. window per (user, hour): local sessions split where the gap > 30 min (``session_window`` joins events exactly one gap apart);
     2. a per-(user, hour) summary (first / last event time, number of local
        sessions) — one row per active hour — decides whether a bucket's first
        local session continues the previous bucket's last one;
@@ -222,7 +222,7 @@ def customer_sessions_batch(events: DataFrame, gap_minutes: int = 30, ts: str =
                       F.date_trunc(bucket, F.col(ts)).alias("_b"), F.col("event_id") if "event_id" in events.columns
                       else F.lit(0).alias("event_id"))
     w = Window.partitionBy("user_id", "_b").orderBy("_u", "event_id")
-    e = e.withColumn("_new", F.when(F.lag("_u").over(w).isNull() | (F.col("_u") - F.lag("_u").over(w) >= gap_us), 1).otherwise(0))
+    e = e.withColumn("_new", F.when(F.lag("_u").over(w).isNull() | (F.col("_u") - F.lag("_u").over(w) > gap_us), 1).otherwise(0))
     e = e.withColumn("_ls", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     local = e.groupBy("user_id", "_b", "_ls").agg(F.min("_u").alias("_s"), F.max("_u").alias("_l"),
                                                    F.count(F.lit(1)).alias("_n"), F.sum("value").alias("_v"))
@@ -230,7 +230,7 @@ def customer_sessions_batch(events: DataFrame, gap_minutes: int = 30, ts: str =
                                               F.max("_ls").alias("_k"))
     wb = Window.partitionBy("user_id").orderBy("_b")
     summ = summ.withColumn("_cont", (F.lag("_last").over(wb).isNotNull() &
-                                     (F.col("_first") - F.lag("_last").over(wb) < gap_us)).cast("int"))
+                                     (F.col("_first") - F.lag("_last").over(wb) <= gap_us)).cast("int"))
     summ = summ.withColumn("_new_here", F.col("_k") - F.col("_cont"))
     summ = summ.withColumn("_off", F.coalesce(F.sum("_new_here").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     j = local.join(summ.select("user_id", "_b", "_cont", "_off"), ["user_id", "_b"])
