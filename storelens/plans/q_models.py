@@ -12,7 +12,7 @@ from storelens.operators import metrics as M
 from storelens.operators import modeling as ML
 from storelens.operators import ood as OD
 from storelens.operators import sentiment_model as SM
-from storelens.operators.drift import apply_scaler, fit_scaler
+from storelens.operators.drift import apply_scaler, fit_scaler, reference_distribution
 from storelens.operators.splits import stratified_split
 from storelens.plans import oracle as O
 from storelens.plans.q_features import FEATURE_CTES, customer_features
@@ -107,6 +107,7 @@ def q_param_search(spark, sf):
 def q_final_fit(spark, sf):
     """L4: refit both learners on all labelled rows (balanced once), save, predict"""
     m = _matrix(spark, sf)
+    m = apply_scaler(m, fit_scaler(m)).checkpoint(eager=True)
     ma, mb = ML.final_fit(m, scratch_path(spark, "models"))
     return ML.predict_both(ma, mb, m).select("CustomerID", "churned", "p_a", "p_b")
 
@@ -146,23 +147,31 @@ def q_apply_cal(spark, sf):
 
 @register("score_customers")
 def q_score(spark, sf):
-    """The batch scorer end to end on the feature table"""
+    """The batch scorer end to end on the feature table
+
+    Calibrator and threshold come from out-of-fold scores: no row is judged by a model that saw it.
+    """
     f = customer_features(spark, sf).checkpoint(eager=True)
     m = C.select_model_matrix(f)
+    oof = ML.ensemble_probability(ML.oof_predictions(m)).select(
+        F.col("CustomerID").alias("id"), F.col("churned").alias("y_true"), F.col("p_ensemble").alias("prob")).checkpoint(eager=True)
+    cal, _ = CA.fit_calibrator(oof)
+    threshold = CA.decision_threshold(oof.withColumn("prob", cal.apply(F.col("prob"))))
     scaler = fit_scaler(f)
-    ms = apply_scaler(m, scaler)
-    ma, mb = ML.final_fit(ms, None)
-    pred = ML.ensemble_probability(ML.predict_both(ma, mb, ms)).select(
-        F.col("CustomerID").alias("id"), F.col("churned").alias("y_true"), F.col("p_ensemble").alias("prob"))
-    cal, _ = CA.fit_calibrator(pred)
-    return CA.score_customers(f.drop("churned"), scaler, ma, mb, cal)
+    ma, mb = ML.final_fit(apply_scaler(m, scaler).checkpoint(eager=True), None)
+    factors = _explain(m).select("CustomerID", F.slice("top_features", 1, 3).alias("top_features"))
+    return CA.score_customers(f.drop("churned"), scaler, ma, mb, cal, threshold=threshold, factors=factors)
 
 
-def _explained(spark, sf):
-    m = _matrix(spark, sf)
+def _explain(m):
     model = ML.logistic_surrogate(m)
-    means = {r["feature"]: r["mean"] for r in fit_scaler(m, FEATURE_COLUMNS).collect()}  # 19 numbers
-    return ML.explain_scores(m, model, means)
+    known = reference_distribution(m, FEATURE_COLUMNS).collect()  # a row a feature
+    means = {r["feature"]: r["mean"] for r in known}
+    return ML.explain_scores(m, model, means, training={r["feature"]: (r["p25"], r["p95"]) for r in known})
+
+
+def _explained(spark, sf):
+    return _explain(_matrix(spark, sf))
 
 
 @register("explain_scores")
