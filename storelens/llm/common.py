@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storelens import session
 from storelens.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 #: A word is a run of characters that are not ASCII white space; space, tab, LF, VT, FF, CR.
@@ -53,6 +55,34 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_LEFT: dict[str, list[str]] = {}  # by application: scratch tables of the stage before
+
+
+def stage(fn):
+    """A pipeline stage. Once its predecessor's result has been written and is read from there, the
+    predecessor's scratch tables go; where ``docs`` still reads them, they stay until a later stage."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        app, first = spark.sparkContext.applicationId, len(session._SCRATCH)
+        left = _LEFT.pop(app, [])
+        files = docs.inputFiles() if left else []
+        used = [p for p in left if any(p.split("/storelens/")[-1] in f for f in files)]
+        if not used:
+            remove(spark, left)
+            left = []
+        out = fn(spark, docs, sf_dir)
+        _LEFT[app] = left + session._SCRATCH[first:]
+        return out
+    return run
+
+
 class Run:
     """A table in the shared folder, bucketed and sorted by ``key``: a scan joins on the key without a shuffle.
 

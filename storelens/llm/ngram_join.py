@@ -11,8 +11,9 @@ nothing is lost. Shingles that very many documents share (found on a sample) are
 that can only lessen differences.
 
 Documents that share a block are candidates; their groups are the components of "shares a block". Within
-a group all pairs, tile by tile, are held against the Hamming bound of a small parity sketch and then
-against the exact sets. Pairs already connected are skipped, so a tile returns a forest and never all pairs.
+a group all pairs, tile by tile, are held against the Hamming bound of parity sketches of about four bits
+a shingle; the components of what passes are small and tight, and in them all pairs are held against the
+exact sets. Pairs already connected are skipped, so a tile returns a forest and never all its pairs.
 
 Sets are identified by 64-bit digests of their 64-bit shingle hashes; equal sets are one node from the
 start, so copies cost one row each.
@@ -131,6 +132,11 @@ def sketch(s: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+def sketch_words(n: int) -> int:
+    """64-bit words for a set of n: four bits an element, a power of two, so that wide sketches fold to narrow ones."""
+    return 1 << max(3, (n // 16).bit_length())
+
+
 def _node(s: np.ndarray) -> int:
     import xxhash
 
@@ -153,20 +159,22 @@ def frequent_shingles(docs: DataFrame, width: int, one_in: int = 32, share: floa
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch], width: int, t: Fraction, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n, node, sigs); a set met before in the partition hands in no signatures again."""
+    """(doc_id, text) to (doc_id, n, node, sigs, sketch); a set met before in the partition hands in no signatures again."""
     bands, met = Bands(t), set()
     for batch in batches:
         for i in range(0, batch.num_rows, 512):
             part = batch.slice(i, 512)
-            n, node, sigs = [], [], []
+            n, node, sigs, sketches = [], [], [], []
             for text in part.column(1).to_pylist():
                 s = shingles(text, width)
                 n.append(len(s))
                 node.append(x := _node(s))
-                sigs.append(signatures(s, frequent, bands).view(np.int64) if len(s) and x not in met else None)
+                new = len(s) and x not in met
+                sigs.append(signatures(s, frequent, bands).view(np.int64) if new else None)
+                sketches.append(sketch(s, sketch_words(len(s))).tobytes() if new else None)
                 met.add(x)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
-                                             ["doc_id", "n", "node", "sigs"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64())),
+                                              pa.array(sketches, pa.binary())], ["doc_id", "n", "node", "sigs", "sketch"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,45 +269,88 @@ def link_tile(sets: list[np.ndarray], side: list[int], across: bool, t: Fraction
     return out
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], t: Fraction) -> Iterator[pa.RecordBatch]:
-    """Rows (root, x, y, side, node, elements) sorted by tile; each tile is gathered by itself."""
-    def links(rows):
-        nodes = [r[1] for r in rows]
-        got = link_tile([np.frombuffer(r[2], dtype=U) for r in rows], [r[0] for r in rows], key[1] != key[2], t)
-        return [(nodes[i], nodes[j]) for i, j in got]
+def sketch_tile(sizes: list[int], sketches: list[np.ndarray], side: list[int], across: bool, t: Fraction) -> list[tuple[int, int]]:
+    """Pairs (positions) within the Hamming bound, as many as connect what all such pairs connect."""
+    p, q = t.numerator, t.denominator
+    n, sides, wide, forest, out = np.array(sizes), np.array(side), np.array([len(x) for x in sketches]), Forest(), []
+    for w in sorted(set(wide.tolist())):
+        own, next_ = np.flatnonzero(wide == w), np.flatnonzero(wide == 2 * w)  # linked sets differ by one step at most
+        at = np.concatenate([own, next_])
+        rows = np.stack([sketches[i] for i in own] + [sketches[i][:w] ^ sketches[i][w:] for i in next_])
+        for x in range(len(own)):
+            a, b = n[own[x]], n[at[x + 1 :]]
+            ok = np.maximum(a, b) * p <= np.minimum(a, b) * q
+            if across:
+                ok &= sides[at[x + 1 :]] != sides[own[x]]
+            js = np.flatnonzero(ok) + x + 1
+            if not len(js):
+                continue
+            apart = np.bitwise_count(rows[js] ^ rows[x]).sum(axis=1, dtype=np.int64)
+            for j in at[js[apart * (q + p) <= (a + n[at[js]]) * (q - p)]].tolist():  # d <= (a + b) (1 - t) / (1 + t)
+                if forest.root(int(own[x])) != forest.root(j):
+                    forest.join(int(own[x]), j)
+                    out.append((int(own[x]), j))
+    return out
+
+
+def _by_sketch(rows: list[tuple], across: bool, t: Fraction) -> list[tuple[int, int]]:
+    return sketch_tile([r[2] for r in rows], [np.frombuffer(r[3], dtype=U) for r in rows], [r[0] for r in rows], across, t)
+
+
+def _by_set(rows: list[tuple], across: bool, t: Fraction) -> list[tuple[int, int]]:
+    return link_tile([np.frombuffer(r[2], dtype=U) for r in rows], [r[0] for r in rows], across, t)
+
 
-    key, rows, out = None, [], []
+def _tiles(batches: Iterator[pa.RecordBatch], test, t: Fraction) -> Iterator[pa.RecordBatch]:
+    """Rows (root, x, y, side, node, ...) sorted by tile to edges; each tile is gathered by itself."""
+    def links():
+        return [(rows[i][1], rows[j][1]) for i, j in test(rows, key[1] != key[2], t)] if len(rows) > 1 else []
+
+    def edges(out):
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    key, rows = None, []
     for batch in batches:
-        for root, x, y, side, node, elements in zip(*(batch.column(i).to_pylist() for i in range(6))):
+        out = []
+        for root, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
             if (root, x, y) != key:
-                out += links(rows) if len(rows) > 1 else []
+                out += links()
                 key, rows = (root, x, y), []
-            rows.append((side, node, elements))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
-            out = []
-    out += links(rows) if len(rows) > 1 else []
-    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+            rows.append(tuple(row))
+        yield edges(out)
+    yield edges(links())
+
+
+def within(members: DataFrame, payload: list[str], test, t: Fraction) -> DataFrame:
+    """(a, b) edges that ``test`` finds in the tiles of each group of (node, root, payload) rows.
+
+    A group is dealt into chunks by hash, and each pair of chunks is a tile, so no task gathers a group.
+    """
+    count = members.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    own = members.join(count, "root").withColumn("c", F.ceil(F.col("m") / F.lit(TILE // 2)).cast("int"))
+    own = own.withColumn("side", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    tiles = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    tiles = tiles.select("root", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "node", *payload)
+    tiles = tiles.repartition(shuffle_partitions(members.sparkSession), "root", "x", "y").sortWithinPartitions("root", "x", "y")
+    return tiles.mapInArrow(lambda b: _tiles(b, test, t), "a bigint, b bigint")
+
+
+def sketch_groups(rows: DataFrame, groups: DataFrame, t: Fraction) -> DataFrame:
+    """(node, root): components of the pairs in a candidate group that the Hamming bound lets pass."""
+    own = rows.where("sketch IS NOT NULL").select("node", "n", "sketch").join(written(groups, "sketch-candidates"), "node").dropDuplicates(["node"])
+    return components(within(written(own, "sketch-nodes"), ["n", "sketch"], _by_sketch, t), "sketch-tight")
 
 
 def links(docs: DataFrame, rows: DataFrame, groups: DataFrame, width: int, t: Fraction) -> DataFrame:
     """(a, b): verified links that connect the nodes of each group as all its links would."""
     groups = written(groups, "sketch-members")
-    own = rows.join(groups, "node").groupBy("node", "root").agg(F.min("doc_id").alias("id"))
-    own = written(own, "sketch-owners")
+    own = written(rows.join(groups, "node").groupBy("node", "root").agg(F.min("doc_id").alias("id")), "sketch-owners")
     wanted = own.select("id").distinct()
     some = by_id(docs, wanted, "doc_id")[1]
     texts = some.join(wanted, some["doc_id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
     sets = texts.mapInArrow(lambda b: _sets(b, width), "node bigint, elements binary")
-    count = own.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    chunks = F.ceil(F.col("m") / F.lit(TILE // 2)).cast("int")
-    own = own.join(count, "root").select("node", "root", chunks.alias("c"))
-    own = own.withColumn("side", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
-    sets = sets.join(own, "node").dropDuplicates(["node"])
-    tiles = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    tiles = tiles.select("root", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "node", "elements")
-    tiles = tiles.repartition(shuffle_partitions(docs.sparkSession), "root", "x", "y").sortWithinPartitions("root", "x", "y")
-    return tiles.mapInArrow(lambda b: _tiles(b, t), "a bigint, b bigint")
+    sets = written(sets.join(own.select("node", "root"), "node").dropDuplicates(["node"]), "sketch-sets")
+    return within(sets, ["elements"], _by_set, t)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: float = 0.9) -> DataFrame:
@@ -309,9 +360,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     frequent = frequent_shingles(docs, width)
-    rows = docs.mapInArrow(lambda b: _sketch_rows(b, width, t, frequent), f"doc_id {kind}, n bigint, node bigint, sigs array<bigint>")
+    rows = docs.mapInArrow(lambda b: _sketch_rows(b, width, t, frequent), f"doc_id {kind}, n bigint, node bigint, sigs array<bigint>, sketch binary")
     rows = written(rows, "sketch-rows")
-    groups = candidate_groups(rows)
+    groups = sketch_groups(rows, candidate_groups(rows), t)
     rows = rows.select("doc_id", "n", "node")
     found = links(docs, rows.where("n > 0"), groups, width, t)
     linked = components(written(found, "sketch-links"), "sketch-components")
