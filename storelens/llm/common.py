@@ -73,8 +73,8 @@ def stage(fn):
         app, first = spark.sparkContext.applicationId, len(session._SCRATCH)
         left = _LEFT.pop(app, [])
         files = docs.inputFiles() if left else []
-        used = [p for p in left if any(p.split("/storelens/")[-1] in f for f in files)]
-        if not used:
+        # a cached or derived input names no files: then nothing goes
+        if files and not any(p.split("/storelens/")[-1] in f for p in left for f in files):
             remove(spark, left)
             left = []
         out = fn(spark, docs, sf_dir)
