@@ -298,44 +298,62 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, BATCH_ROWS)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", to: str = "ids") -> DataFrame:
-    """Add ``to``: the ids of the whole text, packed as little-endian unsigned 32-bit integers."""
-    spark = docs.sparkSession
-    prepare(spark)
-    ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
-    schema = T.StructType([*docs.schema.fields, T.StructField(to, T.BinaryType())])
-    at = docs.columns.index(text_col)
-
+def _encoding(ranks, pattern: str, at: int, to: str):
+    """Batches with the packed ids of column ``at`` added; ``ranks`` is a broadcast."""
     def run(batches):
         made = _encoder(ranks.value, pattern)
         for b in _rows(batches):
             ids = pa.array([made.encode(t or "") for t in b.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, to])
+    return run
 
-    return docs.mapInArrow(run, schema)
+
+def _decoding(ranks, at: int, to: str):
+    """Batches with the decoded text of the packed ids in column ``at`` added."""
+    def run(batches):
+        key = ("decoder", hashlib.sha256(ranks.value).digest())
+        if key not in _MADE:
+            _MADE[key] = Decoder({r: t for t, r in parse_ranks(ranks.value).items()})
+        made = _MADE[key]
+        for b in _rows(batches):
+            out = [made.feed(np.frombuffer(x or b"", dtype="<u4").tolist()) + made.finish() for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, to])
+    return run
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", to: str = "ids") -> DataFrame:
+    """Add ``to``: the ids of the whole text, packed as little-endian unsigned 32-bit integers."""
+    prepare(docs.sparkSession)
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+    schema = T.StructType([*docs.schema.fields, T.StructField(to, T.BinaryType())])
+    return docs.mapInArrow(_encoding(ranks, pattern, docs.columns.index(text_col), to), schema)
 
 
 def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """Add ``to``: the text of the packed ids, decoded as a stream."""
-    spark = rows.sparkSession
-    prepare(spark)
-    ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
+    prepare(rows.sparkSession)
+    ranks = rows.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     schema = T.StructType([*rows.schema.fields, T.StructField(to, T.StringType())])
-    at = rows.columns.index(ids_col)
+    return rows.mapInArrow(_decoding(ranks, rows.columns.index(ids_col), to), schema)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """The documents with the text replaced by ``ids`` and ``decoded``; both passes in one worker, as for a check."""
+    prepare(docs.sparkSession)
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+    at, rest = docs.columns.index(text_col), [f for f in docs.schema.fields if f.name != text_col]
+    first, second = _encoding(ranks, pattern, at, "ids"), _decoding(ranks, len(rest), "decoded")
 
     def run(batches):
-        key = ("decoder", hashlib.sha256(ranks.value).digest())
-        made = _MADE.get(key) or _MADE.setdefault(key, Decoder({r: t for t, r in parse_ranks(ranks.value).items()}))
-        for b in _rows(batches):
-            out = [made.feed(np.frombuffer(x or b"", dtype="<u4").tolist()) + made.finish() for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, to])
+        coded = (pa.RecordBatch.from_arrays([c for i, c in enumerate(b.columns) if i != at], [n for i, n in enumerate(b.schema.names) if i != at])
+                 for b in first(batches))
+        yield from second(coded)
 
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*rest, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    coded = encode(docs.select("doc_id", whole(F.col("text")).alias("text")), ranks_path, pattern).drop("text")
-    back = decode(coded, ranks_path)
+    back = round_trip(docs.select("doc_id", whole(F.col("text")).alias("text")), ranks_path, pattern)
     return back.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
