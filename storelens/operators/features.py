@@ -365,7 +365,7 @@ def customer_feature_table(clean: DataFrame, snapshot: str, obs_start: str, hori
 def customer_feature_tables(clean: DataFrame, periods: dict[str, tuple[str, str]], horizon_days: int | None,
                             reviews: DataFrame | None, aspects: DataFrame | None,
                             sentiment_snapshot: str | None = None, lam: float = TIME_DECAY_LAMBDA) -> DataFrame:
-    """J1 for several snapshots in ONE pass over the lines: ``periods`` maps a name
+    """J1 for several snapshots in the same three aggregates over the lines: ``periods`` maps a name
     to (snapshot, observation start). Each line is tagged with the periods whose
     window contains it (explode over the bounded period list), and every
     aggregate groups by (period, customer). Output has a ``period`` column and

@@ -70,7 +70,7 @@ FEATURE_DEFAULTS = {
     "avg_price_sentiment": 0.0, "avg_shipping_sentiment": 0.0,
 }
 
-# The 17 scaled numeric columns (flags excluded).
+# The 17 scaled numeric columns (flags excluded), in model order.
 NUMERIC_FEATURE_COLUMNS = [
     "recency_days", "recency_days_log", "frequency", "monetary_value",
     "avg_order_value", "tenure_days", "purchase_gap_cv", "category_diversity",

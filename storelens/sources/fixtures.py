@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storelens.schemas import NUMERIC_FEATURE_COLUMNS
 from storelens.functions.hashing import hashed_uniform
 from storelens.sources.tables import Tables
 
@@ -201,12 +202,7 @@ def churn_predictions(features: DataFrame) -> DataFrame:
         F.round(F.lit(0.55) * u + F.lit(0.45) * F.col("churned"), 6).alias("prob"))
 
 
-DRIFT_FEATURES = [
-    "recency_days", "recency_days_log", "frequency", "monetary_value", "avg_order_value", "tenure_days",
-    "purchase_gap_cv", "category_diversity", "return_rate", "purchase_trend", "time_decay_weight",
-    "avg_sentiment_score", "last_review_sentiment", "negative_review_count", "avg_battery_sentiment",
-    "avg_shipping_sentiment", "avg_price_sentiment",
-]
+DRIFT_FEATURES = NUMERIC_FEATURE_COLUMNS
 
 
 def drift_events_log(t: Tables) -> DataFrame:
