@@ -143,7 +143,7 @@ def _node(s: np.ndarray) -> int:
     return int(np.frombuffer(xxhash.xxh64_digest(s.tobytes()), dtype=">i8")[0])
 
 
-def frequent_shingles(docs: DataFrame, width: int, one_in: int = 32, share: float = 0.01, least: int = 16, most: int = 100_000) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, width: int, one_in: int = 8, least: int = 6, most: int = 200_000) -> np.ndarray:
     """Sorted hashes of shingles that a sample finds in many documents. Any choice gives the same links; this one gives few candidates."""
     some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0).select("text")
 
@@ -154,7 +154,7 @@ def frequent_shingles(docs: DataFrame, width: int, one_in: int = 32, share: floa
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
     count = written(some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "sketch-frequent")
-    top = count.where(F.col("n") >= share * some.count()).orderBy(F.desc("n"), "h").limit(most).collect()
+    top = count.orderBy(F.desc("n"), "h").limit(most).collect()
     return np.sort(np.array([r["h"] for r in top], dtype=np.int64).view(U))
 
 
@@ -202,11 +202,28 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], ["a", "b"])
 
 
+def _dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """(node, sigs) rows to (part, node, sigs), a part being a range of signatures: a row's overhead is shared by several."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            b = batch.slice(i, 1024)
+            sigs = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            part = ((sigs.view(U) >> U(40)) * U(parts) >> U(24)).astype(np.int64)
+            order = np.argsort(row * parts + part, kind="stable")
+            key = (row * parts + part)[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(sigs[order]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[first] % parts, pa.int32()), b.column(0).take(pa.array(key[first] // parts)), lists],
+                                             ["part", "node", "sigs"])
+
+
 def candidate_groups(rows: DataFrame) -> DataFrame:
     """(node, root): nodes that share blocks, directly or by others, have the same root."""
-    sigs = rows.where("sigs IS NOT NULL").select(F.explode("sigs").alias("sig"), "node")
-    # by range of both columns: a signature that very many nodes share is dealt over several tasks
-    sigs = sigs.repartitionByRange(shuffle_partitions(rows.sparkSession), "sig", "node").sortWithinPartitions("sig", "node")
+    parts = shuffle_partitions(rows.sparkSession)
+    dealt = rows.where("size(sigs) > 0").select("node", "sigs").mapInArrow(lambda b: _dealt(b, parts), "part int, node bigint, sigs array<bigint>")
+    sigs = dealt.repartition(parts, "part").select(F.explode("sigs").alias("sig"), "node")
+    sigs = sigs.sortWithinPartitions("sig", "node")  # spills; a signature of very many nodes is a stream of 16 bytes each
     return components(sigs.mapInArrow(_stars, "a bigint, b bigint"), "sketch-groups")
 
 

@@ -70,7 +70,7 @@ def test_tiles_and_frequent_shingles_do_not_change_links(spark, monkeypatch):
     want = sorted(brute_force(rows, 3, 0.9))
     monkeypatch.setattr(N, "TILE", 8)
     whole = N.frequent_shingles
-    monkeypatch.setattr(N, "frequent_shingles", lambda d, w: whole(d, w, one_in=1, share=0.2, least=2))
+    monkeypatch.setattr(N, "frequent_shingles", lambda d, w: whole(d, w, one_in=1, least=20))
     assert sorted(map(tuple, N.near_components(docs).collect())) == want
 
 
