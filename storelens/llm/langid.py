@@ -4,6 +4,8 @@ Every language has a model of letters given the two before them, from counts ove
 A document's words are draws from a mixture of languages; expectation-maximisation estimates the
 proportions. Sets of one, two, ... of the most likely languages are compared by penalised likelihood
 (Bayesian information criterion), and the largest proportion of the best set is the prediction.
+A run of more than ``PIECE`` letters (text without spaces) is several draws: consecutive pieces of it, each
+with the two letters before it, so that all its letters are counted and scored, and it may hold several languages.
 
 Counts are hashed to a fixed number of buckets per language, so the model's size is bounded by
 ``BUCKETS`` x languages whatever the corpus; it is what travels to the executors.
@@ -18,8 +20,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,7 @@ BUCKETS = 1 << 16
 CONTEXTS = 1 << 13
 MAX_WORDS = 400_000
 BATCH_ROWS = 128
+PIECE = 64
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -44,12 +48,34 @@ def _letters(word: str) -> str:
     return word if word.isascii() else "".join(c for c in word if unicodedata.category(c)[0] == "L")
 
 
-def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all words' trigrams (with borders), of the trigrams' first two letters, and where each word starts."""
-    words = [w[:64] for w in words]  # a run of letters beyond any word tells no more of the language
-    c = np.frombuffer("".join([f"  {w} " for w in words]).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-    n = np.array([len(w) + 1 for w in words])  # trigrams of each
-    at = np.arange(n.sum()) + np.repeat(2 * np.arange(len(n)), n)  # two positions at each word's end start none
+def _pieces(run: str) -> list[str]:
+    """A long run's letters in pieces of about equal length. A piece starts with a space, as no run does, and has its context and borders with it."""
+    run = _letters(run)
+    if len(run) <= PIECE:
+        return [run] if run else []
+    ends = np.linspace(0, len(run), -(-len(run) // PIECE) + 1).astype(int).tolist()
+    whole = f"  {run} "
+    return [" " + whole[a : b + 2 + (b == len(run))] for a, b in pairwise(ends)]
+
+
+def _draws(text: str | None) -> list[str]:
+    """Runs of letters, and the pieces of those longer than ``PIECE``."""
+    runs = _RUN.findall((text or "").lower())
+    if max(map(len, runs), default=0) <= PIECE:
+        return runs
+    return [x for run in runs for x in ([run] if len(run) <= PIECE else _pieces(run))]
+
+
+def _known(draws: Iterable[str]) -> dict[str, str]:
+    """Draws that have a letter, and the characters whose trigrams they are."""
+    return {d: d[1:] if d[0] == " " else f"  {w} " for d in draws if (w := d if d[0] == " " else _letters(d))}
+
+
+def _grams(windows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the trigrams of all draws' characters, of the trigrams' first two letters, and where each draw starts."""
+    c = np.frombuffer("".join(windows).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    n = np.array([len(w) - 2 for w in windows])  # trigrams of each
+    at = np.arange(n.sum()) + np.repeat(2 * np.arange(len(n)), n)  # two positions at each draw's end start none
     with np.errstate(over="ignore"):
         two = (c[at] * np.uint64(0x9E3779B97F4A7C15) + c[at + 1]) * np.uint64(0xBF58476D1CE4E5B9)
         tri = ((two ^ (two >> np.uint64(29))) + c[at + 2]) * np.uint64(0x94D049BB133111EB)
@@ -63,7 +89,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def take(lang, words):
         tri, two = sums.setdefault(lang, (np.zeros(BUCKETS, np.int64), np.zeros(CONTEXTS, np.int64)))
-        known = [(w, n) for word, n in words.items() if (w := _letters(word))]
+        known = [(w, words[d]) for d, w in _known(words).items()]
         for i in range(0, len(known), 20_000):
             part = known[i : i + 20_000]
             g, c, starts = _grams([w for w, _ in part])
@@ -76,7 +102,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             docs[lang] += 1
             own = words.setdefault(lang, Counter())
-            own.update(_RUN.findall((text or "").lower()))
+            own.update(_draws(text))
             if len(own) > MAX_WORDS // 4:
                 take(lang, words.pop(lang))
     for lang, own in words.items():
@@ -95,9 +121,9 @@ class Model:
     log_c: np.ndarray  # (CONTEXTS, languages): the same for its context
     log_prior: np.ndarray
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """Log-likelihood of each word in each language."""
-        g, c, starts = _grams(words)
+    def words(self, windows: list[str]) -> np.ndarray:
+        """Log-likelihood of each draw in each language."""
+        g, c, starts = _grams(windows)
         return np.add.reduceat(self.log_p[g] - self.log_c[c], starts, axis=0)
 
 
@@ -127,7 +153,7 @@ class Mixture:
 
     def _learn(self, words: set[str]) -> None:
         """Give the words rows of the table; -1 to those without a letter."""
-        own = {w: x for w in sorted(words) if (x := _letters(w))}
+        own = _known(sorted(words))
         self.at.update(dict.fromkeys(words - own.keys(), -1))
         if own:
             while self.used + len(own) > len(self.ll):
@@ -141,7 +167,7 @@ class Mixture:
         if self.used > MAX_WORDS:
             self.at.clear()
             self.used = 0
-        found = [_RUN.findall((t or "").lower()) for t in texts]
+        found = [_draws(t) for t in texts]
         new = {w for words in found for w in words}.difference(self.at)
         if new:
             self._learn(new)

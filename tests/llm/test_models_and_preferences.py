@@ -91,6 +91,28 @@ def test_mixture_proportions_of_a_text_in_two_languages(spark):
     assert alone[0][0] == "es" and alone[0][1] > 0.9
 
 
+def test_all_of_a_long_run_of_letters_is_counted_and_scored(spark):
+    rng = np.random.default_rng(6)
+    run = lambda letters, n: "".join(rng.choice(list(letters), n))
+    # learning: the second half's letters stand behind the 64th
+    head = run("xyz", 64)
+    docs = [("a", head + run("abc", 3000)), ("b", head + run("def", 3000)), ("c", "日本語" * 40 + run("カタナ", 3000))]
+    model = langid.learn(spark.createDataFrame(docs, "lang string, text string"))
+    for tail, lang in (("abc", "a"), ("def", "b"), ("カタナ", "c")):
+        assert langid.Mixture(model).languages([run(tail, 40)])[0][0][0] == lang
+        assert langid.Mixture(model).languages([head + run(tail, 5000)])[0][0][0] == lang
+    # scoring: each language has its share of one run
+    got = dict(langid.Mixture(model).languages([run("abc", 2000) + run("def", 3000)])[0])
+    assert set(got) == {"a", "b"} and 0.35 < got["a"] < 0.45
+    # pieces have the trigrams of the whole run, each once
+    for n in (65, 128, 129, 5000):
+        word = run("abcdefghij", n)
+        pieces = langid._draws(word)
+        cut, whole = langid._grams(list(langid._known(pieces).values())), langid._grams([f"  {word} "])
+        assert all((a == b).all() for a, b in zip(cut[:2], whole[:2])) and len(pieces) == -(-n // 64)
+    assert langid._draws("a" * 64) == ["a" * 64] and langid._draws(None) == []
+
+
 def test_language_odd_rows(odd_documents, no_documents):
     for docs in (odd_documents, odd_documents.withColumn("lang", F.lit(None).cast("string")), no_documents):
         rows = langid.identify(docs).collect()
