@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import prepare, shuffle_partitions, written
+from storelens.llm.common import prepare, shuffle_partitions, whole, written
 from storelens.llm.components import components
 
 U = np.uint64
@@ -392,8 +392,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """Of each component the document with the smallest id, with its own columns; rows that share an id stay or go together."""
-    goes = near_components(docs, id_col, text_col, **kw).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    goes = written(goes.select(F.col("doc_id").alias("id")).distinct(), "sketch-dropped")
-    clear, rest = by_id(docs, goes, id_col)
-    return clear.unionByName(rest.join(goes, rest[id_col].eqNullSafe(goes["id"]), "left_anti"))
+    """Of each component the document with the smallest id, with its own columns.
+
+    A document is known by its id and its text, so rows that share an id, or have none, are told apart: null ids come
+    last, rows of one id go by their text's digest, and of rows that share both one stays. Without a shingle all stay.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.unhex(F.sha2(whole(F.col(text_col)), 256)).alias("digest"))
+    docs = docs.withColumn("__key", key)
+    near = near_components(docs, "__key", text_col, **kw).where("n_shingles > 0")
+    near = near.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"))
+    stays = F.col("doc_id") == F.col("component_id")
+    some = written(near.where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("id"), stays.alias("stays")), "sketch-dropped")
+    clear, rest = by_id(docs, some, "__key")
+    clean = rest.join(some, rest["__key"] == some["id"], "left_anti")
+    twice = some.where("stays")
+    repeated = rest.join(twice, rest["__key"] == twice["id"], "left_semi").dropDuplicates(["__key"])
+    return clear.unionByName(clean).unionByName(repeated).drop("__key")

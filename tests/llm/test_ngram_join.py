@@ -85,6 +85,24 @@ def test_odd_rows(odd_documents, no_documents):
     assert {r.doc_id for r in stay.collect()} == {r[0] for r in brute_force(rows, 3, 0.9) if r[0] == r[2]}
 
 
+def test_one_of_each_goes_by_row(spark):
+    long = lambda tag, n=60: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [
+        (1, long("a"), "x"), (None, long("a") + " more", "x"),  # a near copy without an id ...
+        (None, long("b"), "x"), (None, "", "x"), (None, None, "x"),  # ... takes no other row without an id with it
+        (2, long("c"), "x"), (3, long("c") + " more", "x"), (3, long("d"), "x"),  # nor one of the same id
+        (None, long("e"), "x"), (None, long("e") + " more", "x"),  # near copies without an id
+        (4, long("f"), "x"), (4, long("f") + " more", "x"), (5, long("f") + " and", "x"),  # that share the smallest id
+        (6, long("g"), "x"), (6, long("g"), "y"), (7, "", "x"), (7, "", "x"),  # that share id and text
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    stay = N.one_of_each(docs)
+    assert stay.columns == docs.columns
+    got = stay.collect()
+    assert sorted((r.text or "").split(" ")[0][:1] for r in got) == ["", "", "", "", "a", "b", "c", "d", "e", "f", "g"]
+    assert {(r.doc_id, r.text[0]) for r in got if r.text} == {(1, "a"), (None, "b"), (2, "c"), (3, "d"), (None, "e"), (4, "f"), (6, "g")}
+
+
 @pytest.mark.parametrize("t", [Fraction(4, 5), Fraction(9, 10)])
 def test_linked_sets_share_a_signature(t):
     rng, bands = np.random.default_rng(3), N.Bands(t)
