@@ -1,14 +1,15 @@
 """Aspect-based sentiment (J6, L12, L13, M15) on long score tables.
 
 The reference scores each (review, aspect, sentiment) with an NLI model; here
-the scores arrive as a table and the operators do what follows: pick the best
-sentiment per aspect, keep confident ones, turn them into customer features,
-and evaluate against labelled aspect terms.
+the scores arrive as a table, from ``score_aspects`` (keyword windows and a
+polarity lexicon) or any other scorer, and the operators do what follows: pick
+the best sentiment per aspect, keep confident ones, turn them into customer
+features, and evaluate against labelled aspect terms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.scoring import aspect_label_score
@@ -22,6 +23,72 @@ RETENTION_FEATURE_MAP = {"Battery": "avg_battery_sentiment", "Shipping": "avg_sh
                          "Price": "avg_price_sentiment"}
 EVAL_LABELS = ["positive", "negative", "neutral"]
 
+# Fixed values of the default scorer: each aspect's keywords, the polarity lexicon, words on either side of a keyword.
+KEYWORDS = {
+    "Battery": "battery batteries charge charges charging charger recharge recharging",
+    "Display": "display displays screen screens resolution brightness pixel pixels",
+    "Shipping": "shipping shipped shipment delivery delivered deliver delivers arrived arrive courier",
+    "Build": "build built durability durable quality material materials construction sturdy flimsy",
+    "Price": "price prices priced pricing value cost costs money cheap expensive overpriced affordable",
+    "Support": "support service warranty helpdesk representative representatives agent agents",
+}
+POSITIVE = ("good great excellent amazing awesome fantastic perfect perfectly love loved loves best fast quick quickly happy nice "
+            "reliable sturdy durable solid bright sharp clear crisp helpful friendly affordable fair worth recommend pleased "
+            "impressive outstanding wonderful superb early responsive long-lasting")
+NEGATIVE = ("bad poor poorly terrible awful horrible worst slow slowly late broken broke breaks fails failed failing dead dies died "
+            "drain drains drained dim blurry cracked flimsy weak rude unhelpful useless expensive overpriced hate hated disappointing "
+            "disappointed waste defective damaged delayed lost faulty unreliable")
+NEGATION = "not no never neither nor hardly barely without cannot"
+WINDOW = 5
+NEGATION_REACH = 3
+
+
+def score_aspects(docs: DataFrame, id_col: str = "review_id", text_col: str = "text") -> DataFrame:
+    """L12's default scorer: (review_id, aspect, sentiment, score) for each aspect that the whole text mentions.
+
+    A mention is a keyword of the aspect. It votes by the polarity words that stand within ``WINDOW`` words of it
+    in its clause: positive or negative as more of them are, else neutral; a negation up to ``NEGATION_REACH``
+    words before turns a polarity word. Scores are the votes' shares with 1/4 vote added to each sentiment, so
+    one mention alone scores 5/7 and is confident. Null and empty texts mention nothing.
+    """
+    def among(w, terms):
+        return F.coalesce(w.isin(*terms.split()), F.lit(False))
+
+    def negated(words, i):
+        back = [F.get(words, i - F.lit(d)) for d in range(1, NEGATION_REACH + 1)]
+        hit = [F.coalesce(among(w, NEGATION) | w.endswith("n't"), F.lit(False)) for w in back]
+        out = hit[0]
+        for h in hit[1:]:
+            out = out | h
+        return out
+
+    def polarity(words, w, i):
+        sign = F.when(among(w, POSITIVE), 1).when(among(w, NEGATIVE), -1).otherwise(0)
+        return F.when(sign == 0, 0).when(negated(words, i), -sign).otherwise(sign)
+
+    def clause(text: Column) -> Column:
+        words = F.regexp_extract_all(text, F.lit("([a-z]+(?:['-][a-z]+)*)"), F.lit(1))
+        return F.transform(F.array(words), lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), polarity(ws, w, i).alias("p"))))[0]
+
+    def votes(terms: str):
+        def of(ws):
+            def vote(i):
+                first = F.greatest(i - WINDOW, F.lit(0))
+                return F.signum(F.aggregate(F.slice(ws, first + 1, i + WINDOW + 1 - first), F.lit(0), lambda s, x: s + x["p"])).cast("int")
+            at = F.filter(F.transform(ws, lambda x, i: F.when(among(x["w"], terms), i)), lambda i: i.isNotNull())
+            return F.transform(at, vote)
+        return of
+
+    text = F.translate(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "\u2019", "'")
+    clauses = F.transform(F.split(text, r"[.!?;:\n\r]+|\bbut\b"), clause)
+    d = docs.select(F.col(id_col).alias("review_id"), F.explode(F.array(clauses)).alias("_c"))  # worked out once for all aspects
+    cells = F.array(*[F.struct(F.lit(a).alias("aspect"), F.flatten(F.transform("_c", votes(t))).alias("v"))
+                      for a, t in KEYWORDS.items()])
+    d = d.select("review_id", F.explode(cells).alias("_a")).where(F.size("_a.v") > 0)
+    share = lambda x: (F.size(F.filter("_a.v", lambda v: v == x)) + 0.25) / (F.size("_a.v") + 0.75)
+    each = F.array(*[F.struct(F.lit(s).alias("sentiment"), share(x).alias("score")) for s, x in zip(SENTIMENTS, (1, -1, 0))])
+    return d.select("review_id", "_a.aspect", F.explode(each).alias("s")).select("review_id", "aspect", "s.*")
+
 
 def extract_aspects(scores: DataFrame, threshold: float = CONF_THRESHOLD) -> DataFrame:
     """Per (review, aspect) the best sentiment (first in sentiment order on
