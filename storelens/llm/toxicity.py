@@ -3,13 +3,15 @@
 Two strings are alike as far as they share subsequences of three characters, each weighted by
 ``decay`` to the power of the stretch it covers (at most ``MAX_SPAN``): inserted characters and gaps
 lower the weight and do not break the match, so "idi.ot" and "i d i o t" stay close to "idiot".
-Landmarks are spans of the labelled sentences; the kernel against them, made orthonormal, is the feature
+Landmarks are spans of the labelled texts; the kernel against them, made orthonormal, is the feature
 map on which a linear SVM (squared hinge, Newton steps) is trained. As the machine is linear in the kernel, its
 landmarks fold into one weight per subsequence, and scoring a span costs one table look-up for each.
 
-Sentences are labelled with their document's label, as bags of spans: a toxic bag holds at least one
-toxic span, a clean one none. Spans are words, and runs of single characters put together. Spans found
-in toxic sentences more often than chance allows, and hardly in clean ones, are the toxic examples; the
+Texts are bags of spans with their document's label: a toxic bag holds at least one toxic span, a clean
+one none. Spans are words of three characters or more (two, unless they are ASCII), runs of single characters
+put together, and neighbouring parts of at most ``PART`` characters put together; marks around a character or
+part, and ends of sentences, break neither. A word cut into three parts of two characters or more is met only by pairs of
+its parts. Spans found in toxic texts more often than chance allows, and hardly in clean ones, are the toxic examples; the
 clean spans that the first machine scores highest are added as examples for the second. A document's score is
 that of its worst span, calibrated by a logistic fit on documents whose spans trained nothing.
 
@@ -38,12 +40,12 @@ from storelens.llm.common import prepare, written
 
 MAX_SPAN = 7
 SPAN_CHARS = 20
+PART = 4
 CODES = 64
 MAX_WORDS = 400_000
 BATCH_ROWS = 128
 NO_SPAN = -9.0
 START, END = "\x02", "\x03"  # a span's borders are characters of their own
-_SENTENCE = re.compile(r"[.!?;:\n\r]+(?:\s|$)")
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -51,23 +53,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sentences(text: str | None) -> list[str]:
-    return [s for s in _SENTENCE.split((text or "").lower()) if s]
+def spans(text: str | None) -> list[str]:
+    """Words without a sentence's end marks, runs of three or more single characters put together, and neighbouring short parts put together.
 
-
-def spans(sentence: str) -> list[str]:
-    """Words as they stand, and runs of three or more single characters put together."""
-    out, run = [], []
-    for w in sentence.split():
-        if len(w) == 1:
-            run.append(w)
+    Fewer than three single characters go with the parts around them.
+    """
+    out, run, before = [], [], ""
+    for w in [*(text or "").lower().split(), None]:
+        bare = w if w is None or w.isalpha() else _STRIP.sub("", w)
+        if bare == "":
+            continue
+        if bare and len(bare) == 1:
+            run.append(bare)
             continue
+        part = bare if bare and len(bare) <= PART else ""
         if len(run) > 2:
             out.append("".join(run))
-        run = []
-        out.append(w)
-    if len(run) > 2:
-        out.append("".join(run))
+        else:
+            if before and run:
+                out.append(before + "".join(run))
+            if part and (before or run):
+                out.append(before + "".join(run) + part)
+        if w is not None:
+            out.append(w.rstrip(".!?;:"))
+        run, before = [], part
     return out
 
 
@@ -75,7 +84,7 @@ def pieces(span: str) -> list[str]:
     """The span without marks around it, in overlapping stretches where it is long."""
     if not span.isalpha():
         span = _STRIP.sub("", span)
-    if len(span) < 3:
+    if len(span) < (3 if span.isascii() else 2):
         return []
     span = f"{START}{span}{END}"
     if len(span) <= SPAN_CHARS:
@@ -98,7 +107,8 @@ def _codes(strings: list[str]) -> np.ndarray:
     """Characters as small codes, a row for each string of one length."""
     a = np.array([list(map(ord, s)) for s in strings], dtype=np.int64)
     letter, digit = (a >= 97) & (a <= 122), (a >= 48) & (a <= 57)
-    return np.where(letter, a - 97, np.where(digit, a - 22, 36 + a % (CODES - 36)))
+    far = np.where(a < 128, a, (a * 0x9E3779B1) >> 15)  # the remainder alone is one for all Hangul syllables of one final
+    return np.where(letter, a - 97, np.where(digit, a - 22, 36 + far % (CODES - 36)))
 
 
 def subsequences(strings: list[str]) -> np.ndarray:
@@ -222,7 +232,7 @@ def _span_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, list[int]] = {}
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for p in {p for s in sentences(text) for w in set(spans(s)) for p in pieces(w)}:
+            for p in {p for w in set(spans(text)) for p in pieces(w)}:
                 sums.setdefault(p, [0, 0])[0 if toxic else 1] += 1
         if len(sums) > MAX_WORDS:
             yield rows()
@@ -240,7 +250,7 @@ class Worst:
     def of(self, texts: list[str | None]) -> list[tuple[float, str | None]]:
         if len(self.known) > MAX_WORDS:
             self.known.clear()
-        each = [[w for s in sentences(t) for w in spans(s)] for t in texts]
+        each = [spans(t) for t in texts]
         new = {w for ws in each for w in ws if w not in self.known}
         parts = {w: pieces(w) for w in new}
         strings = sorted({p for ps in parts.values() for p in ps})

@@ -41,6 +41,20 @@ def test_spans_put_single_characters_together():
     assert len(toxicity.pieces("x" * 1000)) > 50
 
 
+@pytest.mark.parametrize("text", ["i . d . i . o . t", "i. d. i. o. t", "i, d, i, o, t", "i* d* i* o* t*", "(i) (d) (i) (o) (t)",
+                                  "i\nd\ni\no\nt", "id iot", "idi, ot", "i diot", "idio t", "id i ot", "id. iot"])
+def test_gapped_and_split_words_reach_the_kernel(text):
+    for whole in (text, f"we heard {text} yesterday", f"Stopping. {text}! Nothing"):
+        assert "\x02idiot\x03" in {p for w in toxicity.spans(whole) for p in toxicity.pieces(w)}
+
+
+def test_words_of_two_characters_beyond_ascii_are_scored():
+    assert toxicity.pieces("바보") == ["\x02바보\x03"] and toxicity.pieces("笨蛋!") == ["\x02笨蛋\x03"]
+    machine = toxicity.train([f"\x02{w}\x03" for w in ("바보", "笨蛋", "사과", "苹果")], np.array([True, True, False, False]), np.ones(4), landmarks=10)
+    got = toxicity.Worst(machine).of(["바보!", "사과", None])
+    assert got[0][1] == "바보" and got[0][0] > got[1][0] > toxicity.NO_SPAN == got[2][0]
+
+
 def planted(spark, n=600):
     rng = np.random.default_rng(4)
     part = ["ka", "lo", "mi", "ren", "tas", "vor", "bel", "sun", "dri", "pol"]
