@@ -99,8 +99,8 @@ def q_best_so_far(spark, sf):
 
 @register("param_search")
 def q_param_search(spark, sf):
-    """Two hashed trials, 3-fold CV AUC each, appended to a resumable trial table"""
-    return ML.param_search(_matrix(spark, sf), scratch_path(spark, "trials"), n_trials=2, k=3)
+    """50 hashed trials, 5-fold CV AUC each, appended to a resumable trial table"""
+    return ML.param_search(_matrix(spark, sf), scratch_path(spark, "trials"))
 
 
 @register("final_fit")
