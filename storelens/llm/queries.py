@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import bpe, exact_dedup, langid, line_dedup, mixing, ngram_join, pii, preference, quality_rules, toxicity
+from storelens.llm import bpe, exact_dedup, langid, line_dedup, mixing, ngram_join, periodic, pii, preference, quality_rules, toxicity
 from storelens.llm.common import documents, prepare
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -84,3 +84,8 @@ def bpe_query(spark, sf_dir):
 @query("op10_pii_boosting")
 def pii_query(spark, sf_dir):
     return pii.report(documents(spark, sf_dir))
+
+
+@query("op13_periodic_runs")
+def periodic_query(spark, sf_dir):
+    return periodic.report(documents(spark, sf_dir))
