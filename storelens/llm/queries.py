@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import align, bpe, exact_dedup, langid, line_dedup, mixing, ngram_join, periodic, pii, preference, quality_rules, toxicity
+from storelens.llm import align, bpe, exact_dedup, html_text, langid, line_dedup, mixing, ngram_join, periodic, pii, preference, quality_rules, toxicity
 from storelens.llm.common import documents, prepare
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -96,3 +96,8 @@ def alignment_query(spark, sf_dir):
     import public_tokenizers
 
     return align.report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op11_html_main_text")
+def html_query(spark, sf_dir):
+    return html_text.report(table(spark, sf_dir, "pages"))
