@@ -1,5 +1,5 @@
 """Model-job queries (J8, L1–L17, W9, W13, M17). Most are rows-only checks:
-their numbers come from fitted Spark ML models."""
+their numbers come from fitted models."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from storelens.plans import oracle as O
 from storelens.plans.q_features import FEATURE_CTES, customer_features
 from storelens.plans.q_reviews import _reviews
 from storelens.plans.registry import register
-from storelens.schemas import FEATURE_COLUMNS
+from storelens.schemas import FEATURE_COLUMNS, NUMERIC_FEATURE_COLUMNS
 from storelens.session import scratch_path
 from storelens.sources import fixtures as FX
 from storelens.sources.tables import Tables
@@ -28,21 +28,29 @@ def _matrix(spark, sf):
     return C.select_model_matrix(customer_features(spark, sf)).checkpoint(eager=True)
 
 
-KNN_COLS = ["frequency", "monetary_value", "recency_days", "tenure_days", "category_diversity"]
-_V = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in KNN_COLS) + "]"
+def _filled(c: str) -> str:
+    return f"coalesce(CAST({c} AS DOUBLE), 0.0)"
 
 
-@register("minority_knn", FEATURE_CTES + f""", mino AS (SELECT CustomerID, {_V} AS v FROM features WHERE churned = 0),
+_UNITS = ", ".join(f"CASE WHEN round(stddev_pop({_filled(c)}), 6) = 0 THEN 1.0 ELSE round(stddev_pop({_filled(c)}), 6) END AS u_{c}"
+                   for c in NUMERIC_FEATURE_COLUMNS)
+_V = "[" + ", ".join(f"{_filled('f.' + c)} / u_{c}" if c in NUMERIC_FEATURE_COLUMNS else _filled("f." + c) for c in FEATURE_COLUMNS) + "]"
+
+
+@register("minority_knn", FEATURE_CTES + f""", units AS (SELECT {_UNITS} FROM features),
+mino AS (SELECT f.CustomerID, {_V} AS v FROM features f, units WHERE f.churned = 0),
 pairs AS (SELECT a.CustomerID, b.CustomerID AS nbr_id,
-                 sqrt(list_sum(list_transform(range(1, {len(KNN_COLS) + 1}), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))) AS dist
+                 sqrt(list_sum(list_transform(range(1, {len(FEATURE_COLUMNS) + 1}), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))) AS dist
           FROM mino a JOIN mino b ON a.CustomerID <> b.CustomerID)
 SELECT CustomerID, nbr_id, dist, CAST(rk AS INTEGER) AS nbr_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY CustomerID ORDER BY dist, nbr_id) AS rk FROM pairs) WHERE rk <= 5""", ["dist"])
 def q_knn(spark, sf):
-    """Exact 5 nearest retained customers (projection-ordered blocks, verified)"""
-    f = customer_features(spark, sf)
-    mino = f.where(F.col("churned") == 0).select("CustomerID", F.array(*[F.col(c).cast("double") for c in KNN_COLS]).alias("v"))
-    return ML.minority_knn(mino, "CustomerID", "v", 5, block=16)  # small block: exercises the verified multi-round path
+    """Exact 5 nearest retained customers in all 19 model columns, scaled (pivot join)"""
+    f = customer_features(spark, sf).checkpoint(eager=True)
+    x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURE_COLUMNS}
+    unit = f.agg(*[F.round(F.stddev_pop(x[c]), 6).alias(c) for c in NUMERIC_FEATURE_COLUMNS]).first().asDict()  # one row
+    v = F.array(*[x[c] / F.lit(unit.get(c) or 1.0) for c in FEATURE_COLUMNS])
+    return ML.minority_knn(f.where(F.col("churned") == 0).select("CustomerID", v.alias("v")), "CustomerID", "v", 5)
 
 
 @register("smote_balance", FEATURE_CTES + """SELECT CAST(churned AS INTEGER) AS churned, synthetic, CAST(n AS BIGINT) AS n FROM (
@@ -99,7 +107,7 @@ def q_best_so_far(spark, sf):
 
 @register("param_search")
 def q_param_search(spark, sf):
-    """50 hashed trials, 5-fold CV AUC each, appended to a resumable trial table"""
+    """50 hashed trials, 5-fold CV AUC by rungs of successive halving, appended to a resumable trial table"""
     return ML.param_search(_matrix(spark, sf), scratch_path(spark, "trials"))
 
 
@@ -152,13 +160,12 @@ def q_score(spark, sf):
     Calibrator and threshold come from out-of-fold scores: no row is judged by a model that saw it.
     """
     f = customer_features(spark, sf).checkpoint(eager=True)
-    m = C.select_model_matrix(f)
-    oof = ML.ensemble_probability(ML.oof_predictions(m)).select(
+    m, scaler = C.select_model_matrix(f), fit_scaler(f)
+    oof, ma, mb = ML.fit_ensemble(apply_scaler(m, scaler).checkpoint(eager=True))
+    oof = ML.ensemble_probability(oof).select(
         F.col("CustomerID").alias("id"), F.col("churned").alias("y_true"), F.col("p_ensemble").alias("prob")).checkpoint(eager=True)
     cal, _ = CA.fit_calibrator(oof)
     threshold = CA.decision_threshold(oof.withColumn("prob", cal.apply(F.col("prob"))))
-    scaler = fit_scaler(f)
-    ma, mb = ML.final_fit(apply_scaler(m, scaler).checkpoint(eager=True), None)
     factors = _explain(m).select("CustomerID", F.slice("top_features", 1, 3).alias("top_features"))
     return CA.score_customers(f.drop("churned"), scaler, ma, mb, cal, threshold=threshold, factors=factors)
 

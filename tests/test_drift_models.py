@@ -35,7 +35,7 @@ def test_exact_knn_matches_brute_force(spark):
     rnd = random.Random(5)
     pts = [(i, [rnd.random() for _ in range(6)]) for i in range(150)]
     df = spark.createDataFrame(pts, "id long, v array<double>")
-    got = {(r["id"], r["nbr_rank"]): r["nbr_id"] for r in ML.minority_knn(df, "id", "v", 3, block=8).collect()}
+    got = {(r["id"], r["nbr_rank"]): r["nbr_id"] for r in ML.minority_knn(df, "id", "v", 3).collect()}
     for i, v in pts:
         d = sorted((sum((a - b) ** 2 for a, b in zip(v, w)) ** 0.5, j) for j, w in pts if j != i)
         assert [got[(i, k)] for k in (1, 2, 3)] == [j for _, j in d[:3]]
