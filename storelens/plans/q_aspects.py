@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storelens.functions.hashing import hashed_uniform
-from storelens.functions.text import clean_review_text
+from storelens.functions.text import clean_review_text, rating_label
 from storelens.operators import aspects as AS
+from storelens.operators import lexicon as LX
 from storelens.plans import oracle as O
-from storelens.plans.q_reviews import clean_sql
+from storelens.plans.q_reviews import RAW, clean_sql, label_sql
 from storelens.plans.registry import register
 from storelens.session import scratch_path, spread
 from storelens.sources import files as FL
+from storelens.sources import fixtures as FX
 from storelens.sources.tables import Tables
 
 # How labelled terms are derived from the documents (test adapter).
@@ -73,28 +74,27 @@ def q_scan_xml(spark, sf):
     return FL.scan_aspect_xml(spark, write_aspect_xml(spark, sf))
 
 
+def _labels(spark, sf):
+    """Classes of the labelled texts: aspects of their labelled terms (S6), sentiment of their rating."""
+    r = FX.reviews_raw(Tables(spark, sf))
+    rating = F.col("rating").try_cast("double").cast("int")
+    rated = r.where(rating.between(1, 5)).select(F.col("doc_id").cast("string").alias("id"), rating_label(rating).alias("class"))
+    return LX.labelled_aspects(_terms_df(spark, sf)).unionByName(rated)
+
+
 def _scores(spark, sf):
-    """Per (sentence, aspect, sentiment) scores from hashed draws, sharpened and
-    normalised over the three sentiments (stand-in for the NLI scorer)."""
-    s = Tables(spark, sf).documents.select(F.col("doc_id").cast("string").alias("sentence_id"))
-    cells = F.array(*[F.struct(F.lit(a).alias("aspect"), F.lit(i).alias("ai")) for i, a in enumerate(AS.ASPECTS)])
-    d = s.select(F.col("sentence_id").alias("review_id"), F.explode(cells).alias("c")).select("review_id", "c.*")
-    u = [F.pow(hashed_uniform(F.concat_ws("|", F.col("review_id"), F.col("aspect"), F.lit(x)), "absa"), 4) for x in AS.SENTIMENTS]
-    tot = u[0] + u[1] + u[2]
-    arr = F.array(*[F.struct(F.lit(x).alias("sentiment"), (u[i] / tot).alias("score")) for i, x in enumerate(AS.SENTIMENTS)])
-    return d.select("review_id", "aspect", F.explode(arr).alias("s")).select("review_id", "aspect", "s.*")
-
-
-def _uni(expr: str) -> str:
-    return f"power({O.uniform(expr, 'absa')}, 4)"
-
-
-SCORES_SQL = SENT_SQL + ",\nasp AS (SELECT unnest([" + ", ".join(repr(a) for a in AS.ASPECTS) + "]) AS aspect),\n" + \
-    "sc0 AS (SELECT s.sentence_id AS review_id, a.aspect, " + ", ".join(
-        f"{_uni(chr(39).join(['s.sentence_id || ', '|', ' || a.aspect || ', '|' + x, '']))} AS u_{x}" for x in AS.SENTIMENTS) + \
-    " FROM sent s, asp a),\n" + "scores AS (SELECT review_id, aspect, s.sentiment, s.score FROM (SELECT review_id, aspect, unnest([" + \
-    ", ".join(f"{{'sentiment': '{x}', 'score': u_{x} / (u_positive + u_negative + u_neutral)}}" for x in AS.SENTIMENTS) + \
-    "]) AS s FROM sc0))"
+    """Per (sentence, aspect, sentiment) scores by the lexicon learned from the labelled texts."""
+    s = _sentences(spark, sf).select(F.col("sentence_id").alias("review_id"), "text")
+    return LX.score_by_lexicon(s, LX.induce(s, _labels(spark, sf)))
+
+
+_CLASS = "CASE " + " ".join(
+    f"WHEN instr(lower(term), '{a.lower()}') > 0 OR (length(term) >= 3 AND instr('{a.lower()}', lower(term)) > 0) THEN '{a}'" for a in AS.ASPECTS) + " END"
+SCORES_SQL = RAW + ",\n" + SENT_SQL + f""",
+texts AS (SELECT sentence_id AS id, text FROM sent),
+labels AS (SELECT DISTINCT id, class FROM (SELECT sentence_id AS id, {_CLASS} AS class FROM terms WHERE polarity IN ('positive', 'negative', 'neutral'))
+           WHERE class IS NOT NULL UNION ALL SELECT user_id, {label_sql('rating')} FROM raw WHERE rating BETWEEN 1 AND 5),
+""" + LX.lexicon_sql("texts", "labels") + ",\n" + LX.scores_sql("texts")
 
 EXTRACT_SQL = SCORES_SQL + """,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY review_id, aspect ORDER BY score DESC,
