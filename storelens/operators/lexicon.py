@@ -21,8 +21,8 @@ from storelens.operators.aspects import ASPECTS, EVAL_LABELS, SENTIMENTS
 
 CLAUSE = r"[.!?;:\n\r]+"
 WORD = "[a-z]{3,}"
-MIN_TEXTS = 3  # texts that hold a word
-MIN_PAIRS = 2  # times that two words stand side by side
+MIN_TEXTS = 5  # texts that hold a word
+MIN_PAIRS = 3  # times that two words stand side by side
 ROUNDS = 2
 MIN_WEIGHT = 100
 MAX_TERMS = 20_000
@@ -46,12 +46,17 @@ def labelled_aspects(terms: DataFrame) -> DataFrame:
 
 def word_weights(parts: DataFrame, labels: DataFrame) -> DataFrame:
     """(word, class, weight > 0) by mutual information over texts."""
-    words = parts.select("id", F.explode("words").alias("word")).distinct()
+    # dealt to a set number of tasks: few bytes here become many rows once words and classes are exploded
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = parts.repartition(tasks, "id").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    classes = labels.repartition(tasks, "id").groupBy("id").agg(F.collect_list("class").alias("classes"))
+    each = whole.join(classes, "id", "left").select(F.explode("words").alias("word"), F.array_append(F.coalesce("classes", F.array()), F.lit("")).alias("classes"))
+    both = each.select("word", F.explode("classes").alias("class")).groupBy("word", "class").agg(F.count(F.lit(1)).alias("n_wc"))  # the class "" counts texts
+    both = both.withColumn("n_w", F.max(F.when(F.col("class") == "", F.col("n_wc"))).over(Window.partitionBy("word")))
+    both = both.where((F.col("class") != "") & (F.col("n_w") >= MIN_TEXTS))
     n = parts.select("id").distinct().agg(F.count(F.lit(1)).alias("n"))
-    of_word = words.groupBy("word").agg(F.count(F.lit(1)).alias("n_w")).where(F.col("n_w") >= MIN_TEXTS)
     of_class = labels.groupBy("class").agg(F.count(F.lit(1)).alias("n_c"))  # a row a class
-    both = words.join(labels, "id").groupBy("word", "class").agg(F.count(F.lit(1)).alias("n_wc"))
-    j = both.join(of_word, "word").join(F.broadcast(of_class), "class").crossJoin(F.broadcast(n))  # one row
+    j = both.join(F.broadcast(of_class), "class").crossJoin(F.broadcast(n))  # one row
     pmi = F.log(((F.col("n_wc") + 1) * F.col("n")).cast("double") / ((F.col("n_w") + 2) * (F.col("n_c") + 1)).cast("double"))
     return j.select("word", "class", F.floor(pmi * 1000).cast("bigint").alias("weight")).where(F.col("weight") > 0)
 
@@ -84,17 +89,26 @@ def _div(a: Column, b: Column) -> Column:
 
 def induce(texts: DataFrame, labels: DataFrame, id_col: str = "review_id", text_col: str = "text") -> DataFrame:
     """The lexicon (word, class, weight) of labelled texts; ``labels``: (id, class), each once."""
-    parts = clauses(texts, id_col, text_col)
+    return induce_from(clauses(texts, id_col, text_col).checkpoint(eager=True), labels)
+
+
+def induce_from(parts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``induce`` over ready ``clauses``, which are read three times."""
     graph = word_graph(parts).checkpoint(eager=True)
-    weights = word_weights(parts, labels)
+    weights = word_weights(parts, labels.checkpoint(eager=True)).checkpoint(eager=True)
     for _ in range(ROUNDS):
-        weights = spread_weights(weights, graph).checkpoint(eager=True)
+        weights = spread_weights(weights, graph)
     return weights.where(F.col("weight") >= MIN_WEIGHT).orderBy(F.desc("weight"), "word", "class").limit(MAX_TERMS).checkpoint(eager=True)
 
 
 def score_by_lexicon(docs: DataFrame, lexicon: DataFrame, id_col: str = "review_id", text_col: str = "text") -> DataFrame:
     """(review_id, aspect, sentiment, score) for each aspect that a clause of the whole text mentions with a polarity."""
-    w = clauses(docs, id_col, text_col).select("id", "clause", F.explode("words").alias("word")).join(F.broadcast(lexicon), "word")  # at most MAX_TERMS rows
+    return score_clauses(clauses(docs, id_col, text_col), lexicon)
+
+
+def score_clauses(parts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``score_by_lexicon`` over ready ``clauses``."""
+    w = parts.select("id", "clause", F.explode("words").alias("word")).join(F.broadcast(lexicon), "word")  # at most MAX_TERMS rows
     each = w.groupBy("id", "clause").agg(*[F.sum(F.when(F.col("class") == c, F.col("weight")).otherwise(0)).alias(c) for c in [*ASPECTS, *SENTIMENTS]])
     polar = sum((F.col(s) for s in SENTIMENTS[1:]), F.col(SENTIMENTS[0])) > 0
     cells = F.array(*[F.struct(F.lit(a).alias("aspect"), F.col(a).alias("strength")) for a in ASPECTS])

@@ -74,18 +74,23 @@ def q_scan_xml(spark, sf):
     return FL.scan_aspect_xml(spark, write_aspect_xml(spark, sf))
 
 
-def _labels(spark, sf):
+def _labels(spark, sf, terms):
     """Classes of the labelled texts: aspects of their labelled terms (S6), sentiment of their rating."""
     r = FX.reviews_raw(Tables(spark, sf))
     rating = F.col("rating").try_cast("double").cast("int")
     rated = r.where(rating.between(1, 5)).select(F.col("doc_id").cast("string").alias("id"), rating_label(rating).alias("class"))
-    return LX.labelled_aspects(_terms_df(spark, sf)).unionByName(rated)
+    return LX.labelled_aspects(terms).unionByName(rated)
+
+
+def _scored(spark, sf):
+    """The labelled terms, and per (sentence, aspect, sentiment) scores by the lexicon learned from the labelled texts."""
+    s = _sentences(spark, sf).checkpoint(eager=True)
+    terms, parts = _terms(s), LX.clauses(s, "sentence_id").checkpoint(eager=True)
+    return terms, LX.score_clauses(parts, LX.induce_from(parts, _labels(spark, sf, terms)))
 
 
 def _scores(spark, sf):
-    """Per (sentence, aspect, sentiment) scores by the lexicon learned from the labelled texts."""
-    s = _sentences(spark, sf).select(F.col("sentence_id").alias("review_id"), "text")
-    return LX.score_by_lexicon(s, LX.induce(s, _labels(spark, sf)))
+    return _scored(spark, sf)[1]
 
 
 _CLASS = "CASE " + " ".join(
@@ -130,14 +135,11 @@ matched AS (SELECT t.sentence_id, t.term_idx, t.term, t.polarity AS true_label,
             GROUP BY t.sentence_id, t.term_idx, t.term, t.polarity)"""
 
 
-def _terms_df(spark, sf):
-    return _terms(_sentences(spark, sf))
-
-
 @register("aspect_term_match", O.with_(MATCH_SQL) + "SELECT * FROM matched")
 def q_match(spark, sf):
     """J6"""
-    return AS.aspect_term_match(_terms_df(spark, sf), AS.extract_aspects(_scores(spark, sf)))
+    terms, scores = _scored(spark, sf)
+    return AS.aspect_term_match(terms, AS.extract_aspects(scores))
 
 
 @register("aspect_eval", O.with_(MATCH_SQL) + """,
@@ -154,5 +156,5 @@ SELECT round(avg(f1), 4) AS macro_f1, round(max(f1) FILTER (WHERE label = 'posit
           ["macro_f1", "positive_f1", "negative_f1", "neutral_f1"])
 def q_aspect_eval(spark, sf):
     """M15"""
-    t = _terms_df(spark, sf)
-    return AS.aspect_eval(AS.aspect_term_match(t, AS.extract_aspects(_scores(spark, sf))), t)
+    t, scores = _scored(spark, sf)
+    return AS.aspect_eval(AS.aspect_term_match(t, AS.extract_aspects(scores)), t)
