@@ -122,6 +122,9 @@ def batch_of(df: DataFrame, id_col: str, batches: int, descending: bool = False)
     lo, hi = df.agg(F.min(id_col), F.max(id_col)).first()
     if lo is None:
         return F.lit(batches - 1)
-    step = max(1, -(-(int(hi) - int(lo) + 1) // batches))
-    at = (F.lit(int(hi)) - F.col(id_col)) if descending else (F.col(id_col) - F.lit(int(lo)))
+    lo, hi, at = int(lo), int(hi), F.col(id_col).cast("bigint")
+    if hi - lo >= 2**62:  # a quarter of the ids: their differences are 64-bit numbers again
+        lo, hi, at = lo >> 2, hi >> 2, F.shiftright(at, 2)
+    step = max(1, -(-(hi - lo + 1) // batches))
+    at = (F.lit(hi) - at) if descending else (at - F.lit(lo))
     return F.coalesce(F.floor(at / F.lit(step)).cast("int"), F.lit(batches - 1))

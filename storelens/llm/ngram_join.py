@@ -42,6 +42,8 @@ from storelens.llm.components import components
 U = np.uint64
 MAX_WORDS = 400_000
 TILE = 2048
+RANGE_BITS = 12
+PACKED = 4096
 RATIO = 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS: dict[bytes, int] = {}  # hashes of words this worker has met
@@ -202,27 +204,41 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], ["a", "b"])
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """(node, sigs) rows to (part, node, sigs), a part being a range of signatures: a row's overhead is shared by several."""
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, sigs) rows to (part, nodes, sigs), a part being one of 2^RANGE_BITS ranges of signatures.
+
+    A row holds what ``PACKED`` nodes have in a range, so its overhead is shared and there is about a row a node.
+    """
+    def packed(held):
+        sigs = np.concatenate([s for _, s in held])
+        node = np.concatenate([n for n, _ in held])
+        part = (sigs.view(U) >> U(64 - RANGE_BITS)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = pa.array(np.append(first, len(part)), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.ListArray.from_arrays(ends, pa.array(node[order])), pa.ListArray.from_arrays(ends, pa.array(sigs[order]))],
+                                          ["part", "nodes", "sigs"])
+
+    held, rows = [], 0
     for batch in batches:
         for i in range(0, batch.num_rows, 1024):
             b = batch.slice(i, 1024)
-            sigs = b.column(1).flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
-            part = ((sigs.view(U) >> U(40)) * U(parts) >> U(24)).astype(np.int64)
-            order = np.argsort(row * parts + part, kind="stable")
-            key = (row * parts + part)[order]
-            first = np.flatnonzero(np.diff(key, prepend=-1))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(sigs[order]))
-            yield pa.RecordBatch.from_arrays([pa.array(key[first] % parts, pa.int32()), b.column(0).take(pa.array(key[first] // parts)), lists],
-                                             ["part", "node", "sigs"])
+            lengths = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            held.append((np.repeat(b.column(0).to_numpy(zero_copy_only=False), lengths), b.column(1).flatten().to_numpy(zero_copy_only=False)))
+            rows += b.num_rows
+            if rows >= PACKED:
+                yield packed(held)
+                held, rows = [], 0
+    if held:
+        yield packed(held)
 
 
 def candidate_groups(rows: DataFrame) -> DataFrame:
     """(node, root): nodes that share blocks, directly or by others, have the same root."""
-    parts = shuffle_partitions(rows.sparkSession)
-    dealt = rows.where("size(sigs) > 0").select("node", "sigs").mapInArrow(lambda b: _dealt(b, parts), "part int, node bigint, sigs array<bigint>")
-    sigs = dealt.repartition(parts, "part").select(F.explode("sigs").alias("sig"), "node")
+    dealt = rows.where("size(sigs) > 0").select("node", "sigs").mapInArrow(_dealt, "part int, nodes array<bigint>, sigs array<bigint>")
+    sigs = dealt.repartition(shuffle_partitions(rows.sparkSession), "part").select(F.explode(F.arrays_zip("sigs", "nodes")).alias("x"))
+    sigs = sigs.select(F.col("x.sigs").alias("sig"), F.col("x.nodes").alias("node"))
     sigs = sigs.sortWithinPartitions("sig", "node")  # spills; a signature of very many nodes is a stream of 16 bytes each
     return components(sigs.mapInArrow(_stars, "a bigint, b bigint"), "sketch-groups")
 

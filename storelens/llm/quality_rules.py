@@ -38,30 +38,46 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once and never becomes a column of its own."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def with_statistics(docs: DataFrame, text_col: str = "text", to: str = "__stats") -> DataFrame:
     """Add a struct ``to`` of the statistics of the whole text."""
     t = whole(F.col(text_col))
     count = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
-    df = once(docs, "__words", words(t))
-    n = F.size("__words")
-    window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2)))
-    df = once(df, "__windows", F.when(n >= 3, window).otherwise(F.array().cast("array<bigint>")))
-    # of windows sorted by hash, the repeated ones stand next to one another
-    order = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = once(df, "__order", F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), order))
-    m = F.size("__order")
-    pairs = F.zip_with(F.slice("__order", F.lit(1), m - 1), F.slice("__order", F.lit(2), m - 1),
-                       lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    at = F.flatten(F.filter(pairs, lambda x: x.isNotNull()))
-    covered = F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))
-    df = once(df, "__lines", F.filter(F.split(t, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(ASCII_SPACE))) > 0))
-    stats = {
-        "n_words": n, "word_chars": F.length(F.translate(t, ASCII_SPACE, "")), "n_symbols": count(SYMBOLS),
-        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
-        "n_repeat_words": F.when(F.col("__order").isNull(), 0).otherwise(F.size(F.array_distinct(covered))),
-        "n_lines": F.size("__lines"), "n_upper": count(UPPER), "n_marks": count(MARKS), "n_digits": count("0123456789"),
-    }
-    return df.withColumn(to, F.struct(*[v.cast("bigint").alias(k) for k, v in stats.items()])).drop("__words", "__windows", "__order", "__lines")
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+
+    def repeated(order: Column) -> Column:
+        """Words in repeated windows: of windows sorted by hash, these stand next to one another."""
+        m = F.size(order)
+        pairs = F.zip_with(F.slice(order, F.lit(1), m - 1), F.slice(order, F.lit(2), m - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+        at = F.flatten(F.filter(pairs, lambda x: x.isNotNull()))
+        return F.when(m < 2, 0).otherwise(F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2))))))
+
+    def of_windows(windows: Column) -> Column:
+        order = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return let(F.when(F.size(F.array_distinct(windows)) < F.size(windows), order).otherwise(none), repeated)
+
+    def of_words(w: Column) -> Column:
+        n = F.size(w)
+        window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.struct(n.alias("n"), let(F.when(n >= 3, window).otherwise(F.array().cast("array<bigint>")), of_windows).alias("r"))
+
+    def of_lines(x: Column) -> Column:
+        return F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))
+
+    lines = let(F.filter(F.split(t, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(ASCII_SPACE))) > 0), of_lines)
+    plain = {"word_chars": F.length(F.translate(t, ASCII_SPACE, "")), "n_symbols": count(SYMBOLS), "n_upper": count(UPPER), "n_marks": count(MARKS),
+             "n_digits": count("0123456789")}
+
+    def all_of(x: Column) -> Column:
+        stats = {"n_words": x["w"]["n"], "word_chars": plain["word_chars"], "n_symbols": plain["n_symbols"], "n_dup_lines": x["l"]["n"] - x["l"]["d"],
+                 "n_repeat_words": x["w"]["r"], "n_lines": x["l"]["n"], **{k: plain[k] for k in ("n_upper", "n_marks", "n_digits")}}
+        return F.struct(*[v.cast("bigint").alias(k) for k, v in stats.items()])
+
+    return once(docs, to, let(F.struct(let(words(t), of_words).alias("w"), lines.alias("l")), all_of))
 
 
 def base_failed(s: str = "__stats", min_words: int = 50, max_repeat_percent: int = 50) -> Column:
@@ -184,19 +200,21 @@ def _prune(rows: DataFrame, rule: list[Condition], min_precision: float, min_cov
     return rule[: best[1]]
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **learning) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, **learning) -> DataFrame:
     """The documents with ``__stats``, ``__base_failed`` and ``__rule`` (null: no rule rejects it) added.
 
-    The statistics are written once, beside the documents' own columns; learning reads only them.
+    The list is learned from at most ``max_labelled`` labels, chosen by a hash of their rows; only those documents'
+    statistics are worked out for it. It is then applied in one pass over the documents, which are not written or
+    shuffled.
     """
     prepare(docs.sparkSession)
-    own = written(with_statistics(docs, text_col), "quality-statistics")
-    own = own.withColumn("__base_failed", base_failed())
     known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("__label_id"), "quality")
-    train = own.where(~F.col("__base_failed")).select(F.col(id_col).alias("__id"), "__stats")
-    train = train.join(known, F.col("__id") == F.col("__label_id"))
+    known = known.orderBy(F.xxhash64("__label_id", "quality"), "__label_id").limit(max_labelled)
+    train = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    train = train.join(F.broadcast(known), F.col("__id") == F.col("__label_id"))  # at most max_labelled rows
+    train = with_statistics(train, "__text").drop("__text").where(~base_failed())
     rules = learn(train, F.col("quality") == 0, F.crc32(F.concat(F.lit("prune:"), F.col("__id").cast("string")).cast("binary")) % 3 == 0, **learning)
-    return own.withColumn("__rule", rules.verdict())
+    return with_statistics(docs, text_col).withColumn("__base_failed", base_failed()).withColumn("__rule", rules.verdict())
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:

@@ -82,3 +82,13 @@ def test_mixing_buckets_do_not_change_the_draw(odd_documents, monkeypatch):
     one = sorted(map(str, mixing.amounts(docs).collect()))
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
     assert one == sorted(map(str, mixing.amounts(docs).collect()))
+
+
+def test_ids_from_end_to_end_of_64_bits(spark):
+    """Hash ids: their range is wider than 63 bits."""
+    rows = [(-2**63, "a shared line of text\nown one"), (2**63 - 1, "A SHARED line of text\nown two"), (0, "a shared line of text\nown one"), (-5, "other"), (2**62, "OTHER")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.decide(docs).collect()}
+    assert kept == {-2**63: (0, False), 0: (0, True), 2**63 - 1: (2**63 - 1, True), -5: (2**62, False), 2**62: (2**62, True)}
+    lines = {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert lines == {-2**63: "a shared line of text\nown one", 2**63 - 1: "own two", 0: "own one", -5: "other", 2**62: "OTHER"}
