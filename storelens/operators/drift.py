@@ -234,19 +234,19 @@ def inject_shift(current: DataFrame, reference: DataFrame, feature: str, sigmas:
 
 
 def drift_events_rows(report: DataFrame, module: str = "retention", reference_version: str = "v1",
-                      threshold: float = PSI_THRESHOLD) -> DataFrame:
-    """One event row per feature (metric 'psi')."""
-    return report.select(F.lit(module).alias("module"), F.col("feature").alias("feature_name"),
+                      threshold: float = PSI_THRESHOLD, keep: tuple = ()) -> DataFrame:
+    """One event row per feature (metric 'psi'), with the report's columns ``keep`` before it."""
+    return report.select(*keep, F.lit(module).alias("module"), F.col("feature").alias("feature_name"),
                          F.lit("psi").alias("metric"), F.col("psi").alias("metric_value"),
                          F.lit(threshold).alias("threshold"), F.col("drift_detected").alias("alert_triggered"),
                          F.lit(reference_version).alias("reference_version"))
 
 
-def drift_review_items(report: DataFrame, module: str = "retention") -> DataFrame:
-    """Drifted features → review-queue rows with a JSON payload."""
+def drift_review_items(report: DataFrame, module: str = "retention", keep: tuple = ()) -> DataFrame:
+    """Drifted features → review-queue rows with a JSON payload, with the report's columns ``keep`` before it."""
     d = report.where("drift_detected")
     payload = F.to_json(F.struct(F.col("feature"), F.col("psi"), F.col("ks_pvalue"), F.col("drift_detected")))
-    return d.select(F.concat(F.lit(f"drift_{module}_"), F.col("feature")).alias("request_id"),
+    return d.select(*keep, F.concat(F.lit(f"drift_{module}_"), F.col("feature")).alias("request_id"),
                     F.lit(module).alias("module"), F.lit("drift_alert").alias("trigger"),
                     payload.alias("payload"), F.lit("pending").alias("status"))
 

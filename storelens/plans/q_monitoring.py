@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storelens.operators import business as B
+from storelens.operators import drift_state as DS
 from storelens.operators import logs as LG
 from storelens.plans import oracle as O
 from storelens.plans.registry import register
+from storelens.session import scratch_path
 from storelens.sources import fixtures as FX
 from storelens.sources.tables import Tables
 from storelens.streaming import monitors as MN
@@ -408,45 +410,90 @@ def q_daily_drift(spark, sf):
     return daily_drift(lg, "latency_ms", "2024-01-01", "2024-01-08")
 
 
-@register("daily_drift_stream", _daily_sql(), ["metric_value", "threshold"])
-def q_daily_drift_stream(spark, sf):
-    """T9 (stream): each availableNow micro-batch of log files appends that batch's
-    daily drift events (foreachBatch) to the drift-event table"""
-    from storelens.operators.drift import daily_drift
-    from storelens.session import scratch_path
+# The monitored values of a prediction log row and the reference week.
+DRIFT_VALUES = ["latency_ms", "confidence", "status_code"]
+REF_WEEK = ("2024-01-01", "2024-01-08")
+
+
+def _drift_long(logs):
+    """(day, feature, value) rows of a prediction log."""
+    conf = F.get_json_object("prediction", "$.confidence")
+    values = {"latency_ms": F.col("latency_ms"), "confidence": conf, "status_code": F.col("status_code")}
+    cells = F.array(*[F.struct(F.lit(k).alias("feature"), values[k].cast("double").alias("value")) for k in DRIFT_VALUES])
+    return logs.select("created_at", F.date_format(F.to_date("created_at"), "yyyy-MM-dd").alias("day"), F.explode(cells).alias("c")).select("created_at", "day", "c.*")
+
+
+def _drift_reference(long):
+    """Quantiles of the reference week, a row a feature."""
+    from storelens.operators.drift import reference_distribution
+    lo, hi = [F.lit(d).cast("timestamp_ntz") for d in REF_WEEK]
+    week = long.where((F.col("created_at") >= lo) & (F.col("created_at") < hi))
+    wide = week.select(*[F.when(F.col("feature") == f, F.col("value")).alias(f) for f in DRIFT_VALUES])
+    return reference_distribution(wide, DRIFT_VALUES)
+
+
+def _retention_logs(spark, sf):
+    return _logs(spark, sf).where(F.col("module") == "retention")
+
+
+_LONG = ", ".join(f"{{'feature': '{f}', 'value': CAST({'(id % 100) / 100.0' if f == 'confidence' else f} AS DOUBLE)}}" for f in DRIFT_VALUES)
+_ALL_DRIFT = LOGS + f""", long AS (SELECT created_at, day, c.feature AS feature, c.value AS value FROM (
+  SELECT created_at, strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS day, unnest([{_LONG}]) AS c FROM logs WHERE module = 'retention')),
+refs AS (SELECT feature, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75,
+  quantile_cont(value, 0.95) AS p95, min(value) AS min, max(value) AS max FROM long
+  WHERE created_at >= TIMESTAMP '{REF_WEEK[0]}' AND created_at < TIMESTAMP '{REF_WEEK[1]}' GROUP BY 1),
+""" + DS.drift_sql("long", "refs") + """
+SELECT day, feature, n, psi, out_of_range, ks_stat, ks_pvalue, psi > 0.2 AS drift_detected FROM drift"""
+_ALL_FLOATS = ["psi", "out_of_range", "ks_stat", "ks_pvalue"]
+
+
+@register("daily_drift_report", _ALL_DRIFT, _ALL_FLOATS)
+def q_daily_drift_report(spark, sf):
+    """T9 (batch): per day PSI and KS of every monitored value against the first week"""
+    long = _drift_long(_retention_logs(spark, sf))
+    ref = _drift_reference(long).checkpoint(eager=True)
+    return DS.drift_of(DS.histograms(long, ref), ref)
+
+
+def _drift_stream(spark, sf):
+    """Each availableNow micro-batch of log files merges its histograms into the state and appends its days' events."""
+    from storelens.operators.drift import drift_events_rows, drift_review_items
     e = Tables(spark, sf).events.withColumn("ts", F.col("ts").cast("timestamp"))
     root = replay_as_files(e, "ts", 6, "2024-01-01", "2024-01-31", "events-daily")
     sink = scratch_path(spark, "drift-events")
-    ref_logs = _logs(spark, sf).where(F.col("module") == "retention")
-    ref = ref_logs.where((F.col("created_at") >= F.lit("2024-01-01").cast("timestamp_ntz"))
-                         & (F.col("created_at") < F.lit("2024-01-08").cast("timestamp_ntz")))
-
-    log_table = scratch_path(spark, "retention-log")
+    state = DS.DailyDrift(spark, scratch_path(spark, "drift-state"), _drift_reference(_drift_long(_retention_logs(spark, sf))))
 
     def per_batch(batch, epoch_id):
-        lg = batch.where(F.col("event_id") % 3 == 2).select(
-            F.concat(F.lit("req_"), F.col("event_id").cast("string")).alias("request_id"),
-            F.col("ts").cast("timestamp_ntz").alias("created_at"), F.floor("value").cast("int").alias("latency_ms"))
-        # the log table grows batch by batch; a batch that is retried replaces what it wrote
-        lg.write.mode("overwrite").parquet(f"{log_table}/epoch={epoch_id}")
-        days = lg.select(F.to_date("created_at").alias("d")).distinct()
-        # recompute only the days this batch touched, over everything logged so far
-        so_far = spark.read.parquet(log_table)
-        touched = so_far.join(days, F.to_date("created_at") == F.col("d"), "left_semi")
-        both = touched.select("request_id", "created_at", "latency_ms").unionByName(ref.select("request_id", "created_at", "latency_ms"))
-        ev = daily_drift(both.dropDuplicates(["request_id"]), "latency_ms", "2024-01-01", "2024-01-08")
-        ev = ev.join(days.select(F.date_format("d", "yyyy-MM-dd").alias("day")), "day", "left_semi")
-        ev.write.mode("overwrite").parquet(f"{sink}/epoch={epoch_id}")
+        logs = FX.prediction_logs_from_events(batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))).where(F.col("module") == "retention")
+        days = state.add(_drift_long(logs).drop("created_at"), epoch_id)
+        report = state.report(days).checkpoint(eager=True)
+        report.write.mode("overwrite").parquet(f"{sink}/report/epoch={epoch_id}")
+        drift_events_rows(report, keep=("day",)).write.mode("overwrite").parquet(f"{sink}/events/epoch={epoch_id}")
+        drift_review_items(report, keep=("day",)).write.mode("overwrite").parquet(f"{sink}/items/epoch={epoch_id}")
 
     stream = spark.readStream.schema(T.StructType([*EVENT_SCHEMA.fields, T.StructField("chunk", T.IntegerType())])) \
         .option("maxFilesPerTrigger", 1).parquet(root)
     q = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", sink + "-checkpoint") \
         .trigger(availableNow=True).start()
     q.awaitTermination()
-    out = spark.read.parquet(sink)
-    # a day cut across two files is recomputed by the later batch: keep the last epoch's row
-    latest = out.groupBy("day").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("day", "epoch")]), "epoch").alias("r"))
-    return latest.select("day", "r.*")
+    out = spark.read.parquet(f"{sink}/report")
+    # a day cut across two files is reported by both batches: the last one holds the sum
+    latest = out.groupBy("day", "feature").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("day", "feature", "epoch")]), "epoch").alias("r"))
+    return latest.select("day", "feature", "r.*")
+
+
+@register("daily_drift_report_stream", _ALL_DRIFT, _ALL_FLOATS)
+def q_daily_drift_report_stream(spark, sf):
+    """T9 (stream): the same figures from mergeable histograms; no batch reads the log again"""
+    return _drift_stream(spark, sf)
+
+
+@register("daily_drift_stream", _daily_sql(), ["metric_value", "threshold"])
+def q_daily_drift_stream(spark, sf):
+    """T9 (stream): the drift events of latency, from the mergeable state"""
+    r = _drift_stream(spark, sf).where(F.col("feature") == "latency_ms")
+    return r.select("day", F.lit("retention").alias("module"), F.col("feature").alias("feature_name"), F.lit("psi").alias("metric"),
+                    F.col("psi").alias("metric_value"), F.lit(0.2).alias("threshold"), F.col("drift_detected").alias("alert_triggered"))
 
 
 @register("roi_grid_cross", LOGS + """, n AS (SELECT CAST(count(*) FILTER (WHERE risk_band = 'HIGH') AS DOUBLE) AS n FROM logs WHERE module = 'retention')

@@ -105,10 +105,15 @@ def reviews_raw(t: Tables) -> DataFrame:
 
 def prediction_logs(t: Tables) -> DataFrame:
     """events → prediction log rows (one per event)."""
+    return prediction_logs_from_events(t.events)
+
+
+def prediction_logs_from_events(events: DataFrame) -> DataFrame:
+    """The log rule on any (possibly streaming) events DataFrame."""
     eid = F.col("event_id")
     conf = (eid % 100) / F.lit(100.0)
     band = F.when(conf < 0.3, "LOW").when(conf < 0.6, "MEDIUM").otherwise("HIGH")
-    return t.events.select(
+    return events.select(
         eid.alias("id"),
         F.concat(F.lit("req_"), eid.cast("string")).alias("request_id"),
         _pick(MODULES, eid % 3).alias("module"),
