@@ -253,7 +253,7 @@ def _classified(spark, sf):
 def q_classify(spark, sf):
     """L16"""
     return _classified(spark, sf).select("id", "predicted_category", "confidence", "ood_score", "ood_flagged",
-                                         "low_confidence", "baseline_delta")
+                                         "low_confidence", "baseline_top1", "baseline_delta")
 
 
 @register("route_for_review")
