@@ -150,7 +150,7 @@ def q_apply_cal(spark, sf):
     """Monotone binning calibrator (reliability bins + running max) applied by interpolation"""
     cal = _hist_calibrator(spark, sf)
     p = FX.binary_predictions(Tables(spark, sf))
-    return p.select("id", "prob", cal.apply(F.col("prob")).alias("calibrated"))
+    return cal.onto(p.select("id", "prob"), "prob", "calibrated")
 
 
 @register("score_customers")
@@ -165,7 +165,7 @@ def q_score(spark, sf):
     oof = ML.ensemble_probability(oof).select(
         F.col("CustomerID").alias("id"), F.col("churned").alias("y_true"), F.col("p_ensemble").alias("prob")).checkpoint(eager=True)
     cal, _ = CA.fit_calibrator(oof)
-    threshold = CA.decision_threshold(oof.withColumn("prob", cal.apply(F.col("prob"))))
+    threshold = CA.decision_threshold(cal.onto(oof, "prob", "_p").drop("prob").withColumnRenamed("_p", "prob"))
     factors = _explain(m).select("CustomerID", F.slice("top_features", 1, 3).alias("top_features"))
     return CA.score_customers(f.drop("churned"), scaler, ma, mb, cal, threshold=threshold, factors=factors)
 
