@@ -488,6 +488,25 @@ def q_daily_drift_report_stream(spark, sf):
     return _drift_stream(spark, sf)
 
 
+@register("ks_two_tables", LOGS + f""", long AS (SELECT created_at, day, c.feature AS feature, c.value AS value FROM (
+  SELECT created_at, strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS day, unnest([{_LONG}]) AS c FROM logs WHERE module = 'retention')),
+sides AS (SELECT feature, value, CASE WHEN created_at >= TIMESTAMP '{REF_WEEK[0]}' AND created_at < TIMESTAMP '{REF_WEEK[1]}' THEN 1 ELSE 0 END AS a FROM long),
+g AS (SELECT feature, value, sum(a) AS a, sum(1 - a) AS b FROM sides WHERE value IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT *, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER t AS na, sum(b) OVER t AS nb FROM g
+  WINDOW w AS (PARTITION BY feature ORDER BY value), t AS (PARTITION BY feature)),
+d AS (SELECT feature, CAST(max(na) AS BIGINT) AS n_a, CAST(max(nb) AS BIGINT) AS n_b, max(abs(ca / na - cb / nb)) AS ks_stat FROM f WHERE na > 0 AND nb > 0 GROUP BY 1),
+l AS (SELECT *, sqrt(CAST(n_a AS DOUBLE) * n_b / (n_a + n_b)) * ks_stat AS l FROM d)
+SELECT feature, n_a, n_b, ks_stat, CASE WHEN l <= 0 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101),
+  lambda j: power(-1, j - 1) * exp(-2.0 * j * j * l * l))))) END AS ks_pvalue FROM l""", ["ks_stat", "ks_pvalue"])
+def q_ks_two_tables(spark, sf):
+    """D5 (two tables): the first week's values against the later ones"""
+    from storelens.operators.drift import ks_two_sample
+    long = _drift_long(_retention_logs(spark, sf))
+    lo, hi = [F.lit(d).cast("timestamp_ntz") for d in REF_WEEK]
+    first = (F.col("created_at") >= lo) & (F.col("created_at") < hi)
+    return ks_two_sample(long.where(first), long.where(~first), exact_cells=0)  # SQL has the asymptotic p-value
+
+
 @register("daily_drift_stream", _daily_sql(), ["metric_value", "threshold"])
 def q_daily_drift_stream(spark, sf):
     """T9 (stream): the drift events of latency, from the mergeable state"""
