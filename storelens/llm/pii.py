@@ -9,7 +9,7 @@ is set where the selection is ``precision`` pure. Candidates above it that overl
 candidate of a higher score, become spans as well.
 
 Patterns are possessive and start only where a match can: they run in time linear in the text, without
-recursion. The trees are fitted on at most ``max_rows`` candidates, those of smallest hash.
+recursion. The trees are fitted on all candidates that are not kept back, and the thresholds counted on all that are.
 
 Defined results: null text is empty and has no spans; rows that share id and text share their spans; a
 table without candidates of both kinds learns nothing and adds nothing; ties between overlapping
@@ -143,16 +143,15 @@ def candidates(found: DataFrame) -> DataFrame:
         "doc_id", "mark", "c.*", F.pmod(F.xxhash64("doc_id", "mark", F.lit("hold")), F.lit(3)).alias("fold"))
 
 
-def select(rows: DataFrame, max_rows: int, precision: float, trees: int, depth: int, bins: int = 200) -> DataFrame | None:
+def select(rows: DataFrame, precision: float, trees: int, depth: int, bins: int = 200) -> DataFrame | None:
     """Candidates above their generator's threshold, with their scores; none where nothing can be learned."""
-    some = rows.orderBy(F.xxhash64("doc_id", "mark", "start", "generator")).limit(max_rows)
-    some = written(some.select(array_to_vector("features").alias("features"), "label", "generator", "fold"), "pii-sample")
-    kinds = {r["label"]: r["n"] for r in some.where("fold <> 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = rows.select(array_to_vector("features").alias("features"), "label", "generator", "fold")
+    kinds = {r["label"]: r["n"] for r in rows.where("fold <> 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
         return None
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=11, maxBins=32).fit(some.where("fold <> 0"))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=11, maxBins=32).fit(seen.where("fold <> 0"))
     score = vector_to_array("probability")[1]
-    cells = (model.transform(some.where("fold = 0")).groupBy("generator", F.floor(score * bins).alias("bin"))
+    cells = (model.transform(seen.where("fold = 0")).groupBy("generator", F.floor(score * bins).alias("bin"))
              .agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")).collect())  # generators x bins
     limits = {}
     for g in GENERATORS:
@@ -168,12 +167,12 @@ def select(rows: DataFrame, max_rows: int, precision: float, trees: int, depth:
     return scored.where(F.col("score") >= limit).select("doc_id", "mark", "start", "end", "kind", "score")
 
 
-def detect(docs: DataFrame, max_rows: int = 40_000, precision: float = 0.98, trees: int = 10, depth: int = 3) -> DataFrame:
+def detect(docs: DataFrame, precision: float = 0.98, trees: int = 10, depth: int = 3) -> DataFrame:
     """doc_id, base and added: arrays of structs (start, nth, end, kind), sorted; ``nth`` is the kind's place in KINDS."""
     prepare(docs.sparkSession)
     found = written(find(docs), "pii-found")
     rows = written(candidates(found), "pii-candidates")
-    chosen = select(rows, max_rows, precision, trees, depth)
+    chosen = select(rows, precision, trees, depth)
     span = "array<struct<start:int,nth:int,end:int,kind:string>>"
     if chosen is None:
         return found.select("doc_id", "base", F.array().cast(span).alias("added"))
