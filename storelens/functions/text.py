@@ -20,13 +20,15 @@ LENGTH_BANDS = [("short", 0, 50), ("medium", 50, 300), ("long", 300, 99999)]
 
 def clean_review_text(text: Column) -> Column:
     """Whitespace collapse, tag strip, ``!!!!`` → ``!!``, non-ASCII → space,
-    collapse again; null → "". Five JVM regex passes, no Python."""
+    collapse again; null → "". JVM regex passes, no Python.
+
+    The first collapse changes neither tags nor runs of marks, so it is left to the last pass, which makes
+    every run without a character from ``!`` to ``~`` one space and passes over single spaces.
+    """
     t = F.coalesce(text.cast("string"), F.lit(""))
-    t = F.trim(F.regexp_replace(t, r"\s+", " "))
-    t = F.regexp_replace(t, r"<[^>]+>", " ")
-    t = F.regexp_replace(t, r"([!?.]){3,}", "$1$1")
-    t = F.regexp_replace(t, r"[^\x20-\x7E\n]", " ")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    tagless = F.transform(F.array(t), lambda x: F.when(F.contains(x, F.lit("<")), F.regexp_replace(x, r"<[^>]+>", " ")).otherwise(x))
+    t = F.regexp_replace(F.element_at(tagless, 1), r"[!?.]{2,}([!?.])", "$1$1")
+    return F.trim(F.regexp_replace(t, r"\x20[^\x21-\x7E]++|[^\x20-\x7E][^\x21-\x7E]*+", " "))
 
 
 def review_invalid_reason(text: Column, rating: Column) -> Column:

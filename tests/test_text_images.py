@@ -69,3 +69,19 @@ def test_scan_image_tree(spark, tmp_path):
         p.write_bytes(b"\xff\xd8" + b"0" * 10)
     got = sorted((r["category"], r["path"].split("/")[-1]) for r in scan_image_tree(spark, str(tmp_path / "root")).collect())
     assert got == [("bags", "c.png"), ("shoes", "a.JPG")]
+
+
+def test_cleaning_in_three_passes_equals_the_five_of_the_rule(spark):
+    import random
+
+    def five(t):
+        t = F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), r"\s+", " "))
+        t = F.regexp_replace(F.regexp_replace(t, r"<[^>]+>", " "), r"([!?.]){3,}", "$1$1")
+        return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\x20-\x7E\n]", " "), r"\s+", " "))
+
+    rng = random.Random(8)
+    parts = ["a", "<", ">", "<b>", "<>", "< >", "<\n>", "!", "?", ".", "...", "!?.", " ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c", "\x00", "\x7f", "\x1c", "\x85", "\xa0", "é", "🙂", " ", "~", "word"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + [None, "", " ", "é" * 50_000, " \n" * 50_000, "<" * 2000, "!" * 50_000]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").repartition(4)
+    assert df.where(~five(F.col("t")).eqNullSafe(TX.clean_review_text(F.col("t")))).count() == 0
+    assert str(TX.clean_review_text(F.col("t"))).count("regexp_replace") == 3
