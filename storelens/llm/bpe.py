@@ -19,8 +19,10 @@ decode to the empty text; an empty table gives an empty result; other columns pa
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import math
+import threading
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -282,7 +284,31 @@ def _char(seq: bytes) -> str:
     return chr(value)
 
 
-_MADE: dict = {}  # of this worker process
+IDLE_SECONDS = 5.0
+_MADE: dict = {}  # of this worker process; up to about 200 MB
+_TIMER: list[threading.Timer] = []
+
+
+def _give_back() -> None:
+    _MADE.clear()
+    pa.default_memory_pool().release_unused()
+
+
+@contextlib.contextmanager
+def _in_use():
+    """What a task has made serves the worker's next tasks; once none has come for ``IDLE_SECONDS`` it goes.
+
+    Spark keeps idle workers for a minute: their tables would lie beside the memory of other stages.
+    """
+    while _TIMER:
+        _TIMER.pop().cancel()
+    try:
+        yield
+    finally:
+        timer = threading.Timer(IDLE_SECONDS, _give_back)
+        timer.daemon = True
+        _TIMER.append(timer)
+        timer.start()
 
 
 def _encoder(ranks: bytes, pattern: str) -> Encoder:
@@ -301,23 +327,25 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _encoding(ranks, pattern: str, at: int, to: str):
     """Batches with the packed ids of column ``at`` added; ``ranks`` is a broadcast."""
     def run(batches):
-        made = _encoder(ranks.value, pattern)
-        for b in _rows(batches):
-            ids = pa.array([made.encode(t or "") for t in b.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, to])
+        with _in_use():
+            made = _encoder(ranks.value, pattern)
+            for b in _rows(batches):
+                ids = pa.array([made.encode(t or "") for t in b.column(at).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, to])
     return run
 
 
 def _decoding(ranks, at: int, to: str):
     """Batches with the decoded text of the packed ids in column ``at`` added."""
     def run(batches):
-        key = ("decoder", hashlib.sha256(ranks.value).digest())
-        if key not in _MADE:
-            _MADE[key] = Decoder({r: t for t, r in parse_ranks(ranks.value).items()})
-        made = _MADE[key]
-        for b in _rows(batches):
-            out = [made.feed(np.frombuffer(x or b"", dtype="<u4").tolist()) + made.finish() for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, to])
+        with _in_use():
+            key = ("decoder", hashlib.sha256(ranks.value).digest())
+            if key not in _MADE:
+                _MADE[key] = Decoder({r: t for t, r in parse_ranks(ranks.value).items()})
+            made = _MADE[key]
+            for b in _rows(batches):
+                out = [made.feed(np.frombuffer(x or b"", dtype="<u4").tolist()) + made.finish() for x in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, to])
     return run
 
 

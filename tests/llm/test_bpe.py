@@ -87,3 +87,20 @@ def test_whole_table_equals_the_library(spark, library):
 def test_rank_file_is_parsed_as_documented():
     raw = bpe.load_ranks(PATH).splitlines()[0].split()
     assert bpe.parse_ranks(bpe.load_ranks(PATH))[base64.b64decode(raw[0])] == int(raw[1])
+
+
+def test_an_idle_worker_gives_its_tables_back(monkeypatch):
+    import time
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "IDLE_SECONDS", 0.5)
+    ranks, batch = SimpleNamespace(value=bpe.load_ranks(PATH)), pa.RecordBatch.from_pydict({"text": ["one two", None]})
+    run = bpe._encoding(ranks, public_tokenizers.PATTERN, 0, "ids")
+    first = list(run([batch]))[0].column("ids").to_pylist()
+    made = dict(bpe._MADE)
+    assert list(run([batch]))[0].column("ids").to_pylist() == first and all(bpe._MADE[k] is made[k] for k in made)  # the next task's
+    assert made
+    time.sleep(1.5)
+    assert not bpe._MADE
