@@ -39,5 +39,5 @@ def test_stages_by_brute_force(spark):
 def test_registered_with_the_entry():
     import __spark_entry__ as E
     names = E.queries()
-    assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if x.startswith("op") and x[2].isdigit()}
+    assert "pipeline" in names and {f"op{n}_" for n in range(1, 14)} == {x.split("_")[0] + "_" for x in names if x.startswith("op") and x[2].isdigit()}
     assert "pipeline" not in E.oracle_sql()
