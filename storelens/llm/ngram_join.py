@@ -5,10 +5,11 @@ sets share cancels out and their sketches differ in no more places than their sy
 elements. For Jaccard t that difference is bounded by the sizes: d <= (a + b) (1 - t) / (1 + t), and
 d <= a (1 - t) / t for the smaller size a. Sizes are dealt into bands; for pairs within a band, and for
 pairs across a border of bands, a sketch is cut into more than k = max d blocks, each the XOR of the 64-bit
-hashes of its shingles. A linked pair agrees in a whole block (pigeonhole). A document with more than k
-blocks that hold something needs no empty ones for that; the others hand in their empty blocks too, so
-nothing is lost. Shingles that very many documents share (found on a sample) are left out of the blocks:
-that can only lessen differences.
+hashes of its shingles. A linked pair differs in k blocks at most (pigeonhole), so whatever the order of
+blocks, the first that both share is among the k + 1 first of either. Blocks of many shingles come first:
+unrelated documents that have a few shingles in common share blocks of one shingle, but hardly these, and
+would else form one group that grows with the corpus. Shingles that very many documents share (found on a
+sample) are left out of the blocks: that can only lessen differences.
 
 Documents that share a block are candidates; their groups are the components of "shares a block". Within
 a group all pairs, tile by tile, are held against the Hamming bound of parity sketches of about four bits
@@ -45,8 +46,10 @@ TILE = 2048
 RANGE_BITS = 12
 PACKED = 4096
 RATIO = 2
+ORDERED = 4  # blocks are ordered by their elements up to this number
+WHOLE = 1 << 16  # added to the level of blocks that hold frequent shingles too
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_WORDS: dict[bytes, int] = {}  # hashes of words this worker has met
+_WORDS: dict[bytes, int] = {}  # hashes of words this task has met; idle workers hold none
 
 
 def _mix(h: np.ndarray, factor: int, shift: int) -> np.ndarray:
@@ -86,40 +89,59 @@ class Bands:
         self.plans: dict[tuple[int, int], tuple[int, int]] = {}
 
     def levels(self, n: int) -> list[tuple[int, int, int]]:
-        """(level, k, blocks) for every level at which a set of size n may meet a linked, unequal one.
+        """(level, most, blocks) for every level at which a set of size n may meet a linked, unequal one, in ``most`` differences.
 
         Level 2i holds the pairs within band i, level 2i + 1 those across its upper border.
         """
         i, lo = 0, 1
         while lo * RATIO <= n:
             i, lo = i + 1, lo * RATIO
-        out = [(2 * i, int(2 * (lo * RATIO - 1) * (1 - self.t) / (1 + self.t)), lo)]
-        if int(n / self.t) >= lo * RATIO:
-            out.append((2 * i + 1, int((lo * RATIO - 1) * (1 - self.t) / self.t), math.ceil(lo * RATIO * self.t)))
+        apart, up = (1 - self.t) / (1 + self.t), int(n / self.t)
+        out = [(2 * i, int(2 * (lo * RATIO - 1) * apart), lo, min(up, lo * RATIO - 1))]
+        if up >= lo * RATIO:
+            out.append((2 * i + 1, int((lo * RATIO - 1) * (1 - self.t) / self.t), math.ceil(lo * RATIO * self.t), up))
         if n * self.t <= lo - 1:
-            out.append((2 * i - 1, int((lo - 1) * (1 - self.t) / self.t), math.ceil(lo * self.t)))
+            out.append((2 * i - 1, int((lo - 1) * (1 - self.t) / self.t), math.ceil(lo * self.t), lo - 1))
         # so many blocks that even the smallest set of the level leaves, by chance, more than k of them not empty
-        return [(level, k, k + 4 + math.ceil(1.3 * (k + 1) * math.exp(-least / (k + 1)))) for level, k, least in out if k > 0]
+        return [(level, int((n + largest) * apart), k + 4 + math.ceil(1.3 * (k + 1) * math.exp(-least / (k + 1)))) for level, k, least, largest in out if k > 0]
+
+
+def _blocks(s: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """XOR and number of the elements of every block."""
+    where = ((s >> U(6)) % U(blocks)).astype(np.int64)
+    x, order = np.zeros(blocks, dtype=U), np.argsort(where, kind="stable")
+    first = np.flatnonzero(np.diff(where[order], prepend=-1))
+    if len(first):
+        x[where[order][first]] = np.bitwise_xor.reduceat(s[order], first)
+    return x, np.bincount(where, minlength=blocks)
 
 
 def signatures(s: np.ndarray, frequent: np.ndarray, bands: Bands) -> np.ndarray:
-    """Hashes of (level, block, XOR of the block's elements) that a linked set shares at least one of."""
+    """Hashes of (level, block, XOR of the block's elements) that a linked set shares at least one of.
+
+    Linked sets differ in ``most`` blocks at the most, so in any order of all blocks the first that they share is among
+    the ``most`` + 1 first of each. Blocks of many elements come first, for few unrelated sets share them, those of one
+    element late and empty blocks last. A set whose first blocks would be empty, as most of its shingles are frequent,
+    hands in blocks with these instead; another such set does the same, and any other shares a block that is not empty.
+    """
     out = []
     rare = s
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         rare = s[frequent[at] != s]
-    for level, k, blocks in bands.levels(len(s)):
-        x = np.zeros(blocks, dtype=U)
-        where = ((rare >> U(6)) % U(blocks)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        where = where[order]
-        first = np.flatnonzero(np.diff(where, prepend=-1))
-        if len(first):
-            x[where[first]] = np.bitwise_xor.reduceat(rare[order], first)
-        held = where[first] if len(first) > k else np.arange(blocks)
+
+    def hashed(elements: np.ndarray, level: int, most: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+        x, n = _blocks(elements, blocks)
         with np.errstate(over="ignore"):
-            out.append(_mix(_mix(x[held] + U(level) * U(0xC2B2AE3D27D4EB4F), 0x9E3779B97F4A7C15, 29) + held.astype(U), 0xBF58476D1CE4E5B9, 32))
+            h = _mix(_mix(x + U(level) * U(0xC2B2AE3D27D4EB4F), 0x9E3779B97F4A7C15, 29) + np.arange(blocks, dtype=U), 0xBF58476D1CE4E5B9, 32)
+        first = np.lexsort((h, -np.minimum(n, ORDERED)))[: most + 1]
+        return h[first], n[first]
+
+    for level, most, blocks in bands.levels(len(s)):
+        h, n = hashed(rare, level, most, blocks)
+        out.append(h[n > 0])
+        if not n.all():
+            out.append(hashed(s, level + WHOLE, most, blocks)[0])
     return np.concatenate(out) if out else np.empty(0, dtype=U)
 
 
@@ -154,6 +176,7 @@ def frequent_shingles(docs: DataFrame, width: int, one_in: int = 8, least: int =
             for i in range(0, batch.num_rows, 64):
                 found = [shingles(t, width) for t in batch.slice(i, 64).column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+        _WORDS.clear()
 
     count = written(some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "sketch-frequent")
     top = count.orderBy(F.desc("n"), "h").limit(most).collect()
@@ -177,6 +200,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch], width: int, t: Fraction, fre
                 met.add(x)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64())),
                                               pa.array(sketches, pa.binary())], ["doc_id", "n", "node", "sigs", "sketch"])
+    _WORDS.clear()
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +281,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             sets = [shingles(t, width) for t in batch.slice(i, 256).column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                                              ["node", "elements"])
+    _WORDS.clear()
 
 
 class Forest:

@@ -128,3 +128,35 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, x) for x in range(501, 530)] + [(7, 7), (-3, 9)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 500 for i in range(500, 530)) and got[9] == got[-3] == -3
+
+
+def test_a_few_shared_shingles_make_no_candidates():
+    """Unrelated sets that share single shingles by chance; once nearly all were one group, whose pairs grow with its square."""
+    rng, bands, none = np.random.default_rng(8), N.Bands(Fraction(4, 5)), np.empty(0, dtype=np.uint64)
+    phrases = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.integers(0, 2**63, 400, dtype=np.uint64), rng.choice(phrases, 40)])) for _ in range(300)]
+    forest, first = N.Forest(), {}
+    for i, s in enumerate(sets):
+        for h in N.signatures(s, none, bands).tolist():
+            forest.join(first.setdefault(h, i), i)
+    roots = [forest.root(i) for i in range(len(sets))]
+    assert max(map(roots.count, set(roots))) < 15
+
+
+@pytest.mark.parametrize("t", [Fraction(4, 5), Fraction(9, 10)])
+def test_sets_of_frequent_shingles_share_a_signature(t):
+    """Linked sets of which all, or all but a few, shingles are frequent."""
+    rng, bands = np.random.default_rng(4), N.Bands(t)
+    for _ in range(600):
+        a = int(rng.integers(4, 300))
+        common = int(rng.integers(-(-t.numerator * a // t.denominator), a + 1))
+        pool = np.unique(rng.integers(0, 2**63, 2 * a + 50, dtype=np.uint64))
+        rng.shuffle(pool)
+        x, y = np.sort(pool[:a]), np.sort(pool[a - common : 2 * a - common][: int(common / t)])
+        shared = len(np.intersect1d(x, y))
+        if np.array_equal(x, y) or t.denominator * shared < t.numerator * (len(x) + len(y) - shared):
+            continue
+        whole = rng.permutation(pool[: 2 * a])
+        for keep in (0, 1, len(whole) // 20, len(whole) // 4, len(whole) // 2):
+            frequent = np.sort(whole[keep:])
+            assert np.intersect1d(N.signatures(x, frequent, bands), N.signatures(y, frequent, bands)).size
